@@ -7,9 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import jaccard_join, mixing, pieces, quality_classifier, quality_rules
 from .common import materialize, read_table
 
+#: The model file that op8 applies; a path that every node has.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_MODEL)
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
@@ -25,7 +38,29 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, piece_model(), decoded="decoded", keep_text=False)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = materialize(quality_classifier.with_statistics(docs), "statistics")
+    model = quality_classifier.fit(quality_classifier.labelled(stats, read_table(spark, sf_dir, "labels")))
+    scored = quality_classifier.score(stats, model)
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op6_mixing": op6_mixing,
+    "op8_pieces": op8_pieces,
+    "op10_quality_classifier": op10_quality_classifier,
 }
