@@ -322,3 +322,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         firsts = firsts.withColumn("component_id", F.col("first"))
     ids = firsts.select(F.col("set_id").alias("_set"), "component_id")
     return some.join(ids, F.col("set_id") == F.col("_set")).select("doc_id", "n_shingles", "component_id").union(none)
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one document of each component: the one with the least doc_id. Rows that repeat its
+    doc_id and text go as well; documents without words stay, each being a component of its own."""
+    survivors = jaccard_components(docs, n, num, den).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(materialize(survivors, "survivors"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_text", F.xxhash64("text"))
+    before = F.lag("_text").over(Window.partitionBy("doc_id").orderBy("_text"))
+    return kept.withColumn("_before", before).filter("_before IS NULL OR _before <> _text").drop("_text", "_before")
