@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, pieces, quality_classifier, quality_rules
+from . import jaccard_join, mixing, neighbours, pieces, quality_classifier, quality_rules, suffix_tree, wordpiece
 from .common import materialize, read_table
 
 #: The model file that op8 applies; a path that every node has.
@@ -24,6 +24,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("id") % 20 == 0)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     counted = quality_rules.with_counts(docs).drop("text")
@@ -31,6 +35,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.token_counts(docs, *wordpiece.vocabulary(piece_model()), keep_text=False)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = materialize(mixing.sized(docs).drop("text"), "sized")
@@ -49,6 +58,10 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = materialize(quality_classifier.with_statistics(docs), "statistics")
@@ -59,8 +72,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_neighbours": op2_neighbours,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_counts": op4_token_counts,
     "op6_mixing": op6_mixing,
     "op8_pieces": op8_pieces,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_quality_classifier": op10_quality_classifier,
 }
