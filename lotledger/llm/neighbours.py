@@ -39,7 +39,7 @@ MAX_LISTS = 4096
 #: Share of the sample's true neighbours that the visited lists must hold, and rows that it is measured on.
 WANTED, MEASURED = 0.97, 500
 #: Parts of a vector that are quantised, and codes a part; rows of a bin; exact scores for each answer in a bin.
-PARTS, CODES, BIN_ROWS, RERANK = 16, 256, 4000, 8
+PARTS, CODES, BIN_ROWS, RERANK = 16, 256, 4000, 24
 
 
 def valid(embedding: Column) -> Column:

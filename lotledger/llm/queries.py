@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, neighbours, pieces, quality_classifier, quality_rules, suffix_tree, wordpiece
+from . import jaccard_join, language_id, mixing, neighbours, pieces, quality_classifier, quality_rules, suffix_tree, warc, wordpiece
 from .common import materialize, read_table
 
 #: The model file that op8 applies; a path that every node has.
@@ -40,6 +40,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(docs, *wordpiece.vocabulary(piece_model()), keep_text=False)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = materialize(mixing.sized(docs).drop("text"), "sized")
@@ -47,6 +51,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.parse_records(warc.records_of_pages(read_table(spark, sf_dir, "pages")))
+    found = warc.resolve_revisits(records)
+    lines = F.transform(F.array_sort(F.map_keys("merged")), lambda k: F.concat(k, F.lit(": "), F.col("merged")[k]))
+    return found.select("record_id", "url", F.unix_timestamp("date").alias("seconds"), "response_id", "outcome", F.md5(F.array_join(lines, "\n").cast("binary")).alias("headers_md5"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = pieces.encode(docs, piece_model(), decoded="decoded", keep_text=False)
@@ -75,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neighbours": op2_neighbours,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_pieces": op8_pieces,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_quality_classifier": op10_quality_classifier,

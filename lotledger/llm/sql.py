@@ -108,4 +108,41 @@ SELECT doc_id, q.size, source_size, target, (q.size * coalesce(copies, 0))::BIGI
 FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.key = n.key AND q.size = n.size AND coalesce(doc_id, -1) = id
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3, "op6_mixing": OP6}
+OP7 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+  FROM pages WHERE page_id IS NOT NULL
+),
+u AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]*|ref|sessionid|sid|phpsessid|fbclid|gclid)(=|$)'))) AS args
+  FROM p
+),
+c AS (
+  SELECT page_id, html, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url,
+    1577836800 + page_id * 60 AS sec, '"' || md5(html)[1:16] || '"' AS tag FROM u
+),
+r AS (
+  SELECT page_id, url, sec, 'r' || page_id AS id, CASE WHEN page_id % 4 <> 3 THEN tag END AS etag, sec - 86400 AS lm, strlen(html) AS n FROM c
+),
+v AS (
+  SELECT page_id, url, sec + 30 + (page_id % 7) * 86400 AS sec, 'v' || page_id AS id,
+    CASE WHEN page_id % 4 < 2 THEN CASE WHEN page_id % 11 = 0 THEN '"other"' ELSE tag END END AS etag, CASE WHEN page_id % 4 >= 2 THEN sec - 86400 END AS lm
+  FROM c WHERE page_id % 3 <> 1
+),
+j AS (
+  SELECT v.id AS record_id, v.url, v.sec, v.etag AS ve, r.etag AS re, r.lm AS rl, r.n, r.id AS rid,
+    CASE WHEN r.id IS NULL THEN 'no_response' WHEN coalesce(v.etag = r.etag, v.lm = r.lm) THEN 'resolved'
+         WHEN NOT coalesce(v.etag = r.etag, v.lm = r.lm) THEN 'validator_mismatch' ELSE 'no_validator' END AS outcome
+  FROM v LEFT JOIN LATERAL (SELECT * FROM r WHERE r.url = v.url AND r.sec < v.sec ORDER BY r.sec DESC, r.id DESC LIMIT 1) r ON true
+),
+t AS (SELECT *, strftime(make_timestamp(sec * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS d, strftime(make_timestamp(rl * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS l FROM j)
+SELECT record_id, url, sec AS seconds, CASE WHEN outcome = 'resolved' THEN rid END AS response_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN md5('cache-control: max-age=60' || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || d
+    || CASE WHEN coalesce(ve, re) IS NOT NULL THEN chr(10) || 'etag: ' || coalesce(ve, re) ELSE '' END || chr(10) || 'last-modified: ' || l) END AS headers_md5
+FROM t
+"""
+
+ORACLE_SQL = {"op3_quality_rules": OP3, "op6_mixing": OP6, "op7_warc_revisits": OP7}
