@@ -11,9 +11,11 @@ get which allocation is chosen for each band from the number of its sets, at the
 signatures and candidates.
 
 Equal sets are one vertex from the start. Candidates are verified exactly on the sets themselves. In a
-bucket of equal signatures, each set is first compared with one pivot, and only sets that are still in
-different components are compared with each other, so a large group of near copies costs about one
-comparison a member and no pairs within a group are listed; the components are those of all links.
+bucket of equal signatures each set is first compared with one pivot; only sets that are then in different
+components still have to be compared. Small buckets do that by pairs. In a large one the members are
+described by their difference from a central member, which for near copies is short, and blocks of members
+meet in tasks that count all intersections of two blocks at once and hand over only links that connect
+components. So no pairs within a large group are listed, and the components are those of all links.
 
 Defined results: null and empty texts, or texts without a word, have n_shingles 0 and link with nothing;
 a text of fewer words than n is one shingle; repeated rows are linked as equal sets; rows of one doc_id with
@@ -27,6 +29,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -37,8 +40,10 @@ from .components import connected_components
 
 #: Rows of signatures that a task hands over at once; hashes of words that it keeps; sets it remembers.
 CHUNK, MAX_HASHES, MAX_SEEN = 200_000, 500_000, 300_000
-#: Comparisons with pivots before all remaining pairs in a bucket are compared.
-PIVOT_ROUNDS = 4
+#: Members of a bucket up to which pairs are compared one by one, and members of a block beyond that.
+SMALL, BLOCK = 16, 512
+#: Columns of a table of tokens that is multiplied at once.
+COLUMNS = 8192
 #: Cost of a candidate next to that of a signature; chance that two sets share a given token.
 CANDIDATE_COST, SHARED = 20.0, 1e-4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -110,6 +115,13 @@ def allocate(low: int, high: int, sets: int, difference: int) -> tuple[int, int,
             if wanted <= slack:
                 break
             slack = wanted
+        else:
+            slack = 0
+        if slack > difference + 1:  # sets too small for it: they give all their signatures
+            slack = 0
+        zeros = max(0, difference + 1 + slack - 2 * ones)
+        mean = low / (zeros + ones)
+        nothing = math.exp(-mean)
         signatures = zeros + ones * (1 + mean)
         alone = zeros * mean * nothing + ones * nothing * (mean + mean * mean)
         cost = sets * signatures + CANDIDATE_COST * sets * sets / 2 * alone * SHARED
@@ -267,42 +279,124 @@ def links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> Da
     vertices = rows.filter("rows > 1").select("set_id").distinct()
     sets = materialize(_sets_of(docs, members, vertices, n), "sets")
     edges = materialize(verify(pairs, sets, num, den), "links")
-    tried = pairs
     # Buckets of two are settled. Of buckets with the same members one is enough.
     wide = rows.filter("rows > 2").select("signature", "set_id").distinct()
     same = wide.groupBy("signature").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.sum(F.hash("set_id").cast("long")).alias("g"))
-    kept = same.filter("n > 2").groupBy("n", "h", "g").agg(F.min("signature").alias("signature")).select("signature")
+    kept = same.filter("n > 2").groupBy("n", "h", "g").agg(F.min("signature").alias("signature")).select("signature", F.col("n").alias("members"))
     wide = materialize(wide.join(kept, "signature"), "wide")
-    for turn in range(PIVOT_ROUNDS + 1):
-        labels = materialize(connected_components(edges), "labels") if edges.take(1) else None
-        open_rows = wide
-        if labels is not None:
-            open_rows = wide.join(labels.select(F.col("vertex").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        else:
-            open_rows = wide.withColumn("component", F.col("set_id"))
-        # Pairs of a bucket that are in different components: all pairs less those within a component.
-        parts = open_rows.groupBy("signature", "component").agg(F.count("*").cast("double").alias("k"))
-        left = parts.groupBy("signature").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across"), F.sum("k").alias("k")).filter("across > 0")
-        left = materialize(left, "left")
-        total, members_left = left.agg(F.sum("across"), F.sum("k")).first()
-        if not total:
-            break
-        open_rows = materialize(open_rows.join(left.select("signature"), "signature"), "open")
-        last = turn == PIVOT_ROUNDS or total <= 4 * members_left
-        if last:
-            b = open_rows.select("signature", F.col("set_id").alias("v"), F.col("component").alias("_c"))
-            fresh = open_rows.join(b, "signature").filter("set_id < v AND component <> _c").select(F.col("set_id").alias("u"), "v")
-        else:
-            pivot = open_rows.groupBy("signature").agg(F.min_by(F.struct("set_id", "component"), F.xxhash64("set_id", F.lit(turn))).alias("p"))
-            b = open_rows.join(pivot, "signature").filter("component <> p.component")
-            fresh = b.select(F.least("set_id", "p.set_id").alias("u"), F.greatest("set_id", "p.set_id").alias("v"))
-        fresh = materialize(fresh.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-        edges = materialize(edges.union(verify(fresh, sets, num, den)), "links")
-        tried = tried.union(fresh)
-        if last:
-            labels = materialize(connected_components(edges), "labels") if edges.take(1) else None
-            break
-    return labels
+    unsettled = open_buckets(wide, _labels(edges))
+    small = unsettled.filter(F.col("members") <= SMALL)
+    other = small.select("signature", F.col("set_id").alias("v"), F.col("component").alias("_c"))
+    fresh = small.join(other, "signature").filter("set_id < v AND component <> _c").select(F.col("set_id").alias("u"), "v").distinct().join(pairs, ["u", "v"], "left_anti")
+    edges = materialize(edges.union(verify(materialize(fresh, "pairs"), sets, num, den)), "links")
+    large = materialize(wide.filter(F.col("members") > SMALL), "large")
+    if large.take(1):
+        pivots = materialize(central_members(large), "pivots")
+        described = materialize(describe(large, pivots, sets), "described")
+        edges = materialize(edges.union(described.filter(_reaches(F.col("shared"), F.col("size"), F.col("pivot_size"), num, den) & (F.col("pivot") != F.col("set_id"))).select("pivot", "set_id")), "links")
+        edges = materialize(edges.union(block_links(open_buckets(large, _labels(edges)), pivots, described, num, den)), "links")
+    return _labels(edges)
+
+
+def _labels(edges: DataFrame) -> DataFrame | None:
+    return materialize(connected_components(edges), "labels") if edges.take(1) else None
+
+
+def _reaches(n, a, b, num: int, den: int):
+    return den * n >= num * (a + b - n)
+
+
+def open_buckets(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (signature, set_id, members) with their components, of buckets that hold more than one."""
+    if labels is None:
+        labelled = rows.withColumn("component", F.col("set_id"))
+    else:
+        labelled = rows.join(labels.select(F.col("vertex").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    labelled = materialize(labelled, "labelled")
+    mixed = labelled.groupBy("signature").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("signature")
+    return materialize(labelled.join(mixed, "signature"), "open")
+
+
+def central_members(rows: DataFrame) -> DataFrame:
+    """signature, pivot: the member of each bucket that shares most buckets with others."""
+    weight = rows.groupBy("set_id").agg(F.sum("members").alias("weight"))
+    return rows.join(weight, "set_id").groupBy("signature").agg(F.max(F.struct("weight", "set_id")).alias("p")).select("signature", F.col("p.set_id").alias("pivot"))
+
+
+def describe(rows: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
+    """pivot, set_id, size, pivot_size, shared and change, the tokens that only one of both has, for each
+    pivot and member of its buckets."""
+    pairs = materialize(rows.join(pivots, "signature").select("pivot", "set_id").distinct(), "described_pairs")
+    own = sets.select("set_id", F.col("tokens").alias("own"))
+    of_pivot = sets.select(F.col("set_id").alias("pivot"), F.col("tokens").alias("of_pivot"))
+    both = pairs.join(of_pivot, "pivot").join(own, "set_id").withColumn("shared", F.size(F.array_intersect("own", "of_pivot")))
+    change = F.concat(F.array_except("own", "of_pivot"), F.array_except("of_pivot", "own"))
+    return both.select("pivot", "set_id", F.size("own").alias("size"), F.size("of_pivot").alias("pivot_size"), "shared", change.alias("change"))
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of a shares with each of b: tables of ones, multiplied a few columns at a time."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    columns = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    placed = []
+    for sets, flat in ((a, flat_a), (b, flat_b)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(columns, flat), max(len(columns) - 1, 0))
+        there = columns[at] == flat if len(columns) else np.zeros(len(flat), bool)
+        placed.append((row[there], at[there], len(sets)))
+    for start in range(0, len(columns), COLUMNS):
+        tables = []
+        for row, at, n in placed:
+            here = (at >= start) & (at < start + COLUMNS)
+            table = np.zeros((n, min(COLUMNS, len(columns) - start)), np.float32)
+            table[row[here], at[here] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def block_links(rows: DataFrame, pivots: DataFrame, described: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) between components of large buckets, enough of them to connect what all links connect.
+
+    With P the pivot, x and y two members and D the changes against P, |x and y| = |P and x| + |P and y| - |P|
+    + |Dx and Dy|. Members outside a bucket's largest component meet all its members, block by block.
+    """
+    sizes = rows.groupBy("signature", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("signature").agg(F.max(F.struct("k", "component")).alias("m")).select("signature", F.col("m.component").alias("main"))
+    full = rows.join(main, "signature").join(pivots, "signature").join(described, ["pivot", "set_id"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    full = full.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["signature", "set_id", "component", "size", "pivot_size", "shared", "change"]
+    left = full.filter("component <> main").select(*columns, F.col("block").alias("i"), every.alias("j"))
+    right = full.select(*(F.col(c).alias(f"r_{c}") for c in columns), every.alias("r_i"), F.col("block").alias("r_j"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            changes = [[np.asarray(c, np.int64) for c in side] for side in (left["change"], right["r_change"])]
+            n = _common(*changes) + left["shared"].to_numpy()[:, None] + right["r_shared"].to_numpy()[None, :] - int(left["pivot_size"].iloc[0])
+            union = left["size"].to_numpy()[:, None] + right["r_size"].to_numpy()[None, :] - n
+            names, codes = np.unique(np.concatenate([left["component"], right["r_component"]]), return_inverse=True)
+            a, b = codes[: len(left)], codes[len(left) :]
+            linked = (den * n >= num * union) & (a[:, None] != b[None, :])
+            parent = list(range(len(names)))
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i in np.flatnonzero(linked.any(axis=1)):
+                hits = np.flatnonzero(linked[i])
+                for c, first in zip(*np.unique(b[hits], return_index=True), strict=True):
+                    if root(a[i]) != root(c):
+                        parent[root(a[i])] = root(c)
+                        out.append((left["set_id"].iloc[i], right["r_set_id"].iloc[hits[first]]))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    return left.groupBy("signature", "i", "j").cogroup(right.groupBy("r_signature", "r_i", "r_j")).applyInPandas(compare, "u binary, v binary")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
