@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, zoning
-from .operators import deeds, owners, portfolio, sales, screening, upserts
+from .operators import deeds, finance, owners, portfolio, sales, screening, upserts
 from .sources import derived
 
 AS_OF = "2001-12-31"
@@ -329,3 +329,153 @@ def documents_by_category(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     sums = docs.groupBy("doc_type").agg(F.count("*").alias("n"), coerce.js_round(F.sum("amount") / F.count("*"), 2).alias("mean_amount"))
     return sums.withColumn("category", keys.doc_category(F.col("doc_type")))
+
+
+TAXED = f"""{PARCELS},
+zones AS (SELECT unnest({_list(list(zoning.FAR))}) AS zone, unnest([{', '.join(f'{a}::DOUBLE' for a, _ in zoning.FAR.values())}]) AS standard_far, unnest([{', '.join(f'{b}::DOUBLE' for _, b in zoning.FAR.values())}]) AS bonus_far),
+zk AS (
+  SELECT *, CASE WHEN starts_with(zone_dist, 'R') THEN regexp_extract(zone_dist, '^([A-Z0-9-]*)', 1) WHEN regexp_matches(split_part(zone_dist, '/', 2), '^R[0-9]') THEN regexp_extract(split_part(zone_dist, '/', 2), '^([A-Z0-9-]*)', 1)
+    ELSE coalesce({_RES}, zone_dist) END AS zk, 2.0::DOUBLE AS comm_far, 1.0::DOUBLE AS facil_far FROM parcels),
+cap AS (
+  SELECT *, {_R('far * lot_area')} AS max_res_fa, {_R('greatest(far, comm_far, facil_far) * lot_area')} AS max_buildable_sf, {_R('greatest(greatest(far, comm_far, facil_far) * lot_area - bldg_area, 0::DOUBLE)')} AS buildable_slack_sf,
+    {_R('greatest(far * lot_area - bldg_area, 0::DOUBLE)')} AS new_res_fa, bldg_area <= 0 OR land_use = '11' AS is_vacant, regexp_matches(zone_dist, '^(R|C[1-6]|MX)|/R') AS allows_res, {_R('bonus_far * lot_area')} AS qualifying_fa, CASE WHEN standard_far IS NULL THEN 700 ELSE 680 END AS du_factor
+  FROM (SELECT zk.*, coalesce(e.standard_far, b.standard_far) AS standard_far, coalesce(e.bonus_far, b.bonus_far) AS bonus_far, greatest(resid_far, coalesce(e.standard_far, b.standard_far, 0)) AS far
+    FROM zk LEFT JOIN zones e ON e.zone = zk.zk LEFT JOIN zones b ON b.zone = regexp_extract(zk.zk, '^(R[0-9]+)', 1))),
+av AS (
+  SELECT *, CASE tax_class WHEN 1 THEN 0.19963::DOUBLE WHEN 2 THEN 0.12439::DOUBLE WHEN 3 THEN 0.12094::DOUBLE ELSE 0.10592::DOUBLE END AS tax_rate,
+    CASE WHEN est > 0 THEN est ELSE {_R('(bldg_area + new_res_fa) * 15')} END AS assessed_value
+  FROM (SELECT *, CASE WHEN regexp_matches(bldg_class, '^[ABS]') THEN 1 WHEN regexp_matches(bldg_class, '^[UT]') THEN 3 WHEN units_res >= 4 OR regexp_matches(bldg_class, '^[CDR]') THEN 2 WHEN regexp_matches(bldg_class, '^[OKLEFGHIJ]') THEN 4 ELSE 2 END AS tax_class,
+    CASE WHEN area > 0 THEN floor(floor(area * [400, 200, 300, 250, 200][borough::INT] + 0.5::DOUBLE) * 0.45::DOUBLE + 0.5::DOUBLE) ELSE 0 END AS est
+    FROM (SELECT *, CASE WHEN new_res_fa > 0 THEN new_res_fa ELSE bldg_area END AS area FROM cap)))"""
+_SCHEDULES = "[" + ", ".join(f"{{'program': '{p}', 'option': '{o}', 'free': {n}}}" for p, o, n in finance.SCHEDULES) + "]"
+PROJECTED = f"""{TAXED},
+sch AS (SELECT s.program AS program, s.option AS option, y AS year, CASE WHEN y <= s.free THEN 100 ELSE [80, 60, 40, 20, 10][(y - s.free - 1) // 2 + 1] END AS pct
+  FROM (SELECT unnest({_SCHEDULES}) AS s), range(1, 41) t(y) WHERE y <= s.free + 10),
+proj AS (
+  SELECT bbl, program, option, year, exemption, floor(greatest(assessed_value - exemption, 0::DOUBLE) * tax_rate * 100 + 0.5::DOUBLE) / 100 AS net_tax, floor(assessed_value * tax_rate * 100 + 0.5::DOUBLE) / 100 AS flat_tax,
+    floor(floor(assessed_value * pow(1.02::DOUBLE, year - 1) + 0.5::DOUBLE) * tax_rate * 100 + 0.5::DOUBLE) / 100 AS growth_tax
+  FROM (SELECT *, floor(assessed_value * (pct::DOUBLE / 100) * 100 + 0.5::DOUBLE) / 100 AS exemption FROM av, sch WHERE program <> '421-a'))"""
+UNITS = """units AS (
+  SELECT l_orderkey % 50 AS scenario, ['Studio', '1BR', '2BR', '3BR', '2BR'][l_quantity::INT % 5 + 1] AS unit_type, CASE WHEN l_returnflag = 'A' THEN 0 ELSE [40, 60, 80, 75, 100, 130, 55][l_linenumber] END AS ami_band,
+    300 + l_quantity * 20 AS area_sf, l_returnflag AS allocation, l_orderkey % 200 AS doc_id FROM lineitem),
+alloc0 AS (SELECT scenario, unit_type, ami_band, count(*) AS count, sum(area_sf) AS total_sf FROM units GROUP BY ALL)"""
+_RENTS = "[" + ", ".join(f"{{'t': '{t}', 'a': {a}, 'r': {float(r)}::DOUBLE}}" for a, rs in finance.RENTS.items() for t, r in zip(finance.UNIT_TYPES, rs, strict=True)) + "]"
+ALLOC = f"""{UNITS}, rents AS (SELECT x.t AS t, x.a AS a, x.r AS r FROM (SELECT unnest({_RENTS}) AS x)),
+alloc AS (SELECT scenario, unit_type, ami_band, count, total_sf, total_sf / count AS avg_sf,
+  (SELECT r FROM rents WHERE t = unit_type ORDER BY abs(a - CASE WHEN ami_band > 0 THEN ami_band ELSE 165 END), a LIMIT 1) AS monthly_rent FROM alloc0)"""
+
+
+def _capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = screening.parcel_metrics(derived.parcels(spark, sf_dir)).drop("max_buildable_sf", "slack_sf")
+    return finance.capacity(typed.withColumns({"comm_far": F.lit(2.0), "facil_far": F.lit(1.0)}))
+
+
+def _taxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finance.assessed_value(_capacity(spark, sf_dir)).withColumn("programs", F.array(F.lit("485-x"), F.lit("467-m")))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_orderkey % 50 as scenario", "array('Studio', '1BR', '2BR', '3BR', '2BR')[cast(l_quantity as int) % 5] as unit_type",
+        "case when l_returnflag = 'A' then 0 else array(40, 60, 80, 75, 100, 130, 55)[l_linenumber - 1] end as ami_band", "300 + l_quantity * 20 as area_sf", "l_returnflag as allocation", "l_orderkey % 200 as doc_id",
+    )
+
+
+@query(f"WITH {TAXED} SELECT bbl, max_res_fa, max_buildable_sf, buildable_slack_sf, new_res_fa, is_vacant, allows_res, qualifying_fa, du_factor FROM cap")
+def building_capacity(spark, sf_dir):
+    return _capacity(spark, sf_dir).select("bbl", "max_res_fa", "max_buildable_sf", "buildable_slack_sf", "new_res_fa", "is_vacant", "allows_res", "qualifying_fa", "du_factor")
+
+
+@query(f"WITH {TAXED} SELECT bbl, tax_class, tax_rate, assessed_value FROM av")
+def assessed_values(spark, sf_dir):
+    return _taxed(spark, sf_dir).select("bbl", "tax_class", "tax_rate", "assessed_value")
+
+
+@query(f"WITH {PROJECTED} SELECT program, option, year, count(*) AS n, floor(sum(net_tax) * 100 + 0.5) / 100 AS net_tax, floor(sum(growth_tax) * 100 + 0.5) / 100 AS growth_tax FROM proj WHERE program <> '421-a' GROUP BY ALL")
+def tax_projection(spark, sf_dir):
+    rows = finance.project_tax(_taxed(spark, sf_dir))
+    return rows.groupBy("program", "option", "year").agg(F.count("*").alias("n"), coerce.js_round(F.sum("net_tax"), 2).alias("net_tax"), coerce.js_round(F.sum("growth_tax"), 2).alias("growth_tax"))
+
+
+@query(f"""WITH {PROJECTED}, t AS (SELECT bbl, program, option, sum(net_tax) AS n, sum(growth_tax) AS g FROM proj GROUP BY ALL)
+  SELECT bbl, program, option, floor((g - n) * 100 + 0.5) / 100 AS real_savings FROM t QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY floor((g - n) * 100 + 0.5) DESC, program DESC, option DESC) = 1""")
+def best_tax_scenario(spark, sf_dir):
+    return finance.best_scenario(finance.tax_savings(finance.project_tax(_taxed(spark, sf_dir))))
+
+
+@query(f"""WITH {TAXED} SELECT bbl, year, growth_tax, floor(sum(growth_tax) OVER (PARTITION BY bbl ORDER BY year) * 100 + 0.5) / 100 AS total_tax FROM (
+  SELECT bbl, y::INT AS year, floor(floor(assessed_value * pow(1.02::DOUBLE, y - 1) + 0.5::DOUBLE) * tax_rate * 100 + 0.5::DOUBLE) / 100 AS growth_tax FROM av, range(1, 41) t(y))""")
+def growing_tax(spark, sf_dir):
+    return finance.tax_baseline(_taxed(spark, sf_dir)).withColumn("total_tax", coerce.js_round(F.col("total_tax"), 2))
+
+
+_OPTIONS = "[" + ", ".join(f"{{'o': '{n}', 's': {s}::DOUBLE, 'lo': {lo}, 'hi': {hi or 'NULL'}, 'ami': {ami}, 'pct': {pct}}}" for n, s, a, y, lo, hi, bands in finance.OPTIONS_485X for ami, pct in bands) + "]"
+
+
+@query(f"""WITH {TAXED}, o AS (SELECT unnest({_OPTIONS}) AS x), u AS (SELECT *, CASE WHEN max_res_fa <= 0 THEN 0 ELSE floor(max_res_fa / du_factor) + CASE WHEN max_res_fa / du_factor - floor(max_res_fa / du_factor) >= 0.75 THEN 1 ELSE 0 END END::INT AS total_units FROM cap),
+  r AS (SELECT *, x.o AS option, x.ami AS max_ami, CASE WHEN total_units <= 0 THEN 0 ELSE ceil(total_units * x.s) END::INT AS affordable_units, {_R('x.s * max_res_fa')} AS affordable_fa FROM u, o)
+  SELECT bbl, option, max_ami, total_units, affordable_units, affordable_fa, ceil(affordable_units * x.pct / 100)::INT AS band_units, {_R('x.pct::DOUBLE / 100 * affordable_fa')} AS band_fa, allows_res AND new_res_fa > 0 AND total_units >= 6 AS eligible,
+    total_units >= x.lo AND coalesce(total_units <= x.hi, true) AS applicable FROM r""")
+def program_options_485x(spark, sf_dir):
+    return finance.program_options(_capacity(spark, sf_dir)).select("bbl", "option", "max_ami", "total_units", "affordable_units", "affordable_fa", "band_units", "band_fa", "eligible", "applicable")
+
+
+@query(f"""WITH {PARCELS} SELECT bbl, least(CASE WHEN lux THEN 500 WHEN land_use IN ('05', '06') OR regexp_matches(bldg_class, '^[OKLEFGHIJ]') THEN 300 WHEN starts_with(zone_dist, 'C') OR (starts_with(zone_dist, 'M') AND contains(zone_dist, '/')) THEN 400
+    WHEN regexp_matches(zone_dist, '^R[6-9]') OR land_use IN ('02', '03') OR regexp_matches(bldg_class, '^[CD]') THEN 350 WHEN regexp_matches(zone_dist, '^R[1-5]') OR land_use = '01' OR regexp_matches(bldg_class, '^[ABS]') THEN 325 ELSE 350 END
+    + CASE WHEN f > 30 THEN 250 WHEN f > 15 THEN 150 WHEN f > 7 THEN 75 ELSE 0 END + CASE WHEN borough = '1' THEN 75 ELSE 0 END + CASE WHEN lux THEN 150 ELSE 0 END + CASE WHEN year_built > 0 AND year_built < 1940 THEN 75 ELSE 0 END
+    + CASE WHEN lot_area > 0 AND lot_area < 2500 THEN 25 ELSE 0 END, CASE WHEN lux THEN 1500 ELSE 1000 END)::INT AS hard_cost FROM (SELECT *, starts_with(bldg_class, 'R') OR starts_with(zone_dist, 'R10') AS lux, year_built % 40 AS f FROM parcels)""")
+def hard_costs(spark, sf_dir):
+    typed = screening.parcel_metrics(derived.parcels(spark, sf_dir)).withColumn("num_floors", F.col("year_built") % 40)
+    return finance.hard_cost(typed).select("bbl", F.col("hard_cost").cast("int").alias("hard_cost"))
+
+
+@query(f"WITH {ALLOC} SELECT * FROM alloc")
+def unit_allocations(spark, sf_dir):
+    return finance.allocations(_units(spark, sf_dir))
+
+
+@query(f"""WITH {ALLOC}, s AS (SELECT scenario, sum(count) AS total_units, sum(CASE WHEN ami_band > 0 THEN count ELSE 0 END) AS affordable_units, sum(total_sf) AS total_sf, sum(count * monthly_rent) * 12 AS annual_revenue,
+    sum(CASE WHEN ami_band > 0 THEN count * monthly_rent ELSE 0 END) * 12 AS affordable_revenue, sum(ami_band * count) AS w FROM alloc GROUP BY scenario)
+  SELECT scenario, total_units, affordable_units, total_sf, annual_revenue, affordable_revenue, total_sf * 350 * 1.25::DOUBLE + total_sf * 150 AS cost, floor(w / affordable_units + 0.5::DOUBLE) AS blended_ami, annual_revenue / (total_sf * 350 * 1.25::DOUBLE + total_sf * 150) AS roi FROM s""")
+def scenario_evaluation(spark, sf_dir):
+    return finance.evaluate_scenarios(finance.allocations(_units(spark, sf_dir)))
+
+
+@query(f"""WITH {ALLOC}, g AS (SELECT unnest([-0.1, 0.0, 0.1])::DOUBLE AS s), t AS (SELECT scenario, sum(count * monthly_rent) * 12 AS rev, sum(total_sf) AS sf FROM alloc GROUP BY scenario)
+  SELECT scenario, a.s AS rent_shock, b.s AS cost_shock, rev * (1 + a.s) / (sf * (350 * (1 + b.s)) * 1.25::DOUBLE + sf * 150) AS roi FROM t, g a, g b""")
+def scenario_shocks(spark, sf_dir):
+    return finance.shock_grid(finance.allocations(_units(spark, sf_dir)))
+
+
+@query(f"""WITH {UNITS}, b AS (SELECT scenario, unit_type, sum(CASE WHEN ami_band > 0 THEN count ELSE 0 END) AS a, sum(CASE WHEN ami_band = 0 THEN count ELSE 0 END) AS m FROM alloc0 GROUP BY ALL),
+  d AS (SELECT scenario, max(abs(a / ta - m / tm)) AS deviation FROM (SELECT *, sum(a) OVER (PARTITION BY scenario) AS ta, sum(m) OVER (PARTITION BY scenario) AS tm FROM b) GROUP BY scenario),
+  s AS (SELECT scenario, sum(count) AS n, sum(CASE WHEN ami_band > 0 THEN count ELSE 0 END) AS aff, sum(CASE WHEN ami_band = 60 THEN count ELSE 0 END) AS b60, sum(CASE WHEN ami_band = 80 THEN count ELSE 0 END) AS b80 FROM alloc0 GROUP BY ALL),
+  e AS (SELECT s.*, deviation, aff / n - 0.25::DOUBLE AS affordable_slack, least(CASE WHEN b60 >= greatest(1, floor(0.2::DOUBLE * aff)) THEN greatest(b60 / aff - 0.2::DOUBLE, 0) ELSE b60 / aff - 0.2::DOUBLE END,
+    CASE WHEN b80 >= greatest(1, floor(0.1::DOUBLE * aff)) THEN greatest(b80 / aff - 0.1::DOUBLE, 0) ELSE b80 / aff - 0.1::DOUBLE END) AS band_slack FROM s JOIN d USING (scenario))
+  SELECT scenario, aff / n AS affordable_share, affordable_slack, band_slack, deviation, affordable_slack >= -0.001 AND band_slack >= -0.001 AND 0.1::DOUBLE - deviation >= -0.001 AS feasible FROM e""")
+def scenario_constraints(spark, sf_dir):
+    return finance.check_constraints(finance.allocations(_units(spark, sf_dir)), 0.25, {60: 0.2, 80: 0.1})
+
+
+@query("""WITH u AS (SELECT l_orderkey % 200 AS doc_id, ['Studio', '1BR', '2BR', '3BR', '2BR'][l_quantity::INT % 5 + 1] AS bedroom, l_returnflag AS allocation, CASE WHEN l_returnflag = 'A' THEN 0 ELSE [40, 60, 80, 75, 100, 130, 55][l_linenumber] END AS ami_band, 300 + l_quantity * 20 AS area_sf FROM lineitem)
+  SELECT doc_id, bedroom, allocation, ami_band, count(*) AS n, sum(area_sf) AS area_sf FROM u GROUP BY GROUPING SETS ((doc_id), (doc_id, bedroom), (doc_id, allocation), (doc_id, allocation, bedroom), (doc_id, ami_band))""")
+def plan_unit_totals(spark, sf_dir):
+    return finance.unit_totals(_units(spark, sf_dir).withColumnRenamed("unit_type", "bedroom")).drop("level")
+
+
+@query("""WITH s AS (SELECT p_partkey // 7 AS g, p_partkey AS k, (p_size + 1)::DOUBLE AS w FROM part), t AS (SELECT *, w / sum(w) OVER (PARTITION BY g) AS share, 100 AS total FROM s),
+  f AS (SELECT *, floor(total * share) AS fl, total * share - floor(total * share) AS rest FROM t)
+  SELECT g, k, (fl + CASE WHEN row_number() OVER (PARTITION BY g ORDER BY rest DESC, share DESC, k) <= total - sum(fl) OVER (PARTITION BY g) THEN 1 ELSE 0 END)::INT AS units FROM f""")
+def largest_remainder(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey div 7 as g", "p_partkey as k", "cast(p_size + 1 as double) as w")
+    shares = part.withColumns({"share": F.col("w") / F.sum("w").over(Window.partitionBy("g")), "total": F.lit(100)})
+    return finance.apportion(shares, ["g"], "total", "share", ties=["k"]).select("g", "k", "units")
+
+
+@query(f"""WITH {PARCELS}, l AS (SELECT substr(bbl, 2, 5) AS group_id, *, substr(bbl, 1, 1) = '1' AS is_primary FROM parcels)
+  SELECT group_id, sum(lot_area) AS lot_area, sum(bldg_area) AS bldg_area, coalesce(min(resid_far) FILTER (resid_far > 0), 0) AS resid_far, coalesce(arg_min(zone_dist, bbl) FILTER (is_primary), arg_min(zone_dist, bbl)) AS zone_dist,
+    count(DISTINCT zone_dist) > 1 AS multi_zone, count(*) AS n_lots FROM l GROUP BY group_id""")
+def lot_assemblages(spark, sf_dir):
+    typed = screening.parcel_metrics(derived.parcels(spark, sf_dir))
+    lots = typed.withColumns({"group_id": F.substring("bbl", 2, 5), "is_primary": F.col("bbl").startswith("1"), "comm_far": F.lit(2.0), "facil_far": F.lit(1.0)})
+    return finance.assemble(lots).drop("comm_far", "facil_far")
