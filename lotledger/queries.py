@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import coerce, keys, names, zoning
-from .operators import deeds, finance, owners, portfolio, sales, screening, upserts
+from .functions import coerce, keys, names, text, zoning
+from .operators import contacts, deeds, finance, owners, portfolio, sales, screening, spatial, stakeholders, upserts
 from .sources import derived
 
 AS_OF = "2001-12-31"
@@ -479,3 +479,62 @@ def lot_assemblages(spark, sf_dir):
     typed = screening.parcel_metrics(derived.parcels(spark, sf_dir))
     lots = typed.withColumns({"group_id": F.substring("bbl", 2, 5), "is_primary": F.col("bbl").startswith("1"), "comm_far": F.lit(2.0), "facil_far": F.lit(1.0)})
     return finance.assemble(lots).drop("comm_far", "facil_far")
+
+
+@query()
+def contacts_of_documents(spark, sf_dir):
+    return contacts.extract_contacts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+@query(r"""SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<nav.*?</nav>', ' ', 'g'), '(?is)<footer.*?</footer>', ' ', 'g'),
+    '(?is)<header.*?</header>', ' ', 'g'), '(?is)<noscript.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&quot;', '"', 'g'), '&#?\w+;', ' ', 'g'), '\s+', ' ', 'g')), 25000) AS text FROM pages""")
+def text_of_pages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query(f"""WITH {PARTIES}, e AS (SELECT substr(document_id, 1, 14) AS bbl, CASE party_type WHEN '1' THEN 'SELLER' ELSE 'OWNER' END AS role, name FROM parties)
+  SELECT bbl, role, count(*) AS n FROM e GROUP BY ALL""")
+def stakeholder_clusters(spark, sf_dir):
+    rows = derived.parties(spark, sf_dir).select(
+        F.substring("document_id", 1, 14).alias("bbl"), keys.map_role_party(F.col("party_type")).alias("role"), F.xxhash64("document_id", "name", "seq").alias("seq"), "name", F.lit("acris").alias("source"), F.lit(0.7).alias("confidence")
+    )
+    return stakeholders.merge_stakeholders(stakeholders.cluster_stakeholders(rows)).groupBy("bbl", "role").agg(F.sum("n_entries").alias("n"))
+
+
+@query(rf"""WITH {PARCELS}, o AS (SELECT DISTINCT trim(upper({_STRIP(_NORM('owner_name'))})) AS owner FROM parcels), c AS (SELECT DISTINCT upper(trim(owner_name)) AS entity_name FROM parcels),
+  m AS (SELECT owner, entity_name, string_split_regex(owner, '\s+') AS a, string_split_regex(entity_name, '\s+') AS b FROM o JOIN c ON contains(entity_name, owner) WHERE length(owner) >= 3),
+  s AS (SELECT owner, entity_name, CASE WHEN owner = entity_name THEN 1 WHEN starts_with(entity_name, owner) THEN 0.9 ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(list_distinct(a)), len(list_distinct(b))) END::DOUBLE AS similarity FROM m)
+  SELECT owner, entity_name, similarity FROM s WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY owner ORDER BY similarity DESC, entity_name) = 1""")
+def corporations_of_owners(spark, sf_dir):
+    c = F.col("ownername")
+    all_names = derived.parcels(spark, sf_dir).select(c)
+    asked = all_names.select(F.trim(F.upper(names.strip_suffixes(names.norm_name(c)))).alias("owner"))
+    return stakeholders.match_corporations(asked, all_names.select(c.alias("entity_name")))
+
+
+_GRAMS = lambda c: rf"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3)))))"
+
+
+@query(rf"""WITH {MENTIONS}, a AS (SELECT id, canonical_name AS name FROM entities UNION SELECT id, m.name FROM mentions m JOIN entities USING (key)),
+  q AS (SELECT DISTINCT 'CUSTOMER ' || right(c_name, 4) AS query FROM customer WHERE c_custkey % 50 = 0),
+  g AS (SELECT *, {_GRAMS('name')} AS x FROM a), h AS (SELECT *, {_GRAMS('query')} AS y FROM q),
+  s AS (SELECT query, id, max(CASE WHEN sim >= 0.3 THEN sim ELSE 0 END) AS similarity FROM (SELECT query, id, name, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS sim FROM g, h) WHERE sim >= 0.3 OR contains(lower(name), lower(query)) GROUP BY ALL)
+  SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) <= 25""")
+def search_owner_entities(spark, sf_dir):
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 50 = 0")
+    asked = customers.select(F.concat(F.lit("CUSTOMER "), F.right("c_name", F.lit(4))).alias("query"))
+    found = owners.search_entities(owners.build_entities(_mentions(spark, sf_dir)), asked)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS bbl, -74.0::DOUBLE + (p_partkey % 500) * 0.0005::DOUBLE AS lng, 40.7::DOUBLE + (p_partkey % 331) * 0.0004::DOUBLE AS lat FROM part),
+  z AS (SELECT n_nationkey AS seq, n_name AS area, -74.0::DOUBLE + (n_nationkey % 5) * 0.05::DOUBLE + 0.00012::DOUBLE AS x0, 40.7::DOUBLE + (n_nationkey // 5) * 0.03::DOUBLE + 0.00012::DOUBLE AS y0 FROM nation),
+  o AS (SELECT unnest([0, 1, 2, 3, 4]) AS probe, unnest([0, 0, 0, 0.0003, -0.0003])::DOUBLE AS dx, unnest([0, 0.0003, -0.0003, 0, 0])::DOUBLE AS dy),
+  h AS (SELECT bbl, arg_min(area, (probe, seq)) AS area, min(probe) > 0 AS via_buffer FROM p, o, z WHERE lng + dx > x0 AND lng + dx < x0 + 0.02::DOUBLE AND lat + dy > y0 AND lat + dy < y0 + 0.02::DOUBLE GROUP BY bbl)
+  SELECT bbl, area, via_buffer FROM p LEFT JOIN h USING (bbl)""")
+def parcels_in_polygons(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(p_partkey as string) as bbl", "-74.0D + (p_partkey % 500) * 0.0005D as lng", "40.7D + (p_partkey % 331) * 0.0004D as lat")
+    corner = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey as seq", "n_name as area", "-74.0D + (n_nationkey % 5) * 0.05D + 0.00012D as x", "40.7D + (n_nationkey div 5) * 0.03D + 0.00012D as y")
+    square = corner.selectExpr("seq", "area", "array(array(array(x, y), array(x + 0.02D, y), array(x + 0.02D, y + 0.02D), array(x, y + 0.02D))) as rings")
+    return spatial.overlay(points, square).select("bbl", "area", "via_buffer")
