@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -42,6 +42,8 @@ from .components import connected_components
 CHUNK, MAX_HASHES, MAX_SEEN = 200_000, 500_000, 300_000
 #: Members of a bucket up to which pairs are compared one by one, and members of a block beyond that.
 SMALL, BLOCK = 16, 512
+#: Bits of the filter that picks the documents to shingle again, and places of an id in it: 8 MB at any size.
+FILTER_BITS, FILTER_PROBES = 1 << 26, 3
 #: Columns of a table of tokens that is multiplied at once.
 COLUMNS = 8192
 #: Cost of a candidate next to that of a signature; chance that two sets share a given token.
@@ -221,19 +223,37 @@ def signatures(docs: DataFrame, n: int, schemes: list, num: int, den: int) -> Da
     return docs.select("text").mapInArrow(run, "signature long, set_id binary")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """set_id and tokens, array<long>."""
+def _probes(doc_id: Column) -> Column:
+    """Places of an id in the filter."""
+    return F.array(*(F.pmod(F.xxhash64(doc_id, F.lit(i)), F.lit(FILTER_BITS)).cast("int") for i in range(FILTER_PROBES)))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of a fixed size over the ids (doc_id), built by Spark word by word: bytes of its bits."""
+    at = ids.select(F.explode(_probes(F.col("doc_id"))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("bits")).toPandas()  # at most FILTER_BITS / 32 rows
+    found = np.zeros(FILTER_BITS // 32, np.uint32)
+    found[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return found
+
+
+def shingle_sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
+    """set_id and tokens, array<long>, of the documents whose ids pass the filter (a few others may). Texts
+    stay where they are read: only the sets that are asked for move."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(n)
+        shingles, bits = Shingler(n), held.value
         for batch in batches:
-            sets = [s for s in map(shingles, _texts(batch)) if len(s)]
+            probes = batch.column("probes").flatten().to_numpy().reshape(-1, FILTER_PROBES)
+            passed = ((bits[probes >> 5] >> (probes & 31).astype(np.uint32)) & 1).all(axis=1)
+            sets = [s for s in map(shingles, _texts(batch.filter(pa.array(passed)))) if len(s)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["set_id", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "set_id binary, tokens array<long>")
+    return docs.select("text", _probes(F.col("doc_id")).alias("probes")).mapInArrow(run, "set_id binary, tokens array<long>")
 
 
 def schemes_for(members: DataFrame, num: int, den: int) -> list[tuple[int, int, int, int, int]]:
@@ -261,10 +281,10 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def _sets_of(docs: DataFrame, members: DataFrame, vertices: DataFrame, n: int) -> DataFrame:
     """set_id, tokens of the vertices: one document of each is shingled again."""
     one = members.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = one.join(vertices, "set_id").select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    wanted = id_filter(one.join(vertices, "set_id").select("doc_id"))
     # Rows of one doc_id can hold several texts, and a set several rows.
-    return shingle_sets(texts, n).groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
+    found = shingle_sets(docs, n, wanted).groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
+    return found.join(vertices, "set_id", "left_semi")
 
 
 def links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
