@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, text, zoning
-from .operators import contacts, deeds, finance, owners, portfolio, sales, screening, spatial, stakeholders, upserts
+from .operators import activity, contacts, deeds, finance, owners, portfolio, sales, screening, spatial, stakeholders, upserts
+from .plans import pages
 from .sources import derived
 
 AS_OF = "2001-12-31"
@@ -538,3 +539,45 @@ def parcels_in_polygons(spark, sf_dir):
     corner = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey as seq", "n_name as area", "-74.0D + (n_nationkey % 5) * 0.05D + 0.00012D as x", "40.7D + (n_nationkey div 5) * 0.03D + 0.00012D as y")
     square = corner.selectExpr("seq", "area", "array(array(array(x, y), array(x + 0.02D, y), array(x + 0.02D, y + 0.02D), array(x, y + 0.02D))) as rings")
     return spatial.overlay(points, square).select("bbl", "area", "via_buffer")
+
+
+PLANS = """pages AS (
+  SELECT doc_id, page, CASE page WHEN 0 THEN 'COVER SHEET PROPOSED ' || (doc_id % 90 + 1) || ' DWELLING UNITS ' || left(text, 200) WHEN 1 THEN 'ZONING ANALYSIS LOT AREA: ' || (1500 + doc_id % 50 * 100) || ' SF FAR: ' || (doc_id % 9 + 1)
+    ELSE 'TOTAL UNITS: ' || (doc_id % 90 + doc_id % 4) || ' ' || text END AS text FROM documents, (SELECT unnest([0, 1, 2]) AS page) WHERE text IS NOT NULL)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL").selectExpr("doc_id", "text", "explode(array(0, 1, 2)) as page")
+    return docs.selectExpr(
+        "doc_id", "page",
+        """case page when 0 then concat('COVER SHEET PROPOSED ', doc_id % 90 + 1, ' DWELLING UNITS ', left(text, 200)) when 1 then concat('ZONING ANALYSIS LOT AREA: ', 1500 + doc_id % 50 * 100, ' SF FAR: ', doc_id % 9 + 1)
+        else concat('TOTAL UNITS: ', doc_id % 90 + doc_id % 4, ' ', text) end as text""",
+    )
+
+
+_HITS = " + ".join(f"CASE WHEN regexp_matches(upper(text), '{p}') THEN {w} ELSE 0 END" for p, w, _ in pages.RULES)
+
+
+@query(f"WITH {PLANS} SELECT doc_id, page, {_HITS} AS score, {_HITS} >= 3 AS relevant FROM pages")
+def page_relevance(spark, sf_dir):
+    return pages.score_pages(_pages(spark, sf_dir)).select("doc_id", "page", "score", "relevant")
+
+
+@query(f"""WITH {PLANS}, m AS (SELECT doc_id, page, unnest(flatten([{', '.join(f"regexp_extract_all(upper(text), '{p}', 1)" for p in pages.UNITS)}])) AS v FROM pages)
+  SELECT DISTINCT doc_id, page, v::INT AS value FROM m WHERE v::INT BETWEEN 1 AND 500""")
+def declared_units(spark, sf_dir):
+    return pages.unit_mentions(_pages(spark, sf_dir))
+
+
+@query(f"""WITH {PLANS} SELECT doc_id, (doc_id % 90 + 1)::DOUBLE AS units, (1500 + doc_id % 50 * 100)::DOUBLE AS lot_area, (doc_id % 9 + 1)::DOUBLE AS far FROM pages WHERE page = 0""")
+def plan_signals(spark, sf_dir):
+    return pages.extract_signals(_pages(spark, sf_dir).filter("page < 2"))
+
+
+@query("""WITH e AS (SELECT user_id % 20 AS session_id, event_type AS kind, user_id::VARCHAR AS key, ts FROM events), t AS (SELECT max(ts) AS m FROM e)
+  SELECT session_id::VARCHAR AS session_id, kind, key, epoch_us(max(ts)) AS at FROM e WHERE kind IN ('view', 'click') GROUP BY ALL""")
+def search_history(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(user_id % 20 as string) as session_id", "event_type", "cast(user_id as string) as key", "ts as searched_at")
+    logs = {k: events.filter(F.col("event_type") == k) for k in ("view", "click")}
+    found = activity.search_activity(logs, "2100-01-01", 100 * 366, None)
+    return found.select("session_id", "kind", "key", F.unix_micros(F.col("searched_at").cast("timestamp")).alias("at"))
