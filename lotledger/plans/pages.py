@@ -67,12 +67,16 @@ def unit_mentions(pages: DataFrame) -> DataFrame:
     return values.filter(F.col("value").between(1, MAX_UNITS)).distinct()
 
 
+def _between(matches: Column, low: float, high: float) -> Column:
+    return F.filter(matches, lambda m: m["v"].between(low, high))
+
+
 def extract_signals(pages: DataFrame) -> DataFrame:
     """doc_id with units, lot_area and far: of the first pattern that a page matches, on its first page."""
     held = []
     for name, patterns, low, high in (("units", UNITS, 1, MAX_UNITS), ("lot_area", LOT_AREA, 100, 1_000_000), ("far", FAR, 0.1, 30)):
         matches = F.array(*(F.struct(F.lit(i).alias("i"), _number(F.regexp_extract(F.upper("text"), p, 1)).alias("v")) for i, p in enumerate(patterns)))
-        held.append(F.array_min(F.filter(matches, lambda m, low=low, high=high: m["v"].between(low, high))).alias(name))
+        held.append(F.array_min(_between(matches, low, high)).alias(name))
     rows = pages.select("doc_id", "page", *held)
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(c)["i"].alias("i"), "page", F.col(c)["v"].alias("v"))))["v"].alias(c)
     return rows.groupBy("doc_id").agg(first("units"), first("lot_area"), first("far"))
