@@ -6,7 +6,8 @@ is dealt by hash into segments, and each segment i gets an allocation t_i: 0, it
 they may differ by one token. With sum(t_i + 1) = U + 1 + slack, segments of linked sets that keep within
 their allocation weigh more than slack (pigeonhole). A set is indexed by the hash of each segment's subset
 and, where t_i is 1, by those of its one-deletion neighbourhood. Signatures of nothing at all select badly;
-the slack lets a set leave them out, unless it has more of them than the slack weighs. How many segments
+the slack lets a set leave them out, unless it has more of them than the slack weighs; and a set that is
+smaller than its band allows for leaves out its greatest signatures, as many as it can spare. How many segments
 get which allocation is chosen for each band from the number of its sets, at the least expected cost of
 signatures and candidates.
 
@@ -139,34 +140,42 @@ class Signer:
         self.schemes, self.num, self.den = schemes, num, den
         self.highs = np.array([s[1] for s in schemes])
 
-    def _of_band(self, tokens: np.ndarray, values: np.ndarray, band: int) -> list[np.ndarray]:
-        _, _, zeros, ones, slack = self.schemes[band]
+    def _of_band(self, tokens: np.ndarray, values: np.ndarray, band: int) -> np.ndarray:
+        low, high, zeros, ones, _ = self.schemes[band]
         m = zeros + ones
         segment = (tokens % np.uint64(m)).astype(np.int64)
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, segment, values)
         sizes = np.bincount(segment, minlength=m)
         place = _mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32))
+        # What this set and any partner in the band differ by at most, and so what segments it can do without.
+        n = len(tokens)
+        partner = n * self.den // self.num if n <= high else high
+        spare = zeros + 2 * ones - 1 - (n + partner) * (self.den - self.num) // (self.den + self.num)
         skipped = int((sizes[:zeros] == 0).sum() + 2 * (sizes[zeros:] <= 1).sum())
-        all_of_it = skipped > slack
         exact = _mix(sums ^ place)
-        found = [exact if all_of_it else exact[sizes > 0]]
-        if ones:
+        if skipped > spare:  # it has more of nothing than it can leave out
             late = segment >= zeros
-            if not all_of_it:
-                late &= sizes[segment] > 1
-            at = segment[late]
-            found.append(_mix((sums[at] - values[late]) ^ place[at]))
-        return found
+            given = exact
+        else:
+            late = (segment >= zeros) & (sizes[segment] > 1)
+            given = exact[sizes > 0]
+            if not ones:
+                # Both sets of a link leave out the greatest of what they can, so the least they share stays.
+                given = np.sort(given)[: len(given) - (spare - skipped)]
+        if not ones:
+            return given
+        at = segment[late]
+        return np.concatenate([given, _mix((sums[at] - values[late]) ^ place[at])])
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         n = len(tokens)
         band = int(np.searchsorted(self.highs, n))
         values = _mix(tokens + np.uint64(0x9E3779B97F4A7C15))
-        found = self._of_band(tokens, values, band)
+        found = [self._of_band(tokens, values, band)]
         if band and -(-n * self.num // self.den) <= self.schemes[band - 1][1]:
-            found += self._of_band(tokens, values, band - 1)
-        return np.unique(np.concatenate(found))
+            found.append(self._of_band(tokens, values, band - 1))
+        return np.unique(np.concatenate(found) >> np.uint64(16))  # 48 bits: chance collisions are verified away
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
