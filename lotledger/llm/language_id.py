@@ -33,6 +33,8 @@ from .common import materialize
 
 #: Least share of a language's trigrams that the model keeps, so at most 1 / MIN_SHARE for each language.
 MIN_SHARE, SMOOTHING, EVIDENCE = 1e-6, 0.5, 40
+#: Trigrams that a task counts at once.
+AT_ONCE = 2_000_000
 #: Weight of the level above in a host's and a domain's prior, and of even shares in the likelihoods.
 SHRINK, EVEN = 5.0, 1.0
 _DROP = re.compile(r"(?is)<(script|style|nav|footer|header|aside|noscript)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>|<[^>]*>|&[#a-z0-9]+;")
@@ -45,21 +47,30 @@ def visible(html: str | None) -> str:
 
 
 def _trigrams(text: str | None) -> np.ndarray:
-    raw = np.frombuffer(b" " + b" ".join((text or "").encode().translate(_LOWER).split()) + b" ", np.uint8).astype(np.int64)
-    return raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:] if len(raw) > 2 else np.zeros(0, np.int64)
+    raw = np.frombuffer(b" " + b" ".join((text or "").encode().translate(_LOWER).split()) + b" ", np.uint8).astype(np.int32)
+    return raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:] if len(raw) > 2 else np.zeros(0, np.int32)
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """lang, trigram, n over whole texts."""
 
+    def counted(by: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, held in by.items():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(n)], ["lang", "trigram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(_trigrams(text))
-            for lang, held in by.items():
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(n)], ["lang", "trigram", "n"])
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text")
+            for i, lang in enumerate(langs):
+                by.setdefault(lang, []).append(_trigrams(texts[i].as_py()))
+                held += len(by[lang][-1])
+                if held >= AT_ONCE:
+                    yield from counted(by)
+                    by, held = {}, 0
+        yield from counted(by)
 
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(run, "lang string, trigram int, n long")
     return rows.groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
@@ -129,7 +140,8 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id") -> DataFra
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [held.value.posterior(visible(h)).tolist() for h in batch.column("html").to_pylist()]
+            html = batch.column("html")
+            found = [held.value.posterior(visible(html[i].as_py())).tolist() for i in range(len(html))]
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("host"), batch.column("declared"), pa.array(found, pa.list_(pa.float64()))], [key, "host", "declared", "text_p"])
 
     read_pages = fields.mapInArrow(read, f"{key} long, host string, declared string, text_p array<double>")
