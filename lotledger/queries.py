@@ -11,6 +11,7 @@ from .functions import coerce, keys, names, text, zoning
 from .operators import activity, contacts, deeds, finance, owners, portfolio, sales, screening, spatial, stakeholders, upserts
 from .plans import pages
 from .sources import derived
+from .streaming import deeds as live
 
 AS_OF = "2001-12-31"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,3 +582,59 @@ def search_history(spark, sf_dir):
     logs = {k: events.filter(F.col("event_type") == k) for k in ("view", "click")}
     found = activity.search_activity(logs, "2100-01-01", 100 * 366, None)
     return found.select("session_id", "kind", "key", F.unix_micros(F.col("searched_at").cast("timestamp")).alias("at"))
+
+
+FILINGS = f"""filings AS (SELECT {_bbl('user_id')} AS bbl, event_id::VARCHAR AS job_number, ts::DATE AS filing_date, CASE event_type WHEN 'signup' THEN 'New Building' WHEN 'purchase' THEN 'Demolition' WHEN 'click' THEN 'Alteration' WHEN 'view' THEN 'A2' ELSE 'Foundation' END AS job_type, value FROM events)"""
+
+
+@query(f"""WITH {FILINGS} SELECT bbl, job_type, job_number, filing_date, n - 1 AS additional_jobs FROM (SELECT *, count(*) OVER (PARTITION BY bbl, job_type) AS n FROM filings)
+  QUALIFY row_number() OVER (PARTITION BY bbl, job_type ORDER BY filing_date DESC, job_number DESC) = 1""")
+def collapsed_jobs(spark, sf_dir):
+    return owners.collapse_jobs(derived.filings(spark, sf_dir))
+
+
+@query(f"""WITH {MENTIONS}, s AS (SELECT bbl, address FROM parcels WHERE year_built % 2 = 0), p AS (SELECT bbl, address FROM parcels WHERE year_built % 3 = 0), l AS (SELECT DISTINCT owner_entity_id, bbl FROM links)
+  SELECT owner_entity_id, l.bbl, coalesce(s.address, p.address, ['Manhattan', 'Bronx', 'Brooklyn', 'Queens', 'Staten Island'][left(l.bbl, 1)::INT] || ', Block ' || substr(l.bbl, 2, 5)::INT || ', Lot ' || substr(l.bbl, 7, 4)::INT) AS address
+  FROM l LEFT JOIN s ON s.bbl = l.bbl LEFT JOIN p ON p.bbl = l.bbl""")
+def portfolio_addresses(spark, sf_dir):
+    lots = derived.parcels(spark, sf_dir).select("bbl", "address", F.col("yearbuilt").cast("int").alias("y"))
+    return portfolio.portfolio_addresses(_links(spark, sf_dir), lots.filter("y % 2 = 0"), lots.filter("y % 3 = 0"))
+
+
+@query(f"WITH {MENTIONS} SELECT id, canonical_name, n_aliases FROM entities WHERE n_aliases > 1")
+def entities_with_aliases(spark, sf_dir):
+    return portfolio.alias_warnings(owners.build_entities(_mentions(spark, sf_dir)), 1).select("id", "canonical_name", F.size("aliases").cast("long").alias("n_aliases"))
+
+
+@query(f"""WITH {DOCS}, k AS (SELECT bbl FROM docs WHERE doc_type = 'MTGE' AND amount > 300000) SELECT document_id, bbl, doc_type, recorded_date FROM docs WHERE bbl IN (SELECT bbl FROM k)""")
+def documents_of_mortgaged_parcels(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return deeds.docs_for_parcels(docs, docs.filter("doc_type = 'MTGE' AND amount > 300000")).select("document_id", "bbl", "doc_type", "recorded_date")
+
+
+@query(f"""WITH {SCORED}, n AS (SELECT bbl, sale_date, sale_price FROM sales WHERE sale_date < DATE '1997-01-01' QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY sale_date DESC, sale_price DESC, document_id DESC) = 1)
+  SELECT s.bbl, CASE WHEN n.bbl IS NULL THEN last_sale_date ELSE n.sale_date END AS last_sale_date, CASE WHEN n.bbl IS NULL THEN last_sale_price ELSE n.sale_price END AS last_sale_price, score FROM scored s LEFT JOIN n USING (bbl)""")
+def backfilled_last_sales(spark, sf_dir):
+    old = derived.rolling_sales(spark, sf_dir).filter("sale_date < DATE '1997-01-01'")
+    return sales.backfill_last_sale(_scored(spark, sf_dir), sales.latest_sales(old)).select("bbl", "last_sale_date", "last_sale_price", "score")
+
+
+@query(f"""WITH {DOCS}, e AS (SELECT borough, max(recorded_date) AS m FROM docs GROUP BY borough) SELECT borough, m + 1 AS gap_from, greatest(date_diff('day', m, DATE '2002-06-30'), 0) AS gap_days FROM e""")
+def bulk_source_gaps(spark, sf_dir):
+    return live.coverage_gap(deeds.coverage(_docs(spark, sf_dir), AS_OF), "socrata_poll", "2002-06-30")
+
+
+@query(f"""WITH {DOCS}, e AS (SELECT CASE WHEN doc_type = 'DEED' THEN 'deeds' ELSE 'others' END AS source, recorded_date FROM docs),
+  c AS (SELECT source, max(recorded_date) AS d FROM e WHERE source = 'deeds' OR recorded_date < DATE '1998-01-01' GROUP BY source)
+  SELECT e.source, max(recorded_date) AS latest, max(d) AS covered_to, max(recorded_date) > max(d) AS run FROM e LEFT JOIN c USING (source) GROUP BY e.source""")
+def sources_to_poll(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.when(F.col("doc_type") == "DEED", "deeds").otherwise("others").alias("source"), "recorded_date")
+    covered = rows.filter("source = 'deeds' OR recorded_date < DATE '1998-01-01'").groupBy("source").agg(F.max("recorded_date").alias("date_to"))
+    return live.needs_run(rows, covered)
+
+
+@query(f"""WITH {FILINGS}, m AS (SELECT bbl, 'job ' || job_type AS name, 'email' AS kind, 'p' || (job_number::BIGINT % 10) || '@acme.org' AS value, value / 1000 AS confidence FROM filings)
+  SELECT bbl, kind, value, max(confidence) AS confidence FROM m GROUP BY ALL""")
+def best_contacts(spark, sf_dir):
+    rows = derived.filings(spark, sf_dir).selectExpr("bbl", "'email' as kind", "concat('p', cast(job_number as bigint) % 10, '@acme.org') as value", "value / 1000 as confidence")
+    return contacts.dedupe_contacts(rows, ["bbl"])
