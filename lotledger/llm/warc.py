@@ -38,28 +38,28 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
-def headers(block: Column) -> Column:
-    """Lines "Name: value" as a map with names in lower case; the last of repeated names counts."""
+def with_headers(df: DataFrame, block: str, name: str) -> DataFrame:
+    """df with the lines "Name: value" of a block as a map, names in lower case; the last of repeated ones
+    counts. The lines are read once, in a column of their own."""
     lines = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^[^:\s]+:"))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([^:]+):", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
-    return F.map_from_entries(F.transform(names, lambda k: F.struct(k, last(k))))
+    pair = lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([^:]+):", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)).alias("v"))
+    pairs = df.withColumn("_pairs", F.transform(lines, pair))
+    last = lambda k: F.element_at(F.filter("_pairs", lambda p: p["k"] == k), -1)["v"]
+    names = F.array_distinct(F.transform("_pairs", lambda p: p["k"]))
+    return pairs.withColumn(name, F.map_from_entries(F.transform(names, lambda k: F.struct(k, last(k))))).drop("_pairs")
 
 
 def parse_records(raw: DataFrame, column: str = "record") -> DataFrame:
     """record_id, kind, url, date, status, headers, digest, from whole WARC records as text."""
-    warc = headers(F.substring_index(F.col(column), "\r\n\r\n", 1))
-    rest = F.substring(F.col(column), F.length(F.substring_index(F.col(column), "\r\n\r\n", 1)) + 5, 2147483647)
-    http = F.substring_index(rest, "\r\n\r\n", 1)
-    parsed = raw.select(warc.alias("w"), http.alias("http"))
+    blocks = raw.select(F.split(F.col(column), "\r\n\r\n", 3).alias("b")).select(F.col("b")[0].alias("warc"), F.get("b", F.lit(1)).alias("http"))
+    parsed = with_headers(with_headers(blocks, "warc", "w"), "http", "headers")
     return parsed.select(
         F.regexp_replace(F.col("w")["warc-record-id"], r"^<urn:uuid:|>$", "").alias("record_id"),
         F.col("w")["warc-type"].alias("kind"),
         F.col("w")["warc-target-uri"].alias("url"),
         F.try_to_timestamp(F.col("w")["warc-date"], F.lit("yyyy-MM-dd'T'HH:mm:ssX")).alias("date"),
         F.expr(r"try_cast(regexp_extract(http, '^HTTP/[0-9.]+ ([0-9]+)', 1) AS int)").alias("status"),
-        headers(F.col("http")).alias("headers"),
+        "headers",
         F.col("w")["warc-payload-digest"].alias("digest"),
     )
 
