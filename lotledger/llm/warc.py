@@ -79,6 +79,7 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     spark = records.sparkSession
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     rows = records.filter(full | (F.col("kind") == "revisit")).select("record_id", canonical_url(F.col("url")).alias("url"), "date", full.alias("full"), "headers", "digest")
+    rows = materialize(rows, "records")  # the ranges are sampled before they are dealt, and undated records are read apart
     dated = rows.filter(F.col("url").isNotNull() & F.col("date").isNotNull())
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["date", "full", "record_id"]  # at one time revisits stand before responses
