@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, text, zoning
-from .operators import activity, contacts, deeds, finance, owners, portfolio, sales, screening, spatial, stakeholders, upserts
+from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, sales, screening, spatial, stakeholders, upserts
 from .plans import pages
 from .sources import derived
 from .streaming import deeds as live
@@ -638,3 +638,81 @@ def sources_to_poll(spark, sf_dir):
 def best_contacts(spark, sf_dir):
     rows = derived.filings(spark, sf_dir).selectExpr("bbl", "'email' as kind", "concat('p', cast(job_number as bigint) % 10, '@acme.org') as value", "value / 1000 as confidence")
     return contacts.dedupe_contacts(rows, ["bbl"])
+
+
+_PLAIN_OPTIONS = lambda p: "[" + ", ".join(f"{{'o': '{n}', 's': {s}::DOUBLE, 'ami': {ami}, 'pct': {pct}}}" for n, s, _, bands in programs.OPTIONS[p] for ami, pct in bands) + "]"
+_UNITS_OF = lambda a: f"CASE WHEN {a} <= 0 THEN 0 ELSE floor({a} / du_factor) + CASE WHEN {a} / du_factor - floor({a} / du_factor) >= 0.75 THEN 1 ELSE 0 END END::INT"
+
+
+def _option_sql(program: str, eligible: str) -> str:
+    return f"""SELECT bbl, '{program}' AS program, x.o AS option, x.ami AS max_ami, total_units, aff AS affordable_units, ceil(aff * x.pct / 100)::INT AS band_units, {_R(f'x.pct::DOUBLE / 100 * {_R("x.s * max_res_fa")}')} AS band_fa, {eligible} AS eligible
+  FROM (SELECT *, CASE WHEN total_units <= 0 THEN 0 ELSE ceil(total_units * x.s) END::INT AS aff FROM (SELECT *, {_UNITS_OF('max_res_fa')} AS total_units, unnest({_PLAIN_OPTIONS(program)}) AS x FROM cap))"""
+
+
+@query(f"WITH {TAXED} {_option_sql('MIH', 'allows_res AND new_res_fa > 0')} UNION ALL {_option_sql('421-a', 'false')}")
+def program_options_by_band(spark, sf_dir):
+    cap = _capacity(spark, sf_dir)
+    both = programs.option_bands(cap, "MIH").unionByName(programs.option_bands(cap, "421-a"))
+    return both.select("bbl", "program", "option", "max_ami", "total_units", "affordable_units", "band_units", "band_fa", "eligible")
+
+
+@query(f"""WITH {TAXED}, b AS (SELECT *, coalesce(qualifying_fa > max_res_fa, false) AS has, {_R('CASE WHEN coalesce(qualifying_fa > max_res_fa, false) THEN (qualifying_fa - max_res_fa) * 0.8::DOUBLE ELSE 0 END')} AS bonus_fa FROM cap),
+  u AS (SELECT *, {_UNITS_OF('max_res_fa')} AS base_units, {_UNITS_OF('(max_res_fa + bonus_fa)')} AS units_with_bonus FROM b),
+  v AS (SELECT *, greatest(units_with_bonus - base_units, 0) AS bonus_units, bonus_fa >= 10000 AS deep FROM u)
+  SELECT bbl, bonus_fa, base_units, units_with_bonus, bonus_units, deep, CASE WHEN units_with_bonus > 0 THEN {_R('bonus_units / units_with_bonus * 10000')} / 100 ELSE 0 END AS affordable_pct,
+    CASE WHEN deep THEN greatest(ceil(bonus_units * 0.2::DOUBLE), 1) ELSE ceil(bonus_units * 0.5::DOUBLE) END::INT AS first_units, CASE WHEN deep THEN {_R('bonus_fa * 0.2::DOUBLE')} ELSE {_R('bonus_fa / 2')} END AS first_area,
+    allows_res AND max_res_fa > 0 AND has AND regexp_matches(coalesce({_RES}, zone_dist), '^R([6-9]|1[0-2])') AS uap_eligible FROM v""")
+def affordability_bonus(spark, sf_dir):
+    first = F.col("bands")[0]
+    found = programs.uap_option(_capacity(spark, sf_dir), 80)
+    return found.select("bbl", "bonus_fa", "base_units", "units_with_bonus", "bonus_units", "deep", "affordable_pct", first["units"].alias("first_units"), first["floor_area"].alias("first_area"), "uap_eligible")
+
+
+@query(f"""WITH {TAXED}, a AS (SELECT *, {_R('max_res_fa * 0.25::DOUBLE')} AS affordable_fa, {_R('max_res_fa * 0.05::DOUBLE')} AS deep_fa, {_UNITS_OF('max_res_fa')} AS n FROM cap),
+  h AS (SELECT *, CASE WHEN n <= 0 THEN 0 ELSE ceil(n * 0.25::DOUBLE) END::INT AS affordable_units, {_R('(affordable_fa - deep_fa) * 0.5::DOUBLE')} AS half FROM a)
+  SELECT bbl, affordable_fa, deep_fa, affordable_units, CASE WHEN affordable_fa > 0 THEN {_R('(40 * deep_fa + 80 * half + 100 * (affordable_fa - deep_fa - half)) / affordable_fa')} ELSE 0 END AS avg_ami,
+    allows_res AND new_res_fa > 0 AND year_built % 3 <> 0 AND NOT (bldg_area > 0 AND NOT is_vacant AND CASE WHEN max_buildable_sf > 0 THEN bldg_area / max_buildable_sf ELSE 0 END < 0.5) AS may_qualify FROM h""")
+def conversions_467m(spark, sf_dir):
+    active = F.when(F.col("year_built") % 3 == 0, F.array(F.lit("Old 421-A benefit"))).otherwise(F.array(F.lit("none")))
+    found = programs.program_467m(_capacity(spark, sf_dir).withColumn("active_programs", active))
+    return found.select("bbl", "affordable_fa", "deep_fa", "affordable_units", "avg_ami", "may_qualify")
+
+
+_MIX = "CASE WHEN borough = '1' OR regexp_matches(zone_dist, '^(R10|C5|C6|C1-9|C2-8)') THEN {dense} WHEN borough IN ('2', '5') OR regexp_matches(zone_dist, '^R[3-6]') THEN {family} WHEN regexp_matches(zone_dist, '^R[789]') THEN {middle} ELSE {even} END::DOUBLE[]".format(**programs.MIXES)
+
+
+@query(f"""WITH {PARCELS}, m AS (SELECT bbl, {_MIX} AS b, CASE WHEN resid_far >= 6 AND year_built % 40 >= 15 THEN 0.05 ELSE 0 END::DOUBLE AS t, CASE WHEN lot_area > 20000 AND resid_far < 3 THEN 0.05 ELSE 0 END::DOUBLE AS l,
+    CASE WHEN units_res > 0 AND units_res <= 10 THEN 0.05 ELSE 0 END::DOUBLE AS s FROM parcels),
+  r AS (SELECT bbl, b[1] + t - l - s AS w1, b[2] + t - l - s AS w2, b[3] - t + l + s AS w3, b[4] - t + l + s AS w4 FROM m),
+  w AS (SELECT bbl, greatest(w1 / (w1 + w2 + w3 + w4), 0) AS studio, greatest(w4 / (w1 + w2 + w3 + w4), 0) AS three, [w1 / (w1 + w2 + w3 + w4), w2 / (w1 + w2 + w3 + w4), w3 / (w1 + w2 + w3 + w4), w4 / (w1 + w2 + w3 + w4)] AS ws FROM r),
+  e AS (SELECT bbl, unnest(ws) AS v, unnest(['Studio', '1BR', '2BR', '3BR']) AS ty, unnest([1, 2, 3, 4]) AS i FROM w)
+  SELECT bbl, studio, three, (SELECT string_agg(ty, ',' ORDER BY v DESC, i) FROM e WHERE e.bbl = w.bbl AND v >= 0.10::DOUBLE) AS recommended FROM w""")
+def recommended_unit_mix(spark, sf_dir):
+    typed = screening.parcel_metrics(derived.parcels(spark, sf_dir)).withColumn("num_floors", F.col("year_built") % 40)
+    return programs.unit_mix(typed).select("bbl", F.col("weights")[0].alias("studio"), F.col("weights")[3].alias("three"), F.array_join("recommended", ",").alias("recommended"))
+
+
+_MARKET = "[" + ", ".join(f"{{'b': '{b}', 't': '{t}', 'r': {r}::DOUBLE, 'a': {a}::DOUBLE}}" for b, v in programs.MARKET.items() for t, r, a in zip(programs.UNIT_TYPES, *v, strict=True)) + "]"
+
+
+@query(f"""WITH {PARCELS}, k AS (SELECT bbl, CASE WHEN year_built % 10 = 0 THEN '9' ELSE borough END AS borough FROM parcels), f AS (SELECT unnest({_MARKET}) AS x),
+  e AS (SELECT borough, '1BR' AS t, max(lot_area) AS r, 600::DOUBLE AS a, 'stored' AS rent_source FROM k JOIN parcels USING (bbl, borough) WHERE borough = '2' GROUP BY borough UNION ALL SELECT x.b, x.t, x.r, x.a, 'fallback' FROM f WHERE x.b <> '2' UNION ALL SELECT '9', x.t, x.r, x.a, 'default' FROM f WHERE x.b = '3')
+  SELECT bbl, t AS unit_type, r AS monthly_rent, rent_source, {_R('a * 0.85::DOUBLE')} AS min_sf, {_R('a * 1.15::DOUBLE')} AS max_sf FROM k JOIN e USING (borough)""")
+def market_rents_of_parcels(spark, sf_dir):
+    lots = screening.parcel_metrics(derived.parcels(spark, sf_dir)).select("bbl", F.when(F.col("year_built") % 10 == 0, "9").otherwise(F.col("borough")).alias("borough"), "lot_area")
+    stored = lots.filter("borough = '2'").groupBy(F.col("borough").alias("borough_code")).agg(F.lit("1BR").alias("unit_type"), F.max("lot_area").alias("monthly_rent"), F.lit(600.0).alias("avg_sf"))
+    return programs.market_rents(lots.drop("lot_area"), stored).select("bbl", "unit_type", "monthly_rent", "rent_source", "min_sf", "max_sf")
+
+
+@query(f"""WITH {FILINGS}, f AS (SELECT bbl, job_number, job_type, 'Owner ' || (job_number::BIGINT % 100) AS n, job_number::BIGINT AS j FROM filings)
+  SELECT bbl, job_number, CASE WHEN j % 2 = 0 THEN 'Hand ' || n WHEN j % 3 = 0 THEN 'Portal ' || n WHEN j % 5 = 0 THEN n END AS owner_name, CASE WHEN j % 2 = 0 THEN 'a@b.org' END AS owner_email,
+    CASE WHEN j % 2 = 0 THEN 'by hand' WHEN j % 3 = 0 OR j % 5 = 0 THEN 'dobnow_payload' END AS owner_contact_source, CASE job_type WHEN 'New Building' THEN 'NB' WHEN 'Demolition' THEN 'DM' WHEN 'Alteration' THEN 'A1' ELSE upper(job_type) END AS job FROM f""")
+def enriched_filings(spark, sf_dir):
+    jobs = derived.filings(spark, sf_dir).withColumns({"j": F.col("job_number").cast("long"), "n": F.concat(F.lit("Owner "), F.col("job_number").cast("long") % 100)})
+    none = F.lit(None).cast("string")
+    rows = jobs.select("bbl", F.concat("job_number", F.lit("-I1")).alias("job_number"), none.alias("owner_name"), none.alias("owner_email"), none.alias("owner_phone"), filings.norm_job_type(F.col("job_type")).alias("job"))
+    manual = jobs.filter("j % 2 = 0").selectExpr("job_number", "concat('Hand ', n) as name", "'a@b.org' as email", "'' as phone", "'by hand' as source")
+    portal = jobs.filter("j % 3 = 0").selectExpr("job_number", "concat('Portal ', n) as name", "'' as email", "'' as phone")
+    permits = jobs.filter("j % 5 = 0").selectExpr("concat(job_number, '-S2') as job_number", "n as owner_name", "filing_date as approved_date")
+    found = filings.enrich_filings(rows, manual, portal, permits)
+    return found.select("bbl", F.substring_index("job_number", "-", 1).alias("job_number"), "owner_name", "owner_email", "owner_contact_source", "job")
