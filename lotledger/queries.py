@@ -716,3 +716,54 @@ def enriched_filings(spark, sf_dir):
     permits = jobs.filter("j % 5 = 0").selectExpr("concat(job_number, '-S2') as job_number", "n as owner_name", "filing_date as approved_date")
     found = filings.enrich_filings(rows, manual, portal, permits)
     return found.select("bbl", F.substring_index("job_number", "-", 1).alias("job_number"), "owner_name", "owner_email", "owner_contact_source", "job")
+
+
+_TEXTS = "texts AS (SELECT bbl, job_type || CASE WHEN job_number::BIGINT % 7 = 0 THEN ' section 485-x' WHEN job_number::BIGINT % 11 = 0 THEN ' with MIH' ELSE '' END AS text FROM filings)"
+_MENTIONED = "p AS (SELECT DISTINCT bbl, '485-x' AS program FROM texts WHERE contains(upper(text), '485-X') UNION ALL SELECT DISTINCT bbl, 'MIH' FROM texts WHERE contains(upper(text), 'MIH'))"
+
+
+def _mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = "cast(job_number as bigint)"
+    return filings.program_mentions(derived.filings(spark, sf_dir).selectExpr("bbl", f"concat(job_type, case when {j} % 7 = 0 then ' section 485-x' when {j} % 11 = 0 then ' with MIH' else '' end) as text"))
+
+
+@query(f"WITH {FILINGS}, {_TEXTS}, {_MENTIONED} SELECT bbl, string_agg(program, ',' ORDER BY program) AS mentions FROM p GROUP BY bbl")
+def mentioned_programs(spark, sf_dir):
+    return _mentioned(spark, sf_dir).select("bbl", F.array_join("mentions", ",").alias("mentions"))
+
+
+@query(f"""WITH {SCORED}, {FILINGS}, {_TEXTS}, {_MENTIONED}, n AS (SELECT bbl, count(*) AS n, bool_or(program = '485-x') AS x FROM p GROUP BY bbl),
+  j AS (SELECT bbl, least(15, max(CASE job_type WHEN 'New Building' THEN 15 ELSE 0 END) + max(CASE job_type WHEN 'Demolition' THEN 12 ELSE 0 END) + max(CASE job_type WHEN 'Alteration' THEN 8 ELSE 0 END)) AS pipeline FROM filings GROUP BY bbl),
+  d AS (SELECT bbl, CASE WHEN ubr >= 3 THEN 30 WHEN ubr >= 2 THEN 25 WHEN ubr >= 1.5 THEN 20 WHEN ubr >= 1.2 THEN 15 WHEN ubr >= 1 THEN 10 ELSE 0 END
+      + CASE WHEN last_sale_price > 0 OR year_built % 2 = 0 THEN least(25, 5 + CASE WHEN days <= 730.5 THEN 10 WHEN days <= 1826.25 THEN 5 ELSE 0 END + CASE WHEN ppsf > 0 AND ppsf < 100 THEN 10 WHEN ppsf > 0 AND ppsf < 250 THEN 5 ELSE 0 END
+          + CASE WHEN last_sale_price > 0 AND year_built % 2 = 0 THEN 3 ELSE 0 END) ELSE 0 END
+      + least(45, CASE WHEN land_use = '11' THEN 20 WHEN land_use = '10' THEN 15 WHEN land_use IN ('01', '02', '03') AND year_built % 5 <= 2 AND lot_area > 5000 THEN 10 ELSE 0 END + CASE WHEN bldg_area / lot_area < 1 AND max_buildable_sf / lot_area > 2 THEN 5 ELSE 0 END
+          + CASE WHEN regexp_matches(zk, '^R([6-9]|10)') THEN 5 ELSE 0 END + 5 * (uap::INT + p485::INT + p467::INT) + CASE WHEN resid_far >= 3 THEN 5 ELSE 0 END) + coalesce(pipeline, 0) - 3 * coalesce(n, 0) AS dev,
+      least(30, CASE WHEN regexp_matches(zone_dist, '^(R|C|M1)') THEN 10 ELSE 0 END + CASE WHEN x THEN 10 ELSE 0 END + CASE WHEN year_built % 4 = 0 THEN 5 ELSE 0 END) AS rental_overlay
+    FROM scored LEFT JOIN n USING (bbl) LEFT JOIN j USING (bbl)),
+  e AS (SELECT bbl, least(greatest(dev, 0), 100)::INT AS dev_score, rental_overlay::INT AS rental_overlay FROM d)
+  SELECT *, CASE WHEN dev_score + rental_overlay >= 76 THEN 'Very High' WHEN dev_score + rental_overlay >= 51 THEN 'High' WHEN dev_score + rental_overlay >= 26 THEN 'Moderate' ELSE 'Low' END AS class FROM e""")
+def lot_scores(spark, sf_dir):
+    area, lot, most = F.col("bldg_area"), F.col("lot_area"), F.col("max_buildable_sf")
+    lots = _scored(spark, sf_dir).withColumns(
+        {
+            "ratio": F.when(area > 0, most / area).when(most > 0, 999.0).otherwise(0.0), "ppsf": F.when(area > 0, F.col("last_sale_price") / area), "sale_amount": F.col("last_sale_price"), "sale_date": F.col("last_sale_date"),
+            "other_amount": F.when(F.col("year_built") % 2 == 0, 1.0), "num_floors": F.col("year_built") % 5, "built_far_calc": area / lot, "max_far": most / lot, "registered": F.col("year_built") % 4 == 0,
+            "eligible": F.transform(F.filter("program_flags", lambda f: f["eligible"]), lambda f: f["program"]),
+        }
+    )
+    types = derived.filings(spark, sf_dir).groupBy("bbl").agg(F.collect_set(filings.norm_job_type(F.col("job_type"))).alias("job_types"))
+    joined = lots.join(types, "bbl", "left").join(_mentioned(spark, sf_dir), "bbl", "left")
+    return filings.lot_score(joined, AS_OF).select("bbl", "dev_score", "rental_overlay", "class")
+
+
+@query("""WITH r AS (SELECT l_orderkey % 50 AS group_id, [40, 60, 80, 75, 100, 130, 55][l_linenumber] AS band, l_returnflag AS program, l_quantity / 64 AS pct FROM lineitem),
+  b AS (SELECT group_id, band, max(pct) AS pct, string_agg(DISTINCT program, ',' ORDER BY program) AS programs FROM r GROUP BY ALL),
+  s AS (SELECT *, CASE WHEN t > 1 THEN pct / t ELSE pct END AS share FROM (SELECT *, sum(pct) OVER (PARTITION BY group_id) AS t FROM b)),
+  f AS (SELECT *, greatest(floor(share * 100), 1) AS fl, share * 100 - greatest(floor(share * 100), 1) AS rest FROM s)
+  SELECT group_id, band, share AS pct, 100 AS target, (fl + CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY rest DESC, band) <= 100 - sum(fl) OVER (PARTITION BY group_id) THEN 1 ELSE 0 END)::INT AS min_units, programs FROM f""")
+def merged_constraints(spark, sf_dir):
+    rules = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_orderkey % 50 as group_id", "array(40, 60, 80, 75, 100, 130, 55)[l_linenumber - 1] as band", "l_returnflag as program", "l_quantity / 64 as pct", "0.25D as min_affordable", "400 as est_units"
+    )
+    return programs.merge_constraints(rules).withColumn("programs", F.array_join("programs", ","))

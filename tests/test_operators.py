@@ -84,3 +84,19 @@ def test_geojson(spark, tmp_path):
     (tmp_path / "z.json").write_text(f'{{"features": [{{"properties": {{"n": "A"}}, "geometry": {{"type": "Polygon", "coordinates": {square}}}}}, {{"properties": {{"m": "B"}}, "geometry": {{"type": "GeometryCollection", "geometries": [{{"type": "MultiPolygon", "coordinates": [{square}, {square}]}}]}}}}]}}')
     got = extracts.read_geojson_polygons(spark, str(tmp_path / "z.json"), ["n", "m"])
     assert [(r.seq, r.area, len(r.rings[0])) for r in got.orderBy("seq").collect()] == [(0, "A", 5), (1, "B", 5), (1, "B", 5)]
+
+
+def test_merged_unit_rules_share_out_to_one(spark):
+    from lotledger.operators import programs
+
+    rows = [(1, "A", "1BR", 500, 0.5), (1, "B", "1BR", 575, 0.25), (1, "A", "2BR", 700, 0.5)]
+    found = programs.merge_unit_rules(spark.createDataFrame(rows, "group_id int, program string, unit_type string, min_sf int, share double"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "1BR", 575, 0.5), (1, "2BR", 700, 0.5)]
+
+
+def test_mentions_of_null_and_repeated_texts(spark):
+    from lotledger.operators import filings
+
+    rows = [("1", "tax 421a"), ("1", "tax 421a"), ("1", None), ("2", ""), ("3", "UAP and 467-M")]
+    found = {r.bbl: (r.mentions, len(r.evidence)) for r in filings.program_mentions(spark.createDataFrame(rows, "bbl string, text string")).collect()}
+    assert found == {"1": (["421-a"], 1), "3": (["467-m", "UAP"], 2)}
