@@ -2,25 +2,28 @@
 
 Symbols are the lower-cased words of a text and its end. The root's distribution is the smoothed unigram
 distribution that also gives base_score. A context is the last one, two, ... up to DEPTH words before a
-symbol. It is a candidate if its suffix is kept and it makes up at least MIN_SHARE of the training tokens,
+symbol. It is a candidate if its suffix is kept and it occurs MIN_CONTEXT times in the training texts,
 and it is kept if what follows it diverges from what follows its suffix: by the Kullback-Leibler divergence
 and by count times divergence, so that it is neither slight nor chance, both taken over BUCKETS classes of
 the next word, which bounds the divergence over words from below. A kept
 context's distribution is its counts, smoothed with its suffix's distribution; the pairs that it is kept
-with make up at least MIN_PAIR of the tokens, and the mass of rarer ones goes to the suffix as well. Every
-token is scored in the longest kept suffix of the words before it.
+with occur MIN_PAIR_COUNT times, and the mass of rarer ones goes to the suffix as well. Both numbers are the
+same for every size of the corpus, so the tree grows with it. Every token is scored in the longest kept suffix
+of the words before it.
 
 1. Tasks split texts into words once and write, a row for each block of texts, the 64-bit hashes of the
    block's distinct words, their training counts, and the texts as positions in that list.
 2. The lists are cut by hash into slices and meet slice by slice, which gives each word's count over all
    blocks, and each block gets the counts of its words back as arrays. The number of slices grows with the
    lists, so a slice has a bounded size.
-3. For each length, one pass over the blocks counts candidates (context, class of next word) and, for
-   the contexts kept before, (context, next word): summed within blocks, then by Spark.
-4. A last pass scores the blocks.
+3. For each length, one pass over the blocks asks for candidates (context, class of next word) and, for
+   the contexts kept before, (context, next word). A block asks for each once, with its training count, packed
+   and cut by hash into slices. The slices sum the counts; joins test the divergence; and each block gets back
+   what was kept of what it asked for.
+4. A last pass meets the blocks with their parts of the tree and scores them.
 
-The word table and the counts grow with the corpus and stay distributed. The tree is bounded: at most
-1 / MIN_SHARE contexts and 1 / MIN_PAIR pairs of each length can pass, so it is broadcast.
+The word table, the counts and the tree grow with the corpus and stay distributed: no task and not the driver
+holds more of the tree than a slice, or what the tokens of one block ask for.
 
 Defined results: a null text counts as empty, which is one token, the end; a null doc_id has the checksum of
 the empty text; repeated rows are learnt from and scored as often as they stand; with no training text at
@@ -42,20 +45,19 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 DEPTH = 3
-#: Least share, and least number, of training tokens for a context and for a pair of context and word.
-MIN_SHARE, MIN_CONTEXT = 1e-5, 10
-MIN_PAIR, MIN_PAIR_COUNT = 5e-7, 2
+#: Least number of training tokens for a context and for a pair of context and word.
+MIN_CONTEXT, MIN_PAIR_COUNT = 10, 2
 #: Classes of the next word (a power of 2); divergence, and count times divergence, in nats, from which a
 #: context is kept; weight of the suffix's distribution.
 BUCKETS, LEAST_DIVERGENCE, DIVERGENCE, SMOOTHING = 64, 0.2, 60.0, 2.0
-#: A block of texts ends at so many tokens; entries of word lists in a slice.
-BLOCK_TOKENS, SLICE = 2_000_000, 500_000
+#: A block of texts ends at so many tokens; entries of word lists in a slice; tokens for each slice of the tree.
+BLOCK_TOKENS, SLICE, TREE_SLICE = 2_000_000, 500_000, 2_000_000
 END = b"\n"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +128,7 @@ def tokenized(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
 
 
-COUNTED = "doc_ids array<long>, no_id array<boolean>, held_out array<boolean>, lengths array<long>, codes binary, hashes binary, counts binary, n_words long"
+COUNTED = "block long, doc_ids array<long>, no_id array<boolean>, held_out array<boolean>, lengths array<long>, codes binary, hashes binary, counts binary, n_words long"
 
 
 def counted_blocks(blocks: DataFrame, slices: int) -> DataFrame:
@@ -170,7 +172,7 @@ def counted_blocks(blocks: DataFrame, slices: int) -> DataFrame:
         counts = np.zeros(len(of), np.int64)
         # In the order of slices, and of the list within each.
         counts[np.argsort(of, kind="stable")] = np.frombuffer(b"".join(answers.sort_values("slice")["counts"]), np.int64)
-        return texts.drop(columns="of").assign(counts=[counts.tobytes()], n_words=int(answers["n_words"].sum()))
+        return texts.rename(columns={"of": "block"}).assign(counts=[counts.tobytes()], n_words=int(answers["n_words"].sum()))
 
     return texts.groupBy("of").cogroup(answers.groupBy("block")).applyInPandas(fill, COUNTED)
 
@@ -191,7 +193,7 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Level:
-    """The kept contexts of one length: sorted keys, counts, counts of kept pairs; sorted pairs and counts."""
+    """A block's kept contexts of one length: sorted keys, counts, counts of kept pairs; sorted pairs and counts."""
 
     contexts: np.ndarray
     totals: np.ndarray
@@ -238,77 +240,189 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _summed(*columns: np.ndarray) -> list[np.ndarray]:
-    """Distinct values of the first column, what stands beside them, and how often they occur."""
-    _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
-    return [*(c[first] for c in columns), n]
+def _summed(trained: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct values of the first column, what stands beside them, and how often they are trained on."""
+    _, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
+    return [*(c[first] for c in columns), np.bincount(at, trained, len(first)).astype(np.int32)]
 
 
-def level_counts(blocks: DataFrame, levels: list[Level], least: float) -> DataFrame:
-    """kind, key, above, n over the training texts. kind 0: key is a candidate one word longer than levels
-    with the class of the next word, above its suffix. kind 1: key is a pair, above its context, of the
-    longest level."""
-    held = blocks.sparkSession.sparkContext.broadcast(levels)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _read(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+
+
+def levels_of(found: pa.Table, depth: int) -> list[Level]:
+    """The part of the tree that a block was answered with."""
+    held = defaultdict(list)
+    for row in found.to_pylist():
+        held[row["length"], row["kind"]].append((np.frombuffer(row["keys"], np.int64), np.frombuffer(row["n"], np.int64)))
+
+    def sorted_table(length: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = held.get((length, kind)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        keys, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        return keys[order], n[order]
+
+    levels = []
+    for length in range(1, depth + 1):
+        contexts, totals = sorted_table(length, CONTEXT)
+        known, n = sorted_table(length, PAIRED)
+        at, some = _find(known, contexts)
+        paired = np.where(some, n[at] if len(n) else 0, 0)
+        levels.append(Level(contexts, totals, paired, *sorted_table(length, PAIR)))
+    return levels
+
+
+#: Kinds of what is asked for and found: contexts (asked for with the class of the next word), pairs of
+#: context and word, counts of a context's kept pairs; the root's classes.
+CONTEXT, PAIR, PAIRED, ROOT = range(4)
+ASKED, ASKED_ARROW = "kind int, slice long, block long, keys binary, above binary, n binary", pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("above", pa.binary()), ("n", pa.binary())])
+FOUND, FOUND_ARROW = "kind int, length int, block long, keys binary, n binary", pa.schema([("kind", pa.int32()), ("length", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def asked(blocks: DataFrame, found: DataFrame | None, depth: int, least: int, slices: int) -> DataFrame:
+    """ASKED: a row for each block, kind and slice. Candidates are one word longer than the depth levels found,
+    above is their suffix; pairs are those of the longest level, above is their context. The counts are of
+    training texts; texts held out ask as well, with a count of 0 for what only they have."""
+
+    def ask(row: dict, levels: list[Level]) -> pa.Table:
+        block = Block(row)
+        keys, inside = None, np.ones(len(block.hashes), bool)
+        for _, keys, _, inside in block.walk(levels):  # noqa: B007
+            pass
+        out = []
+        if levels:
+            out.append((PAIR, *_summed(block.trained[inside], block.pairs(keys)[inside], keys[inside])))
+        if len(levels) < DEPTH:
+            length = len(levels) + 1
+            frequent = np.zeros(len(inside), bool)
+            frequent[length:] = block.counts[:-length] >= least
+            some = inside & frequent & (block.place >= length)
+            longer = block.contexts(length, keys)[some]
+            above = np.zeros(len(longer), np.int64) if keys is None else keys[some]
+            classes = (block.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+            out.append((CONTEXT, *_summed(block.trained[some], longer * BUCKETS + classes[some], above)))
+            if not levels:
+                out.append((ROOT, *_summed(block.trained, classes, np.zeros(len(classes), np.int64))))
+        rows = []
+        for kind, key, above, n in out:
+            of = (key if kind == PAIR else key // BUCKETS) % slices
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(slices + 1))
+            for i in np.flatnonzero(np.diff(ends)):
+                part = order[ends[i] : ends[i + 1]]
+                rows.append((kind, int(i), row["block"], key[part].tobytes(), above[part].tobytes(), n[part].tobytes()))
+        return _table(rows, ASKED_ARROW)
+
+    texts = blocks.select("block", "held_out", "lengths", "codes", "hashes", "counts")
+    if found is None:
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                yield from ask(row, []).to_batches()
+
+        return texts.mapInArrow(each, ASKED)
+    meet = lambda text, found: ask(text.to_pylist()[0], levels_of(found, depth))
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(meet, ASKED)
+
+
+def context_sums(asks: DataFrame, least: int) -> DataFrame:
+    """context, class, above, n, total: the candidates that occur often enough, over all blocks."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        key, first, at = np.unique(np.concatenate(_read(rows, "keys", np.int64)), return_index=True, return_inverse=True)
+        n = np.bincount(at, np.concatenate(_read(rows, "n", np.int32))).astype(np.int64)
+        above, context = np.concatenate(_read(rows, "above", np.int64))[first], key // BUCKETS
+        starts = np.flatnonzero(np.diff(context, prepend=-1))
+        total = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(key))))
+        some = (total >= least) & (n > 0)
+        return pa.table({"context": context[some], "class": (key % BUCKETS)[some], "above": above[some], "n": n[some], "total": total[some]})
+
+    return asks.select("slice", "keys", "above", "n").groupBy("slice").applyInArrow(meet, "context long, class long, above long, n long, total long")
+
+
+def pair_sums(asks: DataFrame, length: int, least: int) -> DataFrame:
+    """FOUND: for each block its pairs that occur often enough, over all blocks; and, under no block, the
+    counts of the contexts of a slice's pairs."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        keys = _read(rows, "keys", np.int64)
+        key, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        n = np.bincount(at, np.concatenate(_read(rows, "n", np.int32))).astype(np.int64)
+        out = []
+        for block, own, mine in zip(rows.column("block").to_pylist(), keys, np.split(n[at], np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            some = mine >= least
+            out.append((PAIR, length, block, own[some].tobytes(), mine[some].tobytes()))
+        some = n >= least
+        context, where = np.unique(np.concatenate(_read(rows, "above", np.int64))[first][some], return_inverse=True)
+        out.append((PAIRED, length, None, context.tobytes(), np.bincount(where, n[some], len(context)).astype(np.int64).tobytes()))
+        return _table(out, FOUND_ARROW)
+
+    return asks.select("slice", "block", "keys", "above", "n").groupBy("slice").applyInArrow(meet, FOUND)
+
+
+def unpacked(packed: DataFrame, kind: type) -> DataFrame:
+    """key, n: an entry of the packed lists a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = held.value
         for row in _rows(batches):
-            block = Block(row)
-            keys, inside = None, block.trained
-            for _, keys, _, found in block.walk(levels):  # noqa: B007
-                inside = block.trained & found
-            out = []
-            if levels:
-                out.append((1, *_summed(block.pairs(keys)[inside], keys[inside])))
-            if len(levels) < DEPTH:
-                length = len(levels) + 1
-                frequent = np.zeros(len(inside), bool)
-                frequent[length:] = block.counts[:-length] >= least
-                some = inside & frequent & (block.place >= length)
-                longer = block.contexts(length, keys)[some]
-                above = np.zeros(len(longer), np.int64) if keys is None else keys[some]
-                classes = (block.hashes[some] & np.uint64(BUCKETS - 1)).astype(np.int64)
-                out.append((0, *_summed(longer * BUCKETS + classes, above)))
-                if not levels:  # the root's classes
-                    own = (block.hashes[block.trained] & np.uint64(BUCKETS - 1)).astype(np.int64)
-                    out.append((2, *_summed(own, np.zeros(len(own), np.int64))))
-            for kind, key, above, n in out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(above), pa.array(n.astype(np.int64))], ["kind", "key", "above", "n"])
-
-    counts = blocks.select("held_out", "lengths", "codes", "hashes", "counts").mapInArrow(run, "kind int, key long, above long, n long")
-    return materialize(counts.groupBy("kind", "key", "above").agg(F.sum("n").alias("n")), "counts")
-
-
-def grow(spark: SparkSession, blocks: DataFrame, n_train: int) -> list[Level]:
-    """The tree: a level for each length of contexts, shortest first."""
-    levels: list[Level] = []
-    least, least_pair = max(MIN_CONTEXT, MIN_SHARE * n_train), max(MIN_PAIR_COUNT, MIN_PAIR * n_train)
-    above = None
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["keys"], np.int64)), pa.array(np.frombuffer(row["n"], kind).astype(np.int64))], ["key", "n"])
+
+    return packed.select("keys", "n").mapInArrow(run, "key long, n long")
+
+
+def answers(asks: DataFrame, known: DataFrame, kind: int, length: int, slices: int) -> DataFrame:
+    """FOUND: for each block what is known (context, n) of the contexts that it asked for."""
+
+    def meet(rows: pa.Table, known: pa.Table) -> pa.Table:
+        contexts, n = known.column("context").to_numpy(), known.column("n").to_numpy()
+        order = np.argsort(contexts)
+        contexts, n, out = contexts[order], n[order], []
+        for block, keys in zip(rows.column("block").to_pylist(), _read(rows, "keys", np.int64), strict=True):
+            own = np.unique(keys // BUCKETS)
+            at, some = _find(contexts, own)
+            if some.any():
+                out.append((kind, length, block, own[some].tobytes(), n[at[some]].tobytes()))
+        return _table(out, FOUND_ARROW)
+
+    known = known.select((F.col("context") % slices).alias("slice"), "context", "n")
+    return asks.select("slice", "block", "keys").groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(meet, FOUND)
+
+
+def grow(blocks: DataFrame, slices: int) -> tuple[DataFrame | None, int]:
+    """The tree as FOUND, each block's part of it, and its depth."""
+    spark = blocks.sparkSession
+    contexts = found = above = before = None
     for length in range(1, DEPTH + 2):
-        counts = level_counts(blocks, levels, least)
-        if levels:
-            pairs = counts.filter((F.col("kind") == 1) & (F.col("n") >= least_pair)).orderBy("key").select("key", "above", "n").toPandas()  # at most 1 / MIN_PAIR
-            last = levels[-1]
-            at, _ = _find(last.contexts, pairs["above"].to_numpy())
-            last.paired = np.bincount(at, pairs["n"].to_numpy(), len(last.contexts)).astype(np.int64)
-            last.pairs, last.counts = pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
+        asks = materialize(asked(blocks, contexts, length - 1, MIN_CONTEXT, slices), "asked")
+        if contexts is not None:
+            pairs = materialize(pair_sums(asks.filter(F.col("kind") == PAIR), length - 1, MIN_PAIR_COUNT), "pairs")
+            paired = unpacked(pairs.filter(F.col("kind") == PAIRED), np.int64).groupBy(F.col("key").alias("context")).agg(F.sum("n").alias("n"))
+            paired = materialize(answers(before.filter(F.col("kind") == CONTEXT), paired, PAIRED, length - 1, slices), "paired")
+            found = found.unionByName(pairs.filter(F.col("kind") == PAIR)).unionByName(paired)
+            discard(spark, before)
         if length > DEPTH:
-            break
-        classes = counts.filter("kind = 0").select(F.expr(f"key div {BUCKETS}").alias("context"), (F.col("key") % BUCKETS).alias("class"), "above", "n")
+            discard(spark, asks)
+            return found, DEPTH
+        classes = materialize(context_sums(asks.filter(F.col("kind") == CONTEXT), MIN_CONTEXT), "classes")
         if above is None:
-            above = counts.filter("kind = 2").select(F.lit(0).cast("long").alias("context"), F.col("key").alias("class"), "n")
+            root = unpacked(asks.filter(F.col("kind") == ROOT), np.int32).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0")
+            above = root.select(F.lit(0).cast("long").alias("context"), F.col("key").alias("class"), "n")
         totals = above.groupBy("context").agg(F.sum("n").alias("t")).join(above, "context").select(F.col("context").alias("above"), "class", (F.col("n") / F.col("t")).alias("share"))
-        sums = classes.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-        tested = classes.join(sums, "context").join(totals, ["above", "class"])
         n = F.col("n")
-        kept = tested.groupBy("context").agg(F.max("total").alias("total"), F.sum(n * F.log(n / (F.col("total") * F.col("share")))).alias("gain")).filter((F.col("gain") >= DIVERGENCE) & (F.col("gain") >= LEAST_DIVERGENCE * F.col("total")))
-        kept = materialize(kept.select("context", "total"), "kept")
+        gains = classes.join(totals, ["above", "class"]).groupBy("context").agg(F.max("total").alias("total"), F.sum(n * F.log(n / (F.col("total") * F.col("share")))).alias("gain"))
+        kept = gains.filter((F.col("gain") >= DIVERGENCE) & (F.col("gain") >= LEAST_DIVERGENCE * F.col("total")))
+        kept = materialize(kept.select("context", F.col("total").alias("n")), "kept")
+        if kept.isEmpty():
+            return found, length - 1
         above = classes.join(kept.select("context"), "context").select("context", "class", "n")
-        found = kept.orderBy("context").toPandas()  # at most 1 / MIN_SHARE
-        if not len(found):
-            break
-        levels.append(Level(found["context"].to_numpy(np.int64), found["total"].to_numpy(np.int64)))
-    return levels
+        own = materialize(answers(asks.filter(F.col("kind") == CONTEXT), kept, CONTEXT, length, slices), "contexts")
+        contexts = own if contexts is None else contexts.unionByName(own)
+        found = own if found is None else found.unionByName(own)
+        before = asks
 
 
 def probabilities(block: Block, levels: list[Level], root: np.ndarray) -> np.ndarray:
@@ -316,6 +430,8 @@ def probabilities(block: Block, levels: list[Level], root: np.ndarray) -> np.nda
     p = root
     for _, keys, at, inside in block.walk(levels):
         level = levels[_ - 1]
+        if not len(level.contexts):
+            break
         spot, paired = _find(level.pairs, block.pairs(keys))
         n = np.where(paired, level.counts[spot] if len(level.pairs) else 0, 0)
         total, kept = level.totals[at], level.paired[at]
@@ -328,24 +444,31 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     id's CRC-32 leaves the remainder fold of folds are scored but not learnt from."""
     spark = docs.sparkSession
     blocks = materialize(tokenized(docs, folds, fold), "blocks")
-    n_train, listed = blocks.agg(F.coalesce(F.sum("n_trained"), F.lit(0)), F.coalesce(F.sum("n_listed"), F.lit(0))).first()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n_train, listed, n_tokens = blocks.agg(total("n_trained"), total("n_listed"), total(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)"))).first()
     counted = materialize(counted_blocks(blocks, max(1, -(-listed // SLICE))), "counted")
     discard(spark, blocks)
     distinct = counted.agg(F.sum("n_words")).first()[0] or 0
-    held = spark.sparkContext.broadcast(grow(spark, counted, n_train))
+    found, depth = grow(counted, max(1, -(-n_tokens // TREE_SLICE)))
     everything = float(n_train + 1 * (distinct + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = held.value
+    def score(row: dict, levels: list[Level]) -> pa.Table:
+        block = Block(row)
+        root = (block.counts + 1) / everything
+        add = lambda x, starts=block.starts: pa.array(np.add.reduceat(x, starts))
+        ids = pa.array(row["doc_ids"], pa.int64(), mask=np.asarray(row["no_id"], bool))
+        known, base, score = add((block.counts > 0).astype(np.int64)), add(np.log10(root)), add(np.log10(probabilities(block, levels, root)))
+        n = pa.array(np.full(len(block.lengths), n_train, np.int64))
+        return pa.Table.from_arrays(
+            [ids, pa.array(row["held_out"]), pa.array(block.lengths), known, n, base, score], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        )
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            block = Block(row)
-            root = (block.counts + 1) / everything
-            add = lambda x, starts=block.starts: pa.array(np.add.reduceat(x, starts))
-            ids = pa.array(row["doc_ids"], pa.int64(), mask=np.asarray(row["no_id"], bool))
-            known, base, score = add((block.counts > 0).astype(np.int64)), add(np.log10(root)), add(np.log10(probabilities(block, levels, root)))
-            n = pa.array(np.full(len(block.lengths), n_train, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(row["held_out"]), pa.array(block.lengths), known, n, base, score], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-            )
+            yield from score(row, []).to_batches()
 
-    return counted.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if found is None:
+        return counted.mapInArrow(each, schema)
+    meet = lambda text, found: score(text.to_pylist()[0], levels_of(found, depth))
+    return counted.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(meet, schema)

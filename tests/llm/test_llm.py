@@ -206,6 +206,13 @@ def test_tree_predicts_what_repeats(spark, monkeypatch):
     assert share == pytest.approx(1.0)
 
 
+def test_tree_keeps_contexts_of_any_share(spark):
+    fixed = "the quick brown fox jumps over the lazy dog"
+    rows = [(i, fixed) for i in range(30)] + [(100 + i, "word " * 1_000_000) for i in range(5)]
+    got = suffix_tree.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert all(r.train_tokens > 3_000_000 and r.score > r.base_score + 20 for r in got if r.doc_id < 100)
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op10_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out AND quality IS NOT NULL").collect()
