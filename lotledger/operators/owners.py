@@ -158,22 +158,24 @@ def search_entities(entities: DataFrame, queries: DataFrame, k: int = 25, least:
     more) or contain it; the best k.
 
     Trigrams are postings: the number of shared ones comes from an equi-join and a count, and similarity from
-    the counts. A contained query of three letters or more shares a trigram of its inside with the name, so
-    those are candidates by the same join; shorter queries are compared with every name.
+    the counts. A contained query's first three characters, or all of a shorter one, are a window of the name, so
+    those are candidates by a join of the same kind.
     """
     names = entities.select("id", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).distinct()
     names = names.withColumn("n", F.size(trigrams(F.col("name"))))
     asked = queries.select("query").distinct().withColumn("q", F.size(trigrams(F.col("query"))))
     shared = names.select("id", "name", "n", F.explode(trigrams(F.col("name"))).alias("t")).join(asked.select("query", "q", F.explode(trigrams(F.col("query"))).alias("t")), "t")
     alike = shared.groupBy("query", "id", "name").agg((F.count("*") / (F.max("n") + F.max("q") - F.count("*"))).alias("similarity")).filter(F.col("similarity") >= least)
-    # Contained: windows of three characters of query and name, whatever they are.
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.lower(c), i, F.lit(3))))
-    long_enough = asked.filter(F.length("query") >= 3).withColumn("g", F.substr(F.lower("query"), F.lit(1), F.lit(3)))
-    posted = names.filter(F.length("name") >= 3).select("id", "name", F.explode(grams(F.col("name"))).alias("g"))
-    inside = posted.join(long_enough, "g").filter(F.lower("name").contains(F.lower("query")))
-    short = F.broadcast(asked.filter(F.length("query").between(1, 2)).limit(1000))  # one- and two-letter queries are few: 70 * 70 of letters and digits
-    inside = inside.select("query", "id", "name").unionByName(names.join(short, F.lower("name").contains(F.lower("query"))).select("query", "id", "name"))
-    both = alike.unionByName(inside.withColumn("similarity", F.lit(0.0)))
+    # Contained: a query's first characters, three at most, are among the windows of that width of the name, whatever they are.
+    width = lambda c: F.least(F.length(c), F.lit(3))
+    grams = lambda c, w: F.transform(F.sequence(F.lit(1), F.length(c) - w + 1), lambda i: F.substr(c, i, F.lit(w)))
+    asked = asked.filter(F.length("query") >= 1).withColumn("l", F.lower("query"))
+    heads = asked.select("query", "l", F.substr("l", F.lit(1), width("l")).alias("g"))
+    lowered = names.withColumn("l", F.lower("name"))
+    windows = F.flatten(F.array(*(F.when(F.length("l") >= w, grams(F.col("l"), w)).otherwise(F.array().cast("array<string>")) for w in (1, 2, 3))))
+    posted = lowered.select("id", F.col("l").alias("held"), F.explode(F.array_distinct(windows)).alias("g"))
+    inside = posted.join(heads, "g").filter(F.col("held").contains(F.col("l"))).select("query", "id", F.lit(0.0).alias("similarity"))
+    both = alike.select("query", "id", "similarity").unionByName(inside)
     best = both.groupBy("query", "id").agg(F.max("similarity").alias("similarity"))
     n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return best.withColumn("rank", n).filter(F.col("rank") <= k)

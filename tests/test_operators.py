@@ -100,3 +100,17 @@ def test_mentions_of_null_and_repeated_texts(spark):
     rows = [("1", "tax 421a"), ("1", "tax 421a"), ("1", None), ("2", ""), ("3", "UAP and 467-M")]
     found = {r.bbl: (r.mentions, len(r.evidence)) for r in filings.program_mentions(spark.createDataFrame(rows, "bbl string, text string")).collect()}
     assert found == {"1": (["421-a"], 1), "3": (["467-m", "UAP"], 2)}
+
+
+def test_search_answers_every_short_query(spark):
+    from itertools import product
+
+    from lotledger.operators import owners
+
+    letters = "abcdefghijklmnopqrstuvwxyzäöü0123456789&-"
+    asked = ["".join(q) for q in product(letters, repeat=2)] + list(letters) + ["A &", "HOLD", "q-holding"]
+    names = [("1", "Alpha-Beta & Sons", ["A"]), ("2", "QZ Holding", ["9ü", "Q-Holdings"]), ("3", "Zä", []), ("4", "", None)]
+    found = owners.search_entities(spark.createDataFrame(names, "id string, canonical_name string, aliases array<string>"), spark.createDataFrame([(q,) for q in asked], "query string"), least=2.0)
+    wanted = {(q, i) for q in asked if q for i, name, more in names if any(q.lower() in x.lower() for x in [name, *(more or [])])}
+    got = [(r.query, r.id) for r in found.collect()]
+    assert len(asked) > 1000 and len(got) == len(set(got)) and set(got) == wanted
