@@ -572,7 +572,7 @@ def declared_units(spark, sf_dir):
 
 @query(f"""WITH {PLANS} SELECT doc_id, (doc_id % 90 + 1)::DOUBLE AS units, (1500 + doc_id % 50 * 100)::DOUBLE AS lot_area, (doc_id % 9 + 1)::DOUBLE AS far FROM pages WHERE page = 0""")
 def plan_signals(spark, sf_dir):
-    return pages.extract_signals(_pages(spark, sf_dir).filter("page < 2"))
+    return pages.extract_signals(_pages(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT user_id % 20 AS session_id, event_type AS kind, user_id::VARCHAR AS key, ts FROM events), t AS (SELECT max(ts) AS m FROM e)

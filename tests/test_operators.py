@@ -114,3 +114,26 @@ def test_search_answers_every_short_query(spark):
     wanted = {(q, i) for q in asked if q for i, name, more in names if any(q.lower() in x.lower() for x in [name, *(more or [])])}
     got = [(r.query, r.id) for r in found.collect()]
     assert len(asked) > 1000 and len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_signals_far_on_in_a_text(spark, tmp_path):
+    import re
+
+    from lotledger import queries
+    from lotledger.plans import pages
+
+    far_on = "x " * 20_000
+    rows = [(1, 0, far_on + "PROPOSED 12 DWELLING UNITS"), (1, 1, far_on + "lot area: 2,500 sf " + far_on + "FAR: 3.5"), (2, 0, far_on), (2, 3, "Number of units: 7"), (2, 5, "proposed 9 units"), (3, 0, None)]
+    wanted = {}
+    for i, patterns, low, high in ((0, pages.UNITS, 1, 500), (1, pages.LOT_AREA, 100, 1_000_000), (2, pages.FAR, 0.1, 30)):
+        for doc, page, text in rows:
+            for n, p in enumerate(patterns):
+                m = re.search(p, (text or "").upper())
+                if m and low <= float(m[1].replace(",", "")) <= high:
+                    wanted.setdefault((doc, i), []).append((n, page, float(m[1].replace(",", ""))))
+    got = {r.doc_id: tuple(r)[1:] for r in pages.extract_signals(spark.createDataFrame(rows, "doc_id long, page int, text string")).collect()}
+    assert got == {d: tuple(min(wanted[d, i])[2] if (d, i) in wanted else None for i in range(3)) for d in (1, 2, 3)}
+    assert got[1] == (12.0, 2500.0, 3.5)
+    # Negative ids write no number of units and no FAR at the head of a plan, so the query must find the text's own.
+    spark.createDataFrame([(-5, far_on + "proposed 31 units, FAR: 3.5")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.units, r.lot_area, r.far) for r in queries.plan_signals(spark, str(tmp_path)).collect()] == [(31.0, 1000.0, 3.5)]
