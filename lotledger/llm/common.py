@@ -21,22 +21,52 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where spark.checkpoint.dir is unset (tests in local mode) a temporary folder is made.
+    Only in local mode, where driver and executors are one machine, may spark.checkpoint.dir be unset; a
+    temporary folder is made then.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost
-    executor costs only the tasks that it was running."""
+def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost
+    executor costs only the tasks that it was running."""
+    return _written(df, tag)[0]
+
+
+class Scratch:
+    """Materialized tables that are deleted as soon as their last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        table, path = _written(df, tag)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        self.drop(*(table for table, _ in self.paths.values()))
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:

@@ -103,6 +103,61 @@ def test_one_deletion_neighbourhoods_lose_no_link():
                 assert len(np.intersect1d(sign(a), sign(b)))
 
 
+def test_jaccard_join_with_one_deletion_bands(spark, monkeypatch):
+    """The same links when every band gives all it can to segments that may differ by one token."""
+    def ones(low, high, shared, difference):
+        return (difference + 1) % 2, (difference + 1) // 2, 0
+
+    monkeypatch.setattr(jaccard_join, "allocate", ones)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(500)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100, "a b c d e f"), (101, "a b c d e f g"), (102, "x")]
+    assert any(s[3] for s in jaccard_join.schemes_for(spark.createDataFrame([(b"a", 60, [1])], "set_id binary, n_shingles long, sample array<long>"), 80, 100))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == components(rows, 5, 80, 100)
+
+
+def test_jaccard_join_of_many_sets_outside(spark, monkeypatch):
+    """Sets that share most tokens with a large component and link with few or none of it."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(3)
+    base, edits = [f"w{i}" for i in range(150)], [f"e{i}" for i in range(4)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[5 * rng.randrange(30)] = rng.choice(edits)
+        rows.append((i, " ".join(copy)))
+    for n, num in ((5, 80), (3, 80), (3, 90)):
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, num, 100)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == components(rows, n, num, 100)
+
+
+def test_jaccard_query_is_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op1_jaccard_join(spark, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows, 3, 90, 100)
+
+
+def test_keep_one_of_null_and_shared_ids(spark):
+    text, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    rows = [
+        (None, text, "a"), (None, text + " more", "b"), (None, text + " more", "c"),  # near copies without ids: one stays
+        (3, other, "d"), (3, "quite another text of some more words", "e"), (2, other + " more", "f"),  # 3's first text is a copy of 2
+        (None, " ", "g"), (None, " ", "h"), (8, None, "i"), (8, None, "j"), (9, "", "k"),  # without words: one of equal rows
+    ]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id string")).collect()
+    assert sorted((str(r.doc_id), len((r.text or "").split())) for r in kept) == [("2", 101), ("3", 7), ("8", 0), ("9", 0), ("None", 0), (kept_id := "None", next(len(r.text.split()) for r in kept if r.doc_id is None and len(r.text) > 1))]
+    assert kept_id == "None" and len({r._id for r in kept}) == 6
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(5, text), (3, text + " more"), (3, text + " more"), (9, "quite another text of some words")]
