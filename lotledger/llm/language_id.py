@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
 #: Least share of a language's trigrams that the model keeps, so at most 1 / MIN_SHARE for each language.
 MIN_SHARE, SMOOTHING, EVIDENCE = 1e-6, 0.5, 40
 #: Trigrams that a task counts at once.
 AT_ONCE = 2_000_000
+MAX_BROADCAST_ROWS = 50_000
 #: Weight of the level above in a host's and a domain's prior, and of even shares in the likelihoods.
 SHRINK, EVEN = 5.0, 1.0
 _DROP = re.compile(r"(?is)<(script|style|nav|footer|header|aside|noscript)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>|<[^>]*>|&[#a-z0-9]+;")
@@ -154,7 +155,8 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id") -> DataFra
     total = lambda a: sum((F.col(a)[i] for i in range(1, n)), F.col(a)[0])
     above = lambda i: (F.col("d")[i] + SHRINK * F.col("g")[i] / total("g")) / (total("d") + SHRINK)
     priors = hosts.join(domains, "domain").crossJoin(F.broadcast(everything))  # one row
-    priors = priors.select(F.col("host").alias("_host"), F.col("s").alias("h"), F.array(*(above(i) for i in range(n))).alias("a"))
+    priors = materialize(priors.select(F.col("host").alias("_host"), F.col("s").alias("h"), F.array(*(above(i) for i in range(n))).alias("a")), "priors")
+    priors = broadcast_if_small(priors, MAX_BROADCAST_ROWS)  # one row a host: a host with very many pages isn't met in one task
     joined = (
         rows.join(priors, F.col("host") == F.col("_host"), "left")
         .join(_shares(rows, "declared", n), F.col("declared") == F.col("_declared"), "left")

@@ -11,8 +11,10 @@ source of n rows gets about sqrt(n) blocks of sqrt(n) rows, so both levels grow
 
 Defined results: null texts have size 0; sources come by code point with null last; documents of size 0
 are never taken; a source without words has target 0; repeated rows are copies like any other (rows alike
-in doc_id, source and size stand in one place of the queue, so they are taken together); an empty table gives no rows; further columns pass
-through mix() untouched unless they carry the name of a result column, which replaces them.
+in doc_id, source and text stand in one place of the queue, so they are taken together); an empty table gives
+no rows; further columns pass through mix() untouched, whatever their names.
+
+Windows without a partition run over the sources, and over about the root of the number of documents of spans.
 """
 
 from __future__ import annotations
@@ -71,8 +73,11 @@ def _place(key: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with size, the words of its text, and key, its place in the shuffle."""
-    return docs.withColumns({"size": F.size(words(F.col("text"))).cast("long"), "key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
+    """docs with size, the words of its text, and key, its place in the shuffle: by id and text, so rows without
+    an id, or that share one, are spread as well."""
+    content = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), content).cast("binary"))
+    return docs.withColumns({"size": F.size(words(F.col("text"))).cast("long"), "key": key})
 
 
 def _place_in_source() -> Column:
@@ -124,6 +129,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHAR
     only the plan, a row a source, is joined to them."""
     rows = materialize(sized(docs.select("doc_id", "source", "text")).drop("text"), "sized")
     mixed = plan(rows, weights, percent, repeats)
-    out = with_copies(sized(docs), mixed, repeats)
-    repeated = out.filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    out = with_copies(sized(packed), mixed, repeats)
+    return out.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

@@ -13,11 +13,13 @@ neighbours are spread over most lists, need many, and then the tables of codes a
 Lists are packed into bins of bounded size, a long list into several, so a list that holds a third of all
 vectors is many tasks' work. Queries go to the bins of the lists that they visit.
 
+With exact=True every list is visited and every vector of it is scored, which finds the true neighbours.
+
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, as queries or as candidates; null ids take no part; ties go to the smaller id, also
-among equal vectors; repeated rows of one id are one candidate each; a query has fewer than k answers only
-if there are fewer candidates; an empty table gives
-no rows.
+among equal vectors; of several vectors under one id the least, component by component, counts, so an id is
+one query and one candidate; a query has fewer than k answers only if there are fewer candidates; an empty
+table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ MAX_LISTS = 4096
 WANTED, MEASURED = 0.97, 500
 #: Parts of a vector that are quantised, and codes a part; rows of a bin; exact scores for each answer in a bin.
 PARTS, CODES, BIN_ROWS, RERANK = 16, 256, 4000, 24
+#: Queries that meet a bin in one task, about.
+QUERY_ROWS = 20_000
 
 
 def valid(embedding: Column) -> Column:
@@ -51,7 +55,7 @@ def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     """id, x: the vectors that take part."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x")).filter(F.col("id").isNotNull() & valid(F.col("x")))
     usual = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("x") == (usual["n"] if usual else 0))
+    return rows.filter(F.size("x") == (usual["n"] if usual else 0)).groupBy("id").agg(F.min("x").alias("x"))
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -133,7 +137,7 @@ def _bins(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def nearest(vectors: DataFrame, k: int = 20, is_query: Column | None = None, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, is_query: Column | None = None, key: str = "vec_id", embedding: str = "embedding", exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows with the largest inner products found,
     its own row left out. is_query: a condition on the column id; all rows by default."""
     spark = vectors.sparkSession
@@ -162,7 +166,7 @@ def nearest(vectors: DataFrame, k: int = 20, is_query: Column | None = None, key
                 continue
             order = held.value.visits(np.stack(f["x"].to_numpy()), lists)
             # As many lists as were measured, and on until they hold k others.
-            enough = np.maximum(int(np.ceil(held.value.share * lists)), (np.cumsum(filled[order], axis=1) <= k).sum(axis=1) + 1)
+            enough = np.maximum(lists if exact else int(np.ceil(held.value.share * lists)), (np.cumsum(filled[order], axis=1) <= k).sum(axis=1) + 1)
             out = []
             for i, (m, row) in enumerate(zip(enough, order, strict=True)):
                 visits: dict[int, list[int]] = {}
@@ -173,9 +177,11 @@ def nearest(vectors: DataFrame, k: int = 20, is_query: Column | None = None, key
             yield pd.DataFrame(out, columns=["bin", "query_id", "q", "visits"])
 
     queries = rows if is_query is None else rows.filter(is_query)
-    asked = queries.mapInPandas(ask, "bin int, query_id long, q array<double>, visits array<int>")
+    # Both sides of a task are bounded: a bin's vectors, which meet the queries block by block.
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    asked = queries.mapInPandas(ask, "bin int, query_id long, q array<double>, visits array<int>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     places = F.broadcast(spark.createDataFrame(bins, "list int, first int, many int"))  # at most MAX_LISTS rows
-    filed = filed.join(places, "list").withColumn("bin", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int")).select("bin", "list", "id", "x", "code")
+    filed = filed.join(places, "list").withColumn("bin", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int")).select("bin", "list", "id", "x", "code", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("for_block"))
 
     def search(asked: pd.DataFrame, filed: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(filed):
@@ -196,13 +202,13 @@ def nearest(vectors: DataFrame, k: int = 20, is_query: Column | None = None, key
                     near[by, i:j] = index.approximate(q[by], codes[i:j], centre)
             for i, query in enumerate(some["query_id"].to_numpy()):
                 found = np.flatnonzero(near[i] > -np.inf)
-                best = found[np.lexsort((ids[found], -near[i][found]))[: k * RERANK + 1]]
+                best = found[np.lexsort((ids[found], -near[i][found]))[: None if exact else k * RERANK + 1]]
                 best = best[ids[best] != query]
                 score = (x[best] * q[i]).sum(axis=1)
                 top = np.lexsort((ids[best], -score))[:k]
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best][top], "score": score[top]}))
         return pd.concat(out)
 
-    found = asked.groupBy("bin").cogroup(filed.withColumnRenamed("bin", "in_bin").groupBy("in_bin")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = asked.groupBy("bin", "block").cogroup(filed.withColumnRenamed("bin", "in_bin").groupBy("in_bin", "for_block")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +56,10 @@ class _Table(dict):
 class ChunkEncoder:
     """Encodes and decodes texts as the library does, by way of the chunk table."""
 
-    def __init__(self, model: str, max_chunks: int = MAX_CHUNKS):
+    def __init__(self, model: bytes, max_chunks: int = MAX_CHUNKS):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.max_chunks = max_chunks
         self._clear()
         self.marker = self.library.piece_to_id(MARK)
@@ -120,6 +121,11 @@ def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def _model_bytes(model: str) -> bytes:
+    """The model file, read where the driver runs; tasks get its bytes (about a megabyte), not a path."""
+    return Path(model).read_bytes()
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """docs with ids, array<int>: the text as the library encodes it, without begin or end ids; and, if
     a name is given for decoded, with the string that the library decodes from those ids."""
@@ -129,10 +135,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     if decoded:
         fields.append(T.StructField(decoded, T.StringType(), False))
 
-    names = [f.name for f in kept]
+    names, model_bytes = [f.name for f in kept], _model_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(model)
+        encoder = ChunkEncoder(model_bytes)
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for a, b in _slices([len(t) for t in texts], SLICE_CHARS):
@@ -149,10 +155,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
 def decode(rows: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """rows with decoded: the string that the library decodes from the ids (null or none: "")."""
     rows = rows.drop(decoded)
+    model_bytes = _model_bytes(model)
     schema = T.StructType([*rows.schema.fields, T.StructField(decoded, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(model)
+        encoder = ChunkEncoder(model_bytes)
         for batch in batches:
             strings = encoder.decode([i or [] for i in batch.column(ids).to_pylist()])
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names} | {decoded: pa.array(strings, pa.string())})

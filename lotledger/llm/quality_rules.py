@@ -2,7 +2,8 @@
 
 Word, line and repetition counts of every document feed one mergeable quantile sketch for each
 language, source and metric. The sketches give each (language, source) its own fences, which replace
-fixed cutoffs, and a join with the fences decides every document.
+fixed cutoffs, and a join with the fences decides every document. Fences of small groups lean on those of
+their language, and these on those of all, by the number of documents, without a switch at any size.
 
 The sketch is a log-linear histogram: a count for each bucket, where values below 64 have a bucket of
 their own and a larger value shares one with values within 1/32 of it. Merging two sketches adds their
@@ -33,8 +34,8 @@ METRICS = {
     "dup_lines": ("n_dup_lines", "n_lines", 1000, False, 400),
     "repeats": ("n_repeat_words", "n_words", 1000, False, 250),
 }
-#: A (language, source) with fewer documents uses its language's sketch; a language with fewer, that of all.
-MIN_GROUP = 100
+#: Documents that the language's fences weigh next to a (language, source)'s own, and those of all next to a language's.
+PRIOR = 100
 MAX_BROADCAST_ROWS = 50_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
@@ -160,7 +161,11 @@ def thresholds(counted: DataFrame) -> DataFrame:
         .join(F.broadcast(lang) if lang.count() <= MAX_BROADCAST_ROWS else lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
         .join(F.broadcast(whole), F.lit(True), "left")  # one row
     )
-    pick = lambda c: F.when(F.col("o_n") >= MIN_GROUP, F.col(f"o_{c}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
+
+    def lean(n: str, own: Column, on: Column) -> Column:
+        return F.coalesce((F.col(n).cast("double") * own.cast("double") + PRIOR * on) / (F.col(n) + PRIOR).cast("double"), on)
+
+    pick = lambda c: lean("o_n", F.col(f"o_{c}"), lean("l_n", F.col(f"l_{c}"), F.col(f"w_{c}").cast("double")))
     return joined.select("lang", "source", *(pick(c).alias(c) for c in names))
 
 
@@ -184,4 +189,7 @@ def judge(counted: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """docs (text, lang, source, ...) with the counts, base_failed and kept."""
-    return judge(with_counts(docs))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
+    judged = judge(with_counts(packed).drop("text"))
+    results = [*COUNTS, "base_failed", "kept"]
+    return judged.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in results), *results)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import jaccard_join, language_id, mixing, neighbours, pieces, quality_classifier, quality_rules, suffix_tree, warc, wordpiece
 from .common import materialize, read_table
 
-#: The model file that op8 applies; a path that every node has.
+#: The model file that op8 applies.
 PIECE_MODEL = "piece_bpe_32k.model"
 
 

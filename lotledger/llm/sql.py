@@ -59,22 +59,34 @@ f AS (
     max(q3 + greatest(3 * (q3 - q1), 250)) FILTER (metric = 'repeats') AS hi_repeats
   FROM e GROUP BY level, lang, source
 ),
-p AS (
-  SELECT m.*, CASE WHEN o.n >= 100 THEN 0 WHEN l.n >= 100 THEN 1 ELSE 2 END AS use_level FROM m
-  LEFT JOIN f o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
-  LEFT JOIN f l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM m.lang
+g AS (
+  SELECT l.lang,
+    coalesce((l.n::DOUBLE * l.lo_word_length + 100 * w.lo_word_length::DOUBLE) / (l.n + 100)::DOUBLE, w.lo_word_length) AS lo_word_length,
+    coalesce((l.n::DOUBLE * l.hi_word_length + 100 * w.hi_word_length::DOUBLE) / (l.n + 100)::DOUBLE, w.hi_word_length) AS hi_word_length,
+    coalesce((l.n::DOUBLE * l.hi_symbols + 100 * w.hi_symbols::DOUBLE) / (l.n + 100)::DOUBLE, w.hi_symbols) AS hi_symbols,
+    coalesce((l.n::DOUBLE * l.hi_dup_lines + 100 * w.hi_dup_lines::DOUBLE) / (l.n + 100)::DOUBLE, w.hi_dup_lines) AS hi_dup_lines,
+    coalesce((l.n::DOUBLE * l.hi_repeats + 100 * w.hi_repeats::DOUBLE) / (l.n + 100)::DOUBLE, w.hi_repeats) AS hi_repeats
+  FROM f l, f w WHERE l.level = 1 AND w.level = 2
+),
+h AS (
+  SELECT o.lang, o.source,
+    (o.n::DOUBLE * o.lo_word_length + 100 * g.lo_word_length) / (o.n + 100)::DOUBLE AS lo_word_length,
+    (o.n::DOUBLE * o.hi_word_length + 100 * g.hi_word_length) / (o.n + 100)::DOUBLE AS hi_word_length,
+    (o.n::DOUBLE * o.hi_symbols + 100 * g.hi_symbols) / (o.n + 100)::DOUBLE AS hi_symbols,
+    (o.n::DOUBLE * o.hi_dup_lines + 100 * g.hi_dup_lines) / (o.n + 100)::DOUBLE AS hi_dup_lines,
+    (o.n::DOUBLE * o.hi_repeats + 100 * g.hi_repeats) / (o.n + 100)::DOUBLE AS hi_repeats
+  FROM f o JOIN g ON g.lang IS NOT DISTINCT FROM o.lang WHERE o.level = 0
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(word_length >= lo_word_length, true) AND coalesce(word_length <= hi_word_length, true)
   AND coalesce(symbols <= hi_symbols, true) AND coalesce(dup_lines <= hi_dup_lines, true) AND coalesce(repeats <= hi_repeats, true) AS kept
-FROM p LEFT JOIN f ON f.level = use_level AND (use_level = 2 OR f.lang IS NOT DISTINCT FROM p.lang)
-  AND (use_level > 0 OR f.source IS NOT DISTINCT FROM p.source)
+FROM m LEFT JOIN h ON h.lang IS NOT DISTINCT FROM m.lang AND h.source IS NOT DISTINCT FROM m.source
 """
 
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
 ),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

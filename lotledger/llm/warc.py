@@ -12,7 +12,9 @@ ranges before comes from a table of one row for each URL and range.
 Defined results: a record without URL or date is returned unresolved ("no_response"); a response at the very
 time of the revisit isn't earlier; of responses at one time the one with the greatest id counts; if neither
 side has a validator in common the outcome is "no_validator"; repeated records are resolved one by one;
-header names compare in lower case, the last of repeated ones counts; an empty table gives no rows.
+header names compare in lower case, the last of repeated ones counts; entity tags compare weakly, as for a
+304; records may be of any length; an empty table gives no rows; further columns are not read. A page without
+URL makes records without one, a page without an id none.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from .common import materialize
 #: Header fields that a 304 answer may update.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 
+#: Records of a range, about.
+RANGE_ROWS = 1_000_000
+
 
 def canonical_url(url: Column) -> Column:
     """Scheme and www. dropped, host in lower case, no default port, fragment, tracking or session
@@ -67,7 +72,8 @@ def parse_records(raw: DataFrame, column: str = "record") -> DataFrame:
 def _agree() -> Column:
     """Whether the validators of answer (r) and revisit agree; null if they have none in common."""
     h, r = F.col("headers"), F.col("r.headers")
-    return F.coalesce(h["etag"] == r["etag"], h["last-modified"] == r["last-modified"], F.col("digest") == F.col("r.digest"))
+    tag = lambda x: F.regexp_replace(x["etag"], r"^W/", "")
+    return F.coalesce(tag(h) == tag(r), h["last-modified"] == r["last-modified"], F.col("digest") == F.col("r.digest"))
 
 
 def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -81,7 +87,7 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     rows = records.filter(full | (F.col("kind") == "revisit")).select("record_id", canonical_url(F.col("url")).alias("url"), "date", full.alias("full"), "headers", "digest")
     rows = materialize(rows, "records")  # the ranges are sampled before they are dealt, and undated records are read apart
     dated = rows.filter(F.col("url").isNotNull() & F.col("date").isNotNull())
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
     order = ["date", "full", "record_id"]  # at one time revisits stand before responses
     dealt = materialize(dated.repartitionByRange(ranges, "url", *order).withColumn("range", F.spark_partition_id()), "captures")
     answer = F.when(F.col("full"), F.struct("date", "record_id", "headers", "digest"))
@@ -112,14 +118,14 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     seconds = F.col("page_id") * 60
     response = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.lit("response")), line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:r"), F.col("page_id"), F.lit(">"))),
-        line("WARC-Target-URI", F.col("url")), line("WARC-Date", at(seconds)), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2(F.col("html").cast("binary"), 256))), F.lit("\r\n"),
+        F.coalesce(line("WARC-Target-URI", F.col("url")), F.lit("")), line("WARC-Date", at(seconds)), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2(F.col("html").cast("binary"), 256))), F.lit("\r\n"),
         F.lit("HTTP/1.1 200 OK\r\n"), line("Date", at(seconds)), F.when(F.col("page_id") % 4 != 3, line("ETag", tag)).otherwise(""), line("Last-Modified", at(seconds - 86400)),
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length("html").cast("string")), F.lit("\r\n"), F.col("html"),
     )
     later = seconds + 30 + (F.col("page_id") % 7) * 86400
     revisit = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.lit("revisit")), line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:v"), F.col("page_id"), F.lit(">"))),
-        line("WARC-Target-URI", F.col("url")), line("WARC-Date", at(later)), F.lit("\r\n"),
+        F.coalesce(line("WARC-Target-URI", F.col("url")), F.lit("")), line("WARC-Date", at(later)), F.lit("\r\n"),
         F.lit("HTTP/1.1 304 Not Modified\r\n"), line("Date", at(later)), F.when(F.col("page_id") % 4 < 2, line("ETag", F.when(F.col("page_id") % 11 == 0, F.lit('"other"')).otherwise(tag))).otherwise(""),
         F.when(F.col("page_id") % 4 >= 2, line("Last-Modified", at(seconds - 86400))).otherwise(""), line("Cache-Control", F.lit("max-age=60")), line("Content-Length", F.lit("0")), F.lit("\r\n"),
     )

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -227,7 +228,7 @@ def test_pieces_query(spark, sf_dir):
 def test_small_tables_of_chunks_change_nothing():
     model = public_tokenizers.path("piece_bpe_32k.model")
     texts = [" ".join(f"word{i * j}" for j in range(50)) for i in range(50)]
-    encoder = pieces.ChunkEncoder(model, max_chunks=10)
+    encoder = pieces.ChunkEncoder(Path(model).read_bytes(), max_chunks=10)
     for a in range(0, 50, 5):
         ids, at = encoder.encode(texts[a : a + 5])
         assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == encoder.library.encode(texts[a : a + 5])
@@ -391,3 +392,68 @@ def test_stages_return_documents(spark, sf_dir):
     last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
     assert last.count() == before.count()
     assert corpus_pipeline.run(spark, sf_dir).count() == last.count()
+
+
+CLASHES = ["key", "target", "source_size", "last_0", "_w", "_h", "_s", "_lines", "_lang", "_source", "lo_symbols", "row", "_id", "h", "n", "size"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * 8, "en", "a") for i in range(6)], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    for out in (quality_rules.quality_rules(docs), mixing.mix(docs), jaccard_join.keep_one(docs, 3)):
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES if c in out.columns)
+        assert set(docs.columns) <= set(out.columns)
+
+
+def test_neighbours_ask_once_for_repeated_ids(spark):
+    rows = [(i, [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(40)]
+    rows += [(0, [9.0, 9.0, 9.0]), (0, rows[0][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, 20, F.col("id") % 20 == 0).collect()
+    assert Counter(r.query_id for r in got) == {0: 20, 20: 20}
+    assert all(len({r.vec_id for r in got if r.query_id == q}) == 20 for q in (0, 20))
+
+
+def test_neighbours_exact(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 7)
+    x = np.random.default_rng(1).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, 10, F.col("id") % 20 == 0, exact=True).toPandas()
+    for q, part in got.groupby("query_id"):
+        order = [i for i in np.lexsort((np.arange(len(x)), -(x * x[q]).sum(axis=1))) if i != q][:10]
+        assert part.sort_values("rank").vec_id.tolist() == order
+
+
+def test_neighbours_query_has_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = queries.op2_neighbours(spark, sf).toPandas()
+    hits = wanted = 0
+    for q in ids[ids % 20 == 0]:
+        score = (x * x[ids == q][0]).sum(axis=1)
+        order = [i for i in ids[np.lexsort((ids, -score))] if i != q][:20]
+        hits, wanted = hits + len(set(order) & set(got[got.query_id == q].vec_id)), wanted + len(order)
+    assert hits >= 0.9 * wanted
+
+
+def test_pages_without_url_keep_their_records(spark):
+    pages = spark.createDataFrame([(0, None, "<p>a</p>"), (2, "http://a.com/", "<p>b</p>")], "page_id long, url string, html string")
+    got = {r.record_id: r for r in warc.resolve_revisits(warc.parse_records(warc.records_of_pages(pages))).collect()}
+    assert got["v0"].outcome == "no_response" and got["v0"].url is None and got["v2"].outcome == "resolved"
+    assert warc.resolve_revisits(warc.parse_records(warc.records_of_pages(pages.limit(0)))).count() == 0
+
+
+def test_weak_tags_of_revisits(spark):
+    rows = [("r", "response", "http://a.com", "2020-01-01 00:00:00", 200, {"etag": 'W/"x"'}, None), ("v", "revisit", "http://a.com", "2020-01-02 00:00:00", 304, {"etag": '"x"'}, None)]
+    df = spark.createDataFrame(rows, "record_id string, kind string, url string, date string, status int, headers map<string,string>, digest string").withColumn("date", F.to_timestamp("date"))
+    assert [r.outcome for r in warc.resolve_revisits(df).collect()] == ["resolved"]
+
+
+def test_mix_takes_rows_without_ids_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"w{i} w w w", "a") for i in range(300)] + [(i, "x y", "b") for i in range(300)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n")).collect()
+    words_a = 4 * next(r.n for r in mixed if r.source == "a")
+    target = next(r.target for r in mixing.targets(mixing.sized(docs)).collect() if r.source == "a")
+    assert abs(words_a - target) <= 8
