@@ -2,24 +2,24 @@
 
 Symbols are the lower-cased words of a text and its end. The root's distribution is the smoothed unigram
 distribution that also gives base_score. A context is the last one, two, ... up to DEPTH words before a
-symbol. It is a candidate if its suffix is kept and it occurs MIN_CONTEXT times in the training texts,
-and it is kept if what follows it diverges from what follows its suffix: by the Kullback-Leibler divergence
-and by count times divergence, so that it is neither slight nor chance, both taken over BUCKETS classes of
-the next word, which bounds the divergence over words from below. A kept
-context's distribution is its counts, smoothed with its suffix's distribution; the pairs that it is kept
-with occur MIN_PAIR_COUNT times, and the mass of rarer ones goes to the suffix as well. Both numbers are the
-same for every size of the corpus, so the tree grows with it. Every token is scored in the longest kept suffix
-of the words before it.
+symbol. It is a candidate if its suffix is kept and it occurs MIN_CONTEXT times in the training texts, and it is
+kept if what follows it diverges from what its suffix predicts: the Kullback-Leibler divergence of the next word,
+times the count, estimated with each occurrence left out of its own prediction, so that chance alone gives
+none, must reach DIVERGENCE, and LEAST_DIVERGENCE for each occurrence. A kept context's distribution is its
+counts, smoothed with its suffix's distribution; the pairs of context and word that it is kept with occur
+MIN_PAIR_COUNT times, and the mass of rarer ones goes to the suffix as well. These numbers are the same for every
+size of the corpus, so the tree grows with it. Every token is scored in the longest kept suffix of the words
+before it.
 
 1. Tasks split texts into words once and write, a row for each block of texts, the 64-bit hashes of the
    block's distinct words, their training counts, and the texts as positions in that list.
 2. The lists are cut by hash into slices and meet slice by slice, which gives each word's count over all
    blocks, and each block gets the counts of its words back as arrays. The number of slices grows with the
    lists, so a slice has a bounded size.
-3. For each length, one pass over the blocks asks for candidates (context, class of next word) and, for
-   the contexts kept before, (context, next word). A block asks for each once, with its training count, packed
-   and cut by hash into slices. The slices sum the counts; joins test the divergence; and each block gets back
-   what was kept of what it asked for.
+3. For each length, a pass over the blocks asks once for every pair of candidate context and next word, with its
+   training count and its probability by the tree so far, packed and cut into slices by context; contexts of
+   very frequent words are cut by next word as well. The slices sum the counts and the parts of the divergence,
+   a join over contexts tests it, and each block gets back what was kept of what it asked for.
 4. A last pass meets the blocks with their parts of the tree and scores them.
 
 The word table, the counts and the tree grow with the corpus and stay distributed: no task and not the driver
@@ -38,6 +38,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import count
 
 import numpy as np
@@ -48,16 +49,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import Scratch
 
 DEPTH = 3
 #: Least number of training tokens for a context and for a pair of context and word.
 MIN_CONTEXT, MIN_PAIR_COUNT = 10, 2
-#: Classes of the next word (a power of 2); divergence, and count times divergence, in nats, from which a
-#: context is kept; weight of the suffix's distribution.
-BUCKETS, LEAST_DIVERGENCE, DIVERGENCE, SMOOTHING = 64, 0.2, 60.0, 2.0
+#: Divergence of a context from its suffix, over all its occurrences and for each, in nats, from which it is kept;
+#: weight of the suffix's distribution.
+DIVERGENCE, LEAST_DIVERGENCE, SMOOTHING = 8.0, 0.1, 2.0
 #: A block of texts ends at so many tokens; entries of word lists in a slice; tokens for each slice of the tree.
-BLOCK_TOKENS, SLICE, TREE_SLICE = 2_000_000, 500_000, 2_000_000
+BLOCK_TOKENS, SLICE, TREE_SLICE = 2_000_000, 500_000, 1_000_000
 END = b"\n"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,6 +74,18 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers packed byte by byte of their places, which compresses those that are small."""
+    numbers = np.ascontiguousarray(numbers)
+    width = numbers.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def _numbers(packed: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def tokenized(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     """A row for each block of texts: BLOCKS."""
 
@@ -191,6 +204,11 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
+def _pairs(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of pairs of context and next word."""
+    return (_mix(contexts.astype(np.uint64) * _ODD + words) >> np.uint64(1)).astype(np.int64)
+
+
 @dataclass
 class Level:
     """A block's kept contexts of one length: sorted keys, counts, counts of kept pairs; sorted pairs and counts."""
@@ -221,8 +239,10 @@ class Block:
         base = np.full(len(before), length, np.uint64) if shorter is None else shorter.astype(np.uint64)
         return (_mix(before + base * _ODD) >> np.uint64(7)).astype(np.int64)
 
-    def pairs(self, contexts: np.ndarray) -> np.ndarray:
-        return (_mix(contexts.astype(np.uint64) * _ODD + self.hashes) >> np.uint64(1)).astype(np.int64)
+    @property
+    def words(self) -> np.ndarray:
+        """32 bits of each word, which tell apart what follows one context."""
+        return (self.hashes >> np.uint64(32)).astype(np.uint32)
 
     def walk(self, levels: list[Level]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each length: the keys, where they stand among the kept contexts, and whether they do."""
@@ -240,81 +260,70 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _summed(trained: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """Distinct values of the first column, what stands beside them, and how often they are trained on."""
-    _, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
-    return [*(c[first] for c in columns), np.bincount(at, trained, len(first)).astype(np.int32)]
-
-
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _read(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+def _schema(**types: str) -> tuple[str, pa.Schema]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return ", ".join(f"{n} {t}" for n, t in types.items()), pa.schema([(n, kinds[t]) for n, t in types.items()])
+
+
+#: What a block asks a slice: contexts (sorted; differences), how many words follow each (twice, and 1 if the context
+#: is cut by next word), the words, their training counts and log probabilities by the tree so far.
+ASKED, ASKED_ARROW = _schema(slice="long", block="long", contexts="binary", sizes="binary", words="binary", n="binary", logs="binary")
+#: What a slice says: for each block the contexts and pairs that can be kept; under no block its sums by context.
+MET, MET_ARROW = _schema(slice="long", block="long", contexts="binary", sizes="binary", words="binary", n="binary", parts="binary", mass="binary")
+#: What a block gets: kept contexts with counts and counts of kept pairs, and these pairs.
+FOUND, FOUND_ARROW = _schema(length="int", block="long", contexts="binary", totals="binary", mass="binary", sizes="binary", words="binary", n="binary")
 
 
 def levels_of(found: pa.Table, depth: int) -> list[Level]:
     """The part of the tree that a block was answered with."""
     held = defaultdict(list)
     for row in found.to_pylist():
-        held[row["length"], row["kind"]].append((np.frombuffer(row["keys"], np.int64), np.frombuffer(row["n"], np.int64)))
-
-    def sorted_table(length: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = held.get((length, kind)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        keys, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(keys)
-        return keys[order], n[order]
-
+        contexts, sizes = _numbers(row["contexts"], np.int64), _numbers(row["sizes"], np.uint32)
+        pairs = _pairs(np.repeat(contexts, sizes), np.frombuffer(row["words"], np.uint32))
+        held[row["length"]].append((contexts, _numbers(row["totals"], np.int64), _numbers(row["mass"], np.int64), pairs, _numbers(row["n"], np.int64)))
     levels = []
     for length in range(1, depth + 1):
-        contexts, totals = sorted_table(length, CONTEXT)
-        known, n = sorted_table(length, PAIRED)
-        at, some = _find(known, contexts)
-        paired = np.where(some, n[at] if len(n) else 0, 0)
-        levels.append(Level(contexts, totals, paired, *sorted_table(length, PAIR)))
+        contexts, totals, mass, pairs, n = (np.concatenate(c) for c in zip(*held.get(length, [(np.zeros(0, np.int64),) * 5]), strict=True))
+        contexts, first = np.unique(contexts, return_index=True)  # one that is cut by next word comes from several slices
+        order = np.argsort(pairs)
+        levels.append(Level(contexts, totals[first], mass[first], pairs[order], n[order]))
     return levels
 
 
-#: Kinds of what is asked for and found: contexts (asked for with the class of the next word), pairs of
-#: context and word, counts of a context's kept pairs; the root's classes.
-CONTEXT, PAIR, PAIRED, ROOT = range(4)
-ASKED, ASKED_ARROW = "kind int, slice long, block long, keys binary, above binary, n binary", pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("above", pa.binary()), ("n", pa.binary())])
-FOUND, FOUND_ARROW = "kind int, length int, block long, keys binary, n binary", pa.schema([("kind", pa.int32()), ("length", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-
-
-def asked(blocks: DataFrame, found: DataFrame | None, depth: int, least: int, slices: int) -> DataFrame:
-    """ASKED: a row for each block, kind and slice. Candidates are one word longer than the depth levels found,
-    above is their suffix; pairs are those of the longest level, above is their context. The counts are of
-    training texts; texts held out ask as well, with a count of 0 for what only they have."""
+def asked(blocks: DataFrame, found: DataFrame | None, depth: int, slices: int, root: float) -> DataFrame:
+    """ASKED for contexts one word longer than the depth levels found. Texts held out ask as well, with a count of
+    0 for what only they have. root: what the root's counts plus 1 are divided by."""
 
     def ask(row: dict, levels: list[Level]) -> pa.Table:
         block = Block(row)
-        keys, inside = None, np.ones(len(block.hashes), bool)
+        length, keys, inside = depth + 1, None, np.ones(len(block.hashes), bool)
         for _, keys, _, inside in block.walk(levels):  # noqa: B007
             pass
-        out = []
-        if levels:
-            out.append((PAIR, *_summed(block.trained[inside], block.pairs(keys)[inside], keys[inside])))
-        if len(levels) < DEPTH:
-            length = len(levels) + 1
-            frequent = np.zeros(len(inside), bool)
-            frequent[length:] = block.counts[:-length] >= least
-            some = inside & frequent & (block.place >= length)
-            longer = block.contexts(length, keys)[some]
-            above = np.zeros(len(longer), np.int64) if keys is None else keys[some]
-            classes = (block.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
-            out.append((CONTEXT, *_summed(block.trained[some], longer * BUCKETS + classes[some], above)))
-            if not levels:
-                out.append((ROOT, *_summed(block.trained, classes, np.zeros(len(classes), np.int64))))
+        before = np.zeros(len(inside), np.int64)
+        before[length:] = block.counts[:-length]
+        some = inside & (before >= MIN_CONTEXT) & (block.place >= length)
+        contexts, words = block.contexts(length, keys)[some], block.words[some]
+        logs = np.log(probabilities(block, levels, (block.counts + 1) / root)[some]).astype(np.float16)
+        _, first, at = np.unique(_pairs(contexts, words), return_index=True, return_inverse=True)
+        n = np.bincount(at, block.trained[some], len(first)).astype(np.uint32)
+        # A context occurs no more often than its words do.
+        nearest = np.zeros(len(inside), np.int64)
+        nearest[1:] = block.counts[:-1]
+        cuts = -(-np.minimum(before, nearest)[some][first] // TREE_SLICE)
+        contexts, words, logs = contexts[first], words[first], logs[first]
+        of = (_mix(contexts.astype(np.uint64) + _ODD * (words % np.maximum(cuts, 1)).astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
+        order = np.lexsort((words, contexts, of))
+        ends = np.searchsorted(of[order], np.arange(slices + 1))
         rows = []
-        for kind, key, above, n in out:
-            of = (key if kind == PAIR else key // BUCKETS) % slices
-            order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(slices + 1))
-            for i in np.flatnonzero(np.diff(ends)):
-                part = order[ends[i] : ends[i + 1]]
-                rows.append((kind, int(i), row["block"], key[part].tobytes(), above[part].tobytes(), n[part].tobytes()))
+        for i in np.flatnonzero(np.diff(ends)):
+            part = order[ends[i] : ends[i + 1]]
+            starts = np.flatnonzero(np.diff(contexts[part], prepend=-1))
+            sizes = 2 * np.diff(np.append(starts, len(part))) + (cuts[part][starts] > 1)
+            rows.append((int(i), row["block"], _planes(np.diff(contexts[part][starts], prepend=0)), _planes(sizes.astype(np.uint32)), words[part].tobytes(), _planes(n[part]), _planes(logs[part])))
         return _table(rows, ASKED_ARROW)
 
     texts = blocks.select("block", "held_out", "lengths", "codes", "hashes", "counts")
@@ -329,100 +338,81 @@ def asked(blocks: DataFrame, found: DataFrame | None, depth: int, least: int, sl
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(meet, ASKED)
 
 
-def context_sums(asks: DataFrame, least: int) -> DataFrame:
-    """context, class, above, n, total: the candidates that occur often enough, over all blocks."""
-
-    def meet(rows: pa.Table) -> pa.Table:
-        key, first, at = np.unique(np.concatenate(_read(rows, "keys", np.int64)), return_index=True, return_inverse=True)
-        n = np.bincount(at, np.concatenate(_read(rows, "n", np.int32))).astype(np.int64)
-        above, context = np.concatenate(_read(rows, "above", np.int64))[first], key // BUCKETS
-        starts = np.flatnonzero(np.diff(context, prepend=-1))
-        total = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(key))))
-        some = (total >= least) & (n > 0)
-        return pa.table({"context": context[some], "class": (key % BUCKETS)[some], "above": above[some], "n": n[some], "total": total[some]})
-
-    return asks.select("slice", "keys", "above", "n").groupBy("slice").applyInArrow(meet, "context long, class long, above long, n long, total long")
-
-
-def pair_sums(asks: DataFrame, length: int, least: int) -> DataFrame:
-    """FOUND: for each block its pairs that occur often enough, over all blocks; and, under no block, the
-    counts of the contexts of a slice's pairs."""
-
-    def meet(rows: pa.Table) -> pa.Table:
-        keys = _read(rows, "keys", np.int64)
-        key, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n = np.bincount(at, np.concatenate(_read(rows, "n", np.int32))).astype(np.int64)
-        out = []
-        for block, own, mine in zip(rows.column("block").to_pylist(), keys, np.split(n[at], np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-            some = mine >= least
-            out.append((PAIR, length, block, own[some].tobytes(), mine[some].tobytes()))
-        some = n >= least
-        context, where = np.unique(np.concatenate(_read(rows, "above", np.int64))[first][some], return_inverse=True)
-        out.append((PAIRED, length, None, context.tobytes(), np.bincount(where, n[some], len(context)).astype(np.int64).tobytes()))
-        return _table(out, FOUND_ARROW)
-
-    return asks.select("slice", "block", "keys", "above", "n").groupBy("slice").applyInArrow(meet, FOUND)
-
-
-def unpacked(packed: DataFrame, kind: type) -> DataFrame:
-    """key, n: an entry of the packed lists a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["keys"], np.int64)), pa.array(np.frombuffer(row["n"], kind).astype(np.int64))], ["key", "n"])
-
-    return packed.select("keys", "n").mapInArrow(run, "key long, n long")
-
-
-def answers(asks: DataFrame, known: DataFrame, kind: int, length: int, slices: int) -> DataFrame:
-    """FOUND: for each block what is known (context, n) of the contexts that it asked for."""
-
-    def meet(rows: pa.Table, known: pa.Table) -> pa.Table:
-        contexts, n = known.column("context").to_numpy(), known.column("n").to_numpy()
-        order = np.argsort(contexts)
-        contexts, n, out = contexts[order], n[order], []
-        for block, keys in zip(rows.column("block").to_pylist(), _read(rows, "keys", np.int64), strict=True):
-            own = np.unique(keys // BUCKETS)
-            at, some = _find(contexts, own)
-            if some.any():
-                out.append((kind, length, block, own[some].tobytes(), n[at[some]].tobytes()))
-        return _table(out, FOUND_ARROW)
-
-    known = known.select((F.col("context") % slices).alias("slice"), "context", "n")
-    return asks.select("slice", "block", "keys").groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(meet, FOUND)
-
-
-def grow(blocks: DataFrame, slices: int) -> tuple[DataFrame | None, int]:
+def met(rows: pa.Table) -> pa.Table:
+    """MET of a slice. A context's part of the divergence: over its occurrences, the log of what its other ones give the
+    word, together with the suffix, less what the suffix gives it; the count is divided out at the end."""
+    slice_, read = rows.column("slice")[0].as_py(), []
+    for row in rows.to_pylist():
+        sizes = _numbers(row["sizes"], np.uint32)
+        contexts = np.repeat(np.cumsum(_numbers(row["contexts"], np.int64)), sizes >> 1)
+        read.append((row["block"], contexts, np.repeat(sizes & 1, sizes >> 1), np.frombuffer(row["words"], np.uint32), _numbers(row["n"], np.uint32), _numbers(row["logs"], np.float16)))
+    blocks, *columns = zip(*read, strict=True)
+    ends = np.cumsum([len(c) for c in columns[0]])[:-1]
+    contexts, cut, words, n, logs = (np.concatenate(c) for c in columns)
+    _, first, at = np.unique(_pairs(contexts, words), return_index=True, return_inverse=True)
+    total = np.bincount(at, n).astype(np.int64)
+    own, of = np.unique(contexts[first], return_inverse=True)
+    occurrences = np.bincount(of, total).astype(np.int64)
+    seen, log = total > 0, logs[first].astype(np.float64)
+    parts = np.bincount(of[seen], total[seen] * (np.log(total[seen] - 1 + SMOOTHING * np.exp(log[seen])) - log[seen]), len(own))
+    paired = total >= MIN_PAIR_COUNT
+    mass = np.bincount(of[paired], total[paired], len(own)).astype(np.int64)
+    whole = np.ones(len(own), bool)
+    whole[of] = cut[first] == 0
+    often = (occurrences >= MIN_CONTEXT) | ~whole
+    out = [(slice_, None, own[often].tobytes(), b"", b"", occurrences[often].tobytes(), parts[often].tobytes(), mass[often].tobytes())]
+    for block, c, w, pair in zip(blocks, np.split(contexts, ends), np.split(words, ends), np.split(at, ends), strict=True):
+        some = often[of[pair]]
+        c, w, pair = c[some], w[some], pair[some]
+        starts = np.flatnonzero(np.diff(c, prepend=-1))
+        keep = paired[pair]
+        sizes = np.add.reduceat(keep, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        out.append((slice_, block, _planes(c[starts]), _planes(sizes.astype(np.uint32)), w[keep].tobytes(), _planes(total[pair][keep]), None, None))
+    return _table(out, MET_ARROW)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slice, context, n, part, mass: a slice's sums, a row a context."""
+    for row in _rows(batches):
+        contexts = np.frombuffer(row["contexts"], np.int64)
+        columns = [np.full(len(contexts), row["slice"]), contexts, np.frombuffer(row["n"], np.int64), np.frombuffer(row["parts"]), np.frombuffer(row["mass"], np.int64)]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["slice", "context", "n", "part", "mass"])
+
+
+def answer(length: int, rows: pa.Table, known: pa.Table) -> pa.Table:
+    """FOUND: for each block those of a slice's contexts that are kept."""
+    kept, n, mass = (known.column(c).to_numpy() for c in ("context", "n", "mass"))
+    order = np.argsort(kept)
+    kept, n, mass, out = kept[order], n[order], mass[order], []
+    for row in rows.to_pylist():
+        contexts, sizes = _numbers(row["contexts"], np.int64), _numbers(row["sizes"], np.uint32)
+        at, some = _find(kept, contexts)
+        if some.any():
+            pairs, at = np.repeat(some, sizes), at[some]
+            words, counts = np.frombuffer(row["words"], np.uint32)[pairs], _numbers(row["n"], np.int64)[pairs]
+            out.append((length, row["block"], _planes(contexts[some]), _planes(n[at]), _planes(mass[at]), _planes(sizes[some]), words.tobytes(), _planes(counts)))
+    return _table(out, FOUND_ARROW)
+
+
+def grow(blocks: DataFrame, slices: int, root: float, scratch: Scratch) -> tuple[DataFrame | None, int]:
     """The tree as FOUND, each block's part of it, and its depth."""
-    spark = blocks.sparkSession
-    contexts = found = above = before = None
-    for length in range(1, DEPTH + 2):
-        asks = materialize(asked(blocks, contexts, length - 1, MIN_CONTEXT, slices), "asked")
-        if contexts is not None:
-            pairs = materialize(pair_sums(asks.filter(F.col("kind") == PAIR), length - 1, MIN_PAIR_COUNT), "pairs")
-            paired = unpacked(pairs.filter(F.col("kind") == PAIRED), np.int64).groupBy(F.col("key").alias("context")).agg(F.sum("n").alias("n"))
-            paired = materialize(answers(before.filter(F.col("kind") == CONTEXT), paired, PAIRED, length - 1, slices), "paired")
-            found = found.unionByName(pairs.filter(F.col("kind") == PAIR)).unionByName(paired)
-            discard(spark, before)
-        if length > DEPTH:
-            discard(spark, asks)
-            return found, DEPTH
-        classes = materialize(context_sums(asks.filter(F.col("kind") == CONTEXT), MIN_CONTEXT), "classes")
-        if above is None:
-            root = unpacked(asks.filter(F.col("kind") == ROOT), np.int32).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0")
-            above = root.select(F.lit(0).cast("long").alias("context"), F.col("key").alias("class"), "n")
-        totals = above.groupBy("context").agg(F.sum("n").alias("t")).join(above, "context").select(F.col("context").alias("above"), "class", (F.col("n") / F.col("t")).alias("share"))
+    found = None
+    for length in range(1, DEPTH + 1):
+        slice_rows = scratch(asked(blocks, found, length - 1, slices, root).groupBy("slice").applyInArrow(met, MET), "met")
+        sums = slice_rows.filter("block IS NULL").mapInArrow(_sums, "slice long, context long, n long, part double, mass long")
         n = F.col("n")
-        gains = classes.join(totals, ["above", "class"]).groupBy("context").agg(F.max("total").alias("total"), F.sum(n * F.log(n / (F.col("total") * F.col("share")))).alias("gain"))
-        kept = gains.filter((F.col("gain") >= DIVERGENCE) & (F.col("gain") >= LEAST_DIVERGENCE * F.col("total")))
-        kept = materialize(kept.select("context", F.col("total").alias("n")), "kept")
+        gain = F.col("part") - n * F.log(n - 1 + F.lit(SMOOTHING))
+        kept = sums.groupBy("context").agg(F.sum("n").alias("n"), F.sum("part").alias("part"), F.sum("mass").alias("mass"))
+        kept = kept.filter((n >= MIN_CONTEXT) & (gain >= DIVERGENCE) & (gain >= LEAST_DIVERGENCE * n)).select("context", "n", "mass")
+        kept = scratch(kept.join(sums.select("slice", "context"), "context"), "kept")
         if kept.isEmpty():
+            scratch.drop(slice_rows, kept)
             return found, length - 1
-        above = classes.join(kept.select("context"), "context").select("context", "class", "n")
-        own = materialize(answers(asks.filter(F.col("kind") == CONTEXT), kept, CONTEXT, length, slices), "contexts")
-        contexts = own if contexts is None else contexts.unionByName(own)
+        own = slice_rows.filter("block IS NOT NULL").groupBy("slice").cogroup(kept.groupBy("slice")).applyInArrow(partial(answer, length), FOUND)
+        own = scratch(own, "found")
         found = own if found is None else found.unionByName(own)
-        before = asks
+        scratch.drop(slice_rows, kept)
+    return found, DEPTH
 
 
 def probabilities(block: Block, levels: list[Level], root: np.ndarray) -> np.ndarray:
@@ -432,7 +422,7 @@ def probabilities(block: Block, levels: list[Level], root: np.ndarray) -> np.nda
         level = levels[_ - 1]
         if not len(level.contexts):
             break
-        spot, paired = _find(level.pairs, block.pairs(keys))
+        spot, paired = _find(level.pairs, _pairs(keys, block.words))
         n = np.where(paired, level.counts[spot] if len(level.pairs) else 0, 0)
         total, kept = level.totals[at], level.paired[at]
         p = np.where(inside, (n + (total - kept + SMOOTHING) * p) / (total + SMOOTHING), p)
@@ -442,15 +432,15 @@ def probabilities(block: Block, levels: list[Level], root: np.ndarray) -> np.nda
 def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; see the module. Texts whose
     id's CRC-32 leaves the remainder fold of folds are scored but not learnt from."""
-    spark = docs.sparkSession
-    blocks = materialize(tokenized(docs, folds, fold), "blocks")
+    scratch = Scratch(docs.sparkSession)
+    blocks = scratch(tokenized(docs, folds, fold), "blocks")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     n_train, listed, n_tokens = blocks.agg(total("n_trained"), total("n_listed"), total(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)"))).first()
-    counted = materialize(counted_blocks(blocks, max(1, -(-listed // SLICE))), "counted")
-    discard(spark, blocks)
+    counted = scratch(counted_blocks(blocks, max(1, -(-listed // SLICE))), "counted")
+    scratch.drop(blocks)
     distinct = counted.agg(F.sum("n_words")).first()[0] or 0
-    found, depth = grow(counted, max(1, -(-n_tokens // TREE_SLICE)))
     everything = float(n_train + 1 * (distinct + 1))
+    found, depth = grow(counted, max(1, -(-n_tokens // TREE_SLICE)), everything, scratch)
 
     def score(row: dict, levels: list[Level]) -> pa.Table:
         block = Block(row)

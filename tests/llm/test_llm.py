@@ -136,7 +136,7 @@ def test_jaccard_join_of_many_sets_outside(spark, monkeypatch):
         for _ in range(rng.randint(0, 6)):
             copy[5 * rng.randrange(30)] = rng.choice(edits)
         rows.append((i, " ".join(copy)))
-    for n, num in ((5, 80), (3, 80), (3, 90)):
+    for n, num in ((5, 80), (3, 90)):
         got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, num, 100)
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == components(rows, n, num, 100)
 
@@ -248,6 +248,56 @@ def test_base_scores_and_tree(spark, sf_dir):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def naive_tree_scores(texts, held):
+    """Scores by dictionaries over words, from the definition."""
+    trained = [t for i, t in texts.items() if not held[i]]
+    counts = Counter(w for t in trained for w in t)
+    whole = sum(counts.values()) + len(counts) + 1
+    kept, pairs = {}, {}
+
+    def p(before, w, depth):
+        if not depth:
+            return (counts[w] + 1) / whole
+        q, ctx = p(before, w, depth - 1), tuple(before[len(before) - depth :])
+        if len(ctx) < depth or any(ctx[len(ctx) - k :] not in kept for k in range(1, depth + 1)):
+            return q
+        n, (total, mass) = pairs.get((ctx, w), 0), kept[ctx]
+        return ((n if n >= 2 else 0) + (total - mass + 2) * q) / (total + 2)
+
+    for depth in (1, 2, 3):
+        seen = Counter()
+        for t in trained:
+            for j in range(depth, len(t)):
+                ctx = tuple(t[j - depth : j])
+                if counts[ctx[0]] >= 10 and (depth == 1 or ctx[1:] in kept):
+                    seen[ctx, t[j]] += 1
+        by = {}
+        for (ctx, w), n in seen.items():
+            by.setdefault(ctx, []).append((w, n))
+        fresh = {}
+        for ctx, found in by.items():
+            total = sum(n for _, n in found)
+            logs = [float(np.float16(math.log(p(ctx[1:], w, depth - 1)))) for w, _ in found]
+            gain = sum(n * (math.log(n - 1 + 2 * math.exp(q)) - q) for (_, n), q in zip(found, logs, strict=True)) - total * math.log(total + 1)
+            if total >= 10 and gain >= 8 and gain >= 0.1 * total:
+                fresh[ctx] = total, sum(n for _, n in found if n >= 2)
+        kept |= fresh
+        pairs |= seen
+    return {i: sum(math.log10(p(t[:j][-3:], w, 3)) for j, w in enumerate(t)) for i, t in texts.items()}, kept
+
+
+def test_tree_is_the_naive_one(spark, sf_dir, monkeypatch):
+    for name, size in (("BLOCK_TOKENS", 5000), ("SLICE", 1000), ("TREE_SLICE", 300)):
+        monkeypatch.setattr(suffix_tree, name, size)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: [*(r.text or "").encode().lower().split(), b"\n"] for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    wanted, kept = naive_tree_scores(texts, held)
+    assert {len(c) for c in kept} >= {1, 2}
+    for r in queries.op9_suffix_tree(spark, sf_dir).collect():
+        assert r.score == pytest.approx(wanted[r.doc_id], rel=1e-6)
+
+
 def test_tree_predicts_what_repeats(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(suffix_tree, "SLICE", 50)
