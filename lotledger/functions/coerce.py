@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Month names.
-MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
 def js_float(c: Column, default: float | None = 0.0) -> Column:
@@ -51,18 +50,15 @@ def join_names(*parts: Column) -> Column:
     return F.nullif(F.concat_ws(" ", *(trim_or_null(p) for p in parts)), F.lit(""))
 
 
+# Forms of dates, once commas are gone and blanks squeezed.
+DATE_FORMS = ["yyyy-M-d", "M/d/yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy"]
+
+
 def to_iso_date(c: Column) -> Column:
     """yyyy-mm-dd from year-month-day, month/day/year (also - and .), "Mon d, yyyy" and "d Mon yyyy", with
-    or without a time; null outside 1900 to 2100 or for no known form."""
-    s = F.trim(F.regexp_replace(F.trim(c), r"(?i)\s+\d{1,2}:\d{2}(:\d{2})?\s*(AM|PM)?$", ""))
-    number = lambda pattern, group: F.regexp_extract(s, pattern, group).try_cast("int")
-    month_of = F.create_map(*(F.lit(x) for i, name in enumerate(MONTHS, 1) for key in dict.fromkeys([name, name[:3]]) for x in (key, i)))
-    iso, us, named, day_first = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$", r"^([A-Za-z]+)\s+(\d{1,2}),?\s*(\d{4})$", r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
-    parts = (
-        F.when(s.rlike(iso), F.struct(number(iso, 1).alias("y"), number(iso, 2).alias("m"), number(iso, 3).alias("d")))
-        .when(s.rlike(us), F.struct(number(us, 3).alias("y"), number(us, 1).alias("m"), number(us, 2).alias("d")))
-        .when(s.rlike(named), F.struct(number(named, 3).alias("y"), month_of[F.lower(F.regexp_extract(s, named, 1))].alias("m"), number(named, 2).alias("d")))
-        .when(s.rlike(day_first), F.struct(number(day_first, 3).alias("y"), month_of[F.lower(F.regexp_extract(s, day_first, 2))].alias("m"), number(day_first, 1).alias("d")))
-    )
-    inside = parts["y"].between(1900, 2100) & parts["m"].between(1, 12) & parts["d"].between(1, 31)
-    return F.when(inside, F.format_string("%04d-%02d-%02d", parts["y"], parts["m"], parts["d"]))
+    or without a time; null for days that don't exist, outside 1900 to 2100 or for no known form."""
+    day = F.regexp_replace(F.trim(c), r"(?i)\s+\d{1,2}:\d{2}(:\d{2})?\s*(AM|PM)?$", "")
+    day = F.trim(F.regexp_replace(day, r"[,\s]+", " "))
+    day = F.regexp_replace(day, r"^(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{4})$", "$1/$2/$3")
+    found = F.coalesce(*(F.try_to_timestamp(day, F.lit(form)).cast("date") for form in DATE_FORMS))
+    return F.when(F.year(found).between(1900, 2100), F.date_format(found, "yyyy-MM-dd"))

@@ -72,11 +72,13 @@ def mentions_from_parcels(parcels: DataFrame) -> DataFrame:
 
 
 def owner_mentions(*sources: DataFrame) -> DataFrame:
-    """All mentions with their match key and entity type; keys under three characters go."""
+    """All mentions with their match key and entity type; keys under three characters go. Both are found once
+    for each distinct name."""
     out = sources[0]
     for s in sources[1:]:
         out = out.unionByName(s)
-    return out.withColumns({"key": owner_match_key(F.col("name")), "entity_type": entity_type(F.col("name"))}).filter(F.length("key") >= 3)
+    names = out.select("name").distinct().withColumns({"key": owner_match_key(F.col("name")), "entity_type": entity_type(F.col("name"))})
+    return out.join(names.filter(F.length("key") >= 3), "name")
 
 
 def build_entities(mentions: DataFrame) -> DataFrame:

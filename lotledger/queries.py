@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, text, zoning
-from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, sales, screening, spatial, stakeholders, upserts
-from .plans import pages
+from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, records, sales, screening, spatial, stakeholders, upserts
+from .plans import extraction, pages
 from .sources import derived
+from .sources.shared import written
 from .streaming import deeds as live
 
 AS_OF = "2001-12-31"
@@ -265,12 +266,13 @@ links AS (SELECT id AS owner_entity_id, bbl, relationship AS relationship_type,
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parcels = derived.parcels(spark, sf_dir).select("bbl", F.col("ownername").alias("owner_name"))
-    return owners.owner_mentions(owners.mentions_from_documents(_docs(spark, sf_dir)), owners.mentions_from_parcels(parcels))
+    raw = owners.mentions_from_documents(_docs(spark, sf_dir)).unionByName(owners.mentions_from_parcels(parcels))
+    return owners.owner_mentions(written(raw, "mentions"))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = _mentions(spark, sf_dir)
-    return owners.entity_links(mentions, owners.build_entities(mentions))
+    return written(owners.entity_links(mentions, owners.build_entities(mentions)), "links")
 
 
 @query(f"WITH {MENTIONS} SELECT id, key, canonical_name, entity_type, n_aliases, n_parcels FROM entities")
@@ -286,9 +288,10 @@ def owner_portfolios(spark, sf_dir):
 @query(f"""WITH {MENTIONS}, l AS (SELECT DISTINCT owner_entity_id, bbl FROM links WHERE relationship_type = 'owner'),
   p AS (SELECT a.owner_entity_id, b.owner_entity_id AS other_id, count(*) AS shared_parcels FROM l a JOIN l b ON a.bbl = b.bbl AND a.owner_entity_id <> b.owner_entity_id GROUP BY ALL),
   t AS (SELECT owner_entity_id AS other_id, count(*) AS total_parcels FROM l GROUP BY ALL)
-  SELECT owner_entity_id, other_id, shared_parcels, total_parcels FROM p JOIN t USING (other_id) QUALIFY row_number() OVER (PARTITION BY owner_entity_id ORDER BY shared_parcels DESC, total_parcels DESC, other_id) <= 50""")
+  SELECT owner_entity_id, other_id, shared_parcels, total_parcels, 'owner' AS relationship_types FROM p JOIN t USING (other_id) QUALIFY row_number() OVER (PARTITION BY owner_entity_id ORDER BY shared_parcels DESC, total_parcels DESC, other_id) <= 50""")
 def co_owners(spark, sf_dir):
-    return portfolio.associated_entities(_links(spark, sf_dir).filter("relationship_type = 'owner'")).drop("relationship_types")
+    found = portfolio.associated_entities(_links(spark, sf_dir).filter("relationship_type = 'owner'"))
+    return found.withColumn("relationship_types", F.array_join("relationship_types", ","))
 
 
 @query(f"""WITH {MENTIONS} SELECT id AS owner_entity_id, event_type, bbl, coalesce(occurred_at, DATE '1900-01-01') AS occurred_at, count(*) AS n FROM mentions JOIN entities USING (key) WHERE event_type IS NOT NULL GROUP BY ALL""")
@@ -767,3 +770,168 @@ def merged_constraints(spark, sf_dir):
         "l_orderkey % 50 as group_id", "array(40, 60, 80, 75, 100, 130, 55)[l_linenumber - 1] as band", "l_returnflag as program", "l_quantity / 64 as pct", "0.25D as min_affordable", "400 as est_units"
     )
     return programs.merge_constraints(rules).withColumn("programs", F.array_join("programs", ","))
+
+
+# Detailed metrics, overlay, valuations, registrations, licences, filings of two systems.
+_R2 = lambda x: f"floor(({x}) * 100 + 0.5::DOUBLE) / 100"
+
+
+@query(f"""WITH {PARCELS}, m AS (SELECT *, greatest(coalesce(resid_far, 0), 2.0::DOUBLE, 0.5::DOUBLE) AS far, CASE WHEN year_built % 3 = 0 THEN lot_area * 100 WHEN year_built % 2 = 0 THEN 5000 ELSE 0 END::DOUBLE AS paid FROM parcels)
+  SELECT bbl, {_R2('CASE WHEN lot_area > 0 THEN bldg_area / lot_area ELSE 0 END')} AS built_far_calc, {_R2('far')} AS max_allowable_far, {_R('far * lot_area')} AS max_buildable_sf, {_R('far * lot_area - bldg_area')} AS buildable_slack_sf,
+    {_R2('CASE WHEN bldg_area > 0 THEN far * lot_area / bldg_area WHEN far * lot_area > 0 THEN 999 ELSE 0 END')} AS underbuilt_ratio, CASE WHEN paid > 0 AND bldg_area > 0 THEN {_R2('paid / bldg_area')} END AS ppsf, CASE WHEN paid > 0 AND far * lot_area > 0 THEN {_R2('paid / (far * lot_area)')} END AS ppbsf FROM m""")
+def detailed_lot_metrics(spark, sf_dir):
+    year = F.col("year_built")
+    lots = screening.parcel_metrics(derived.parcels(spark, sf_dir)).withColumns({"comm_far": F.lit(2.0), "facil_far": F.lit(0.5), "amount": F.when(year % 3 == 0, F.col("lot_area") * 100), "other_amount": F.when(year % 2 == 0, 5000.0)})
+    return records.lot_metrics(lots).select("bbl", "built_far_calc", "max_allowable_far", "max_buildable_sf", "buildable_slack_sf", "underbuilt_ratio", "ppsf", "ppbsf")
+
+
+@query(f"""WITH {PARCELS}, b AS (SELECT bbl, ['no', 'yes', 'unknown'][year_built % 3 + 1] AS eligible, year_built % 3 = 0 AS gap, CASE year_built % 5 WHEN 0 THEN 'eligible' WHEN 1 THEN 'not_eligible' WHEN 2 THEN 'needs_verification' WHEN 3 THEN 'unavailable' END AS status, 'A' || borough AS area FROM parcels),
+  r AS (SELECT *, coalesce(status, 'unavailable') AS s FROM b)
+  SELECT bbl, CASE s WHEN 'unavailable' THEN CASE WHEN eligible = 'no' THEN 'no' ELSE 'unknown' END WHEN 'needs_verification' THEN CASE WHEN eligible = 'no' THEN 'no' ELSE 'needs_verification' END WHEN 'not_eligible' THEN 'no' ELSE CASE WHEN gap THEN eligible ELSE 'yes' END END AS eligible,
+    CASE WHEN s <> 'not_eligible' THEN 'Option 1' END AS applicable_option, CASE WHEN gap THEN 'Zoning does not allow it' ELSE '' END || CASE WHEN s = 'not_eligible' THEN CASE WHEN gap THEN '|' ELSE '' END || 'Property is not within an MIH-designated area' ELSE '' END AS gaps,
+    CASE s WHEN 'unavailable' THEN 'Check zoning map overlay|Own note' WHEN 'needs_verification' THEN 'Own note|Ask' WHEN 'not_eligible' THEN 'Own note' ELSE CASE WHEN gap THEN 'Own note|Located in MIH area: ' || area ELSE 'Own note|MIH area: ' || area || '|Ask' END END AS notes,
+    CASE WHEN s = 'unavailable' THEN 'MIH map layer could not be loaded' ELSE '' END AS missing FROM r""")
+def overlay_status_of_parcels(spark, sf_dir):
+    lots = screening.parcel_metrics(derived.parcels(spark, sf_dir)).select("bbl", "borough", "year_built")
+    gap = F.when(F.col("year_built") % 3 == 0, F.array(F.lit("Zoning does not allow it"))).otherwise(F.array().cast("array<string>"))
+    base = lots.select("bbl", F.expr("array('no', 'yes', 'unknown')[year_built % 3]").alias("eligible"), F.lit("Option 1").alias("applicable_option"), gap.alias("gaps"), F.expr("array('Check zoning map overlay', 'Own note')").alias("notes"), F.lit(None).cast("array<string>").alias("missing"))
+    place = lots.filter("year_built % 5 < 4").selectExpr("bbl", "array('eligible', 'not_eligible', 'needs_verification', 'unavailable')[year_built % 5] as status", "concat('A', borough) as area_name", "cast(null as string) as overlay_option", "array('Ask') as overlay_notes")
+    return records.apply_overlay(base, place).select("bbl", "eligible", "applicable_option", *(F.array_join(c, "|").alias(c) for c in ("gaps", "notes", "missing")))
+
+
+@query(f"""WITH v AS (SELECT {_bbl('l_partkey')} AS bbl, l_shipdate::DATE AS extract_date, l_extendedprice AS market_value, 'OWNER ' || l_suppkey AS owner FROM lineitem) SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY extract_date DESC, market_value DESC, owner DESC) = 1""")
+def latest_valuations(spark, sf_dir):
+    rows = derived.table(spark, sf_dir, "lineitem").selectExpr(f"{derived.parcel_key('l_partkey')} as bbl", "cast(l_shipdate as date) as extract_date", "l_extendedprice as market_value", "concat('OWNER ', l_suppkey) as owner")
+    return records.latest_valuation(rows)
+
+
+@query(f"""WITH r AS (SELECT {_bbl('o_custkey')} AS bbl, (o_orderkey % 5000)::VARCHAR AS registration_id, o_orderdate::DATE AS d FROM orders), c AS (SELECT (c_custkey % 5000)::VARCHAR AS registration_id, c_name AS name, c_mktsegment AS phone FROM customer)
+  SELECT DISTINCT bbl, registration_id, name, phone FROM r JOIN c USING (registration_id)""")
+def contacts_of_registrations(spark, sf_dir):
+    rows = derived.table(spark, sf_dir, "orders").selectExpr(f"{derived.parcel_key('o_custkey')} as bbl", "cast(o_orderkey % 5000 as string) as registration_id")
+    people = derived.table(spark, sf_dir, "customer").selectExpr("cast(c_custkey % 5000 as string) as registration_id", "c_name as name", "c_mktsegment as phone")
+    return records.registration_contacts(rows, people).select("bbl", "registration_id", "name", "phone")
+
+
+@query(f"""WITH r AS (SELECT {_bbl('o_custkey')} AS bbl, o_orderdate::DATE AS last_registration_date, o_orderkey AS registration_id FROM orders) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY last_registration_date DESC, registration_id DESC) = 1""")
+def latest_registrations(spark, sf_dir):
+    rows = derived.table(spark, sf_dir, "orders").selectExpr(f"{derived.parcel_key('o_custkey')} as bbl", "cast(o_orderdate as date) as last_registration_date", "o_orderkey as registration_id")
+    return records.latest_registration(rows)
+
+
+@query("""WITH p AS (SELECT c_custkey, 'L' || (c_custkey % 700) AS license, '212-555-' || lpad((c_custkey % 100)::VARCHAR, 4, '0') AS phone, c_custkey % 10 / 10 AS confidence FROM customer),
+  l AS (SELECT 'L' || (s_suppkey % 1000) AS license, max(s_suppkey) AS issued FROM supplier GROUP BY ALL), n AS (SELECT l.license, issued, '(212) 555' || lpad((issued % 100)::VARCHAR, 4, '0') AS bp FROM l)
+  SELECT c_custkey, p.license, CASE WHEN n.license IS NULL OR issued % 4 = 0 OR regexp_replace(bp, '[^0-9]', '', 'g') = regexp_replace(phone, '[^0-9]', '', 'g') THEN phone ELSE phone || '|' || bp END AS phones, CASE WHEN n.license IS NOT NULL THEN 'x' || issued || '@b.org' ELSE '' END AS emails,
+    CASE WHEN n.license IS NULL THEN confidence ELSE least(confidence + 0.15, 0.95::DOUBLE) END AS confidence, CASE WHEN n.license IS NULL OR issued % 3 = 0 THEN 'OLD' ELSE 'ACTIVE' END AS license_status FROM p LEFT JOIN n USING (license)""")
+def licensed_people(spark, sf_dir):
+    some = "array<struct<value:string,confidence:double>>"
+    people = derived.table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('L', c_custkey % 700) as license", f"cast(array(struct(concat('212-555-', lpad(cast(c_custkey % 100 as string), 4, '0')) as value, 0.5D as confidence)) as {some}) as phones", f"filter(cast(array(struct(null as value, 0D as confidence)) as {some}), x -> false) as emails", "c_custkey % 10 / 10D as confidence", "'OLD' as license_status")
+    licences = derived.table(spark, sf_dir, "supplier").selectExpr("concat('L', s_suppkey % 1000) as license", "s_suppkey as issued", "if(s_suppkey % 4 = 0, 'none', concat('(212) 555', lpad(cast(s_suppkey % 100 as string), 4, '0'))) as business_phone", "concat('X', s_suppkey, '@b.org') as business_email", "if(s_suppkey % 3 = 0, '', 'ACTIVE') as status")
+    found = records.attach_licenses(people, licences)
+    values = lambda c: F.array_join(F.transform(c, lambda x: x["value"]), "|")
+    return found.select("c_custkey", "license", values("phones").alias("phones"), F.lower(values("emails")).alias("emails"), "confidence", "license_status")
+
+
+_OLD_FORM = {"job": "job_number", "job_description": "job_type", "job_status": "'A'", "existing_no_of_stories": "'0'", "proposed_no_of_stories": "'12 floors'", "applicant_s_first_name": "' Ann '", "applicant_s_last_name": "''", "applicant_professional_title": "'RA'", "applicant_license": "' '", "owner_s_first_name": "'Bo'",
+             "owner_s_last_name": "concat('N', cast(j % 50 as string))", "owner_s_business_name": "'B'", "owner_sphone": "'2125550000'", "owner_s_house": "'1'", "owner_s_street": "'MAIN'", "owner_s_city": "''", "owner_s_state": "'NY'", "owner_s_zip": "'10001'", "initial_cost": "'$1,200'", "existing_dwelling_units": "'x'", "proposed_dwelling_units": "cast(j % 20 as string)",
+             "approved": "''", "fully_permitted": "'2001-02-03'"}
+_NEW_FORM = {"job_filing_number": "job_number", "job_description": "job_type", "filing_status": "'P'", "proposed_no_of_stories": "'5'", "applicant_first_name": "'Cy'", "applicant_last_name": "'Doe'", "applicant_professional_title": "''", "applicant_license": "'77'", "owner_s_business_name": "if(j % 4 = 1, 'Not Applicable', 'ACME')", "owner_s_street_name": "'ELM'", "city": "'NYC'",
+             "state": "''", "zip": "''", "rep_first_name": "'R'", "rep_last_name": "'S'", "rep_business_name": "'T'", "initial_cost": "''", "existing_dwelling_units": "'3'", "proposed_dwelling_units": "''", "first_permit_date": "''"}
+
+
+def _two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = derived.filings(spark, sf_dir).withColumn("j", F.col("job_number").cast("long")).withColumn("filing_date", F.col("filing_date").cast("string"))
+    form = lambda rows, columns: rows.selectExpr("bbl", "job_type", "filing_date", *(f"{e} as {c}" for c, e in columns.items()))
+    return records.union_filings(form(jobs.filter("j % 2 = 0"), _OLD_FORM), form(jobs.filter("j % 2 = 1"), _NEW_FORM))
+
+
+@query(f"""WITH {FILINGS}, f AS (SELECT *, job_number::BIGINT AS j FROM filings)
+  SELECT CASE WHEN j % 2 = 0 THEN 'dob_bis' ELSE 'dob_now' END AS source, bbl, job_number, job_type, filing_date::VARCHAR AS filing_date, CASE WHEN j % 2 = 0 THEN 12 ELSE 5 END AS proposed_stories, CASE WHEN j % 2 = 0 THEN 'Ann' ELSE 'Cy Doe' END AS applicant_name, CASE WHEN j % 2 = 1 THEN '77' END AS license,
+    CASE WHEN j % 2 = 0 THEN 1200::DOUBLE END AS initial_cost, CASE WHEN j % 2 = 1 THEN 3 END AS existing_units, CASE WHEN j % 2 = 0 AND j % 20 > 0 THEN (j % 20)::INTEGER END AS proposed_units, CASE WHEN j % 2 = 0 THEN 'Bo N' || (j % 50) END AS owner_name, CASE WHEN j % 2 = 0 THEN 'B' WHEN j % 4 <> 1 THEN 'ACME' END AS owner_business,
+    CASE WHEN j % 2 = 0 THEN '1, MAIN, NY, 10001' ELSE 'ELM, NYC' END AS owner_address, CASE WHEN j % 2 = 1 THEN 'R S' END AS rep_name, CASE WHEN j % 2 = 0 THEN '2001-02-03' END AS permitted_date, NULL::VARCHAR AS approved_date FROM f""")
+def filings_of_two_systems(spark, sf_dir):
+    found = _two_systems(spark, sf_dir)
+    return found.select("source", "bbl", "job_number", "job_type", "filing_date", "proposed_stories", "applicant_name", "license", "initial_cost", "existing_units", "proposed_units", "owner_name", "owner_business", "owner_address", "rep_name", "permitted_date", "approved_date")
+
+
+@query(f"""WITH {FILINGS}, f AS (SELECT *, job_number::BIGINT AS j FROM filings),
+  e AS (SELECT bbl, 'Owner' AS role, CASE WHEN j % 2 = 0 THEN 'Bo N' || (j % 50) WHEN j % 4 <> 1 THEN 'ACME' END AS name, CASE WHEN j % 2 = 0 THEN 'B' END AS business, CASE WHEN j % 2 = 0 THEN '2125550000' END AS phone, CASE WHEN j % 2 = 0 THEN '1, MAIN, NY, 10001' ELSE 'ELM, NYC' END AS address, CASE WHEN j % 2 = 0 THEN 'DOB BIS' ELSE 'DOB NOW' END AS source, j FROM f
+    UNION ALL SELECT bbl, 'Filing Rep', 'R S', 'T', NULL, NULL, 'DOB NOW', j FROM f WHERE j % 2 = 1)
+  SELECT bbl, role, arg_min(name, j) AS name, arg_min(business, j) FILTER (business IS NOT NULL) AS business, arg_min(phone, j) FILTER (phone IS NOT NULL) AS phone, arg_min(address, j) FILTER (address IS NOT NULL) AS address, array_to_string(list_distinct(list(source)), ',') AS sources FROM e WHERE name IS NOT NULL GROUP BY bbl, role, upper(name)""")
+def contacts_of_filings(spark, sf_dir):
+    rows = _two_systems(spark, sf_dir).withColumns({"seq": F.col("job_number").cast("long"), "from": F.when(F.col("source") == "dob_now", "DOB NOW").otherwise("DOB BIS")})
+    none = F.lit(None).cast("string")
+    entry = lambda role, name, business, phone, address: F.struct(F.lit(role).alias("role"), F.col(name).alias("name"), F.col(business).alias("business"), phone.alias("phone"), none.alias("email"), address.alias("address"), none.alias("license"), none.alias("license_type"))
+    both = F.explode(F.array(entry("Owner", "owner_name", "owner_business", F.col("owner_phone"), F.col("owner_address")), entry("Filing Rep", "rep_name", "rep_business", none, none)))
+    entries = rows.select("bbl", both.alias("e"), F.col("from").alias("source"), "seq").select("bbl", "e.*", "source", "seq")
+    return records.filing_contacts(entries).select("bbl", "role", "name", "business", "phone", "address", F.array_join("sources", ",").alias("sources"))
+
+
+# Plan extraction.
+@query("""WITH t AS (SELECT p_partkey, p_partkey % 6 AS k, p_partkey % 4 = 0 AND p_partkey % 6 <> 5 AS rooms FROM part)
+  SELECT p_partkey, CASE WHEN rooms OR k = 0 THEN 'light_ventilation_schedule' WHEN k IN (1, 4) THEN 'unit_schedule' WHEN k = 2 THEN 'zoning_table' WHEN k = 3 THEN 'occupancy_load' ELSE 'unknown' END AS table_type,
+    CASE WHEN rooms THEN 0.95 WHEN k = 0 THEN 0.9 WHEN k = 1 THEN 0.9 WHEN k = 2 THEN 0.8 WHEN k = 3 THEN 0.8 WHEN k = 4 THEN 0.4 ELSE 0.2 END::DOUBLE AS type_confidence FROM t""")
+def table_classes(spark, sf_dir):
+    heads = ["array('Room ID', 'Natural light', 'Ventilation')", "array('Apt', 'AMI')", "array('Lot Area', 'Use Group')", "array('Persons', 'Capacity')", "array('Studio', 'No')", "array('Colour')"]
+    cases = " ".join(f"when {i} then {h}" for i, h in enumerate(heads))
+    rows = derived.table(spark, sf_dir, "part").selectExpr("p_partkey", f"case p_partkey % 6 {cases} end as headers", "if(p_partkey % 4 = 0 and p_partkey % 6 <> 5, array(array('1', ' kitchen '), array('Bath', '2'), array('x')), array(array('1', 'Kitchen'), array('no', 'room'))) as rows")
+    return extraction.classify_tables(rows).select("p_partkey", "table_type", "type_confidence")
+
+
+@query("""WITH u AS (SELECT l_orderkey % 300 AS doc_id, CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'U' || (l_partkey % 40) END AS unit_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_quantity % 3 = 0 THEN 'UNKNOWN' ELSE '1BR' END AS bedroom_type, CASE WHEN l_quantity % 2 = 0 THEN 1 END AS bedroom_count, CASE WHEN l_returnflag = 'A' THEN 'UNKNOWN' ELSE 'MARKET' END AS allocation, CASE WHEN l_linenumber > 3 THEN 60 END AS ami_band FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY (bedroom_type <> 'UNKNOWN')::INT + (allocation <> 'UNKNOWN')::INT + (bedroom_count IS NOT NULL)::INT + (ami_band IS NOT NULL)::INT DESC, seq) AS n FROM u)
+  SELECT doc_id, unit_id, seq, bedroom_type, bedroom_count, allocation, ami_band FROM r WHERE unit_id = '' OR n = 1""")
+def deduped_units(spark, sf_dir):
+    return extraction.dedupe_units(_unit_records(spark, sf_dir))
+
+
+def _unit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey % 300 as doc_id", "if(l_partkey % 9 = 0, '', concat('U', l_partkey % 40)) as unit_id", "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as seq", "if(l_quantity % 3 = 0, 'UNKNOWN', '1BR') as bedroom_type",
+        "if(l_quantity % 2 = 0, 1, null) as bedroom_count", "if(l_returnflag = 'A', 'UNKNOWN', 'MARKET') as allocation", "if(l_linenumber > 3, 60, null) as ami_band",
+    )
+
+
+@query("""WITH u AS (SELECT l_orderkey % 300 AS doc_id, l_quantity % 3 = 0 AS b, l_returnflag = 'A' AS a FROM lineitem), s AS (SELECT doc_id, count(*) AS n, count_if(b) AS b, count_if(a) AS a FROM u GROUP BY doc_id)
+  SELECT doc_id, n, CASE WHEN b > 0.3::DOUBLE * n THEN b END::BIGINT AS unknown_bedrooms, CASE WHEN a > 0.5::DOUBLE * n THEN a END::BIGINT AS unknown_allocations FROM s""")
+def warnings_of_plans(spark, sf_dir):
+    return extraction.plan_warnings(_unit_records(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS doc_id, (10 + o_orderkey % 40)::DOUBLE AS a, CASE WHEN o_orderkey % 3 > 0 THEN 10 + o_orderkey % 40 + o_orderkey % 5 END::DOUBLE AS b, CASE WHEN o_orderkey % 4 = 0 THEN (10 + o_orderkey % 40) * 3 END::DOUBLE AS t FROM orders),
+  n AS (SELECT *, 1 + (b IS NOT NULL)::INT + (t IS NOT NULL)::INT AS k, coalesce(abs(a - b) <= 2, false) AS near, t IS NOT NULL AND a < 30 AS conflict FROM c),
+  w AS (SELECT *, CASE WHEN near THEN least(1::DOUBLE, 0.9::DOUBLE * 0.9::DOUBLE + 0.1::DOUBLE) ELSE 0.9::DOUBLE * 0.9::DOUBLE END AS ca, CASE WHEN near THEN least(1::DOUBLE, 0.95::DOUBLE * 0.85::DOUBLE + 0.1::DOUBLE) ELSE 0.95::DOUBLE * 0.85::DOUBLE END AS cb FROM n)
+  SELECT doc_id, a AS units, CASE WHEN k = 1 THEN 0.6 ELSE ca END::DOUBLE AS confidence, 'cover_sheet' AS source, k AS n_sources, conflict FROM w""")
+def resolved_units(spark, sf_dir):
+    entry = lambda source, value, confidence: f"struct('{source}' as source, cast({value} as double) as value, cast({confidence} as double) as confidence)"
+    every = f"array({entry('cover_sheet', '10 + o_orderkey % 40', 0.9)}, {entry('zoning', 'if(o_orderkey % 3 > 0, 10 + o_orderkey % 40 + o_orderkey % 5, null)', 0.95)}, {entry('table', 'if(o_orderkey % 4 = 0, (10 + o_orderkey % 40) * 3, null)', 0.99)})"
+    rows = derived.table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"explode({every}) as c").select("doc_id", "c.*")
+    return extraction.resolve_units(rows)
+
+
+@query(f"""WITH {PARCELS}, p AS (SELECT bbl AS doc_id, (year_built % 60)::DOUBLE AS units, resid_far * 1.3::DOUBLE AS far, lot_area * (0.8::DOUBLE + year_built % 5 * 0.1::DOUBLE) AS lot, lot_area, resid_far, [(year_built % 60)::DOUBLE, (year_built % 7 * 10)::DOUBLE] AS m FROM parcels),
+  q AS (SELECT *, ceil(lot_area * resid_far * 0.8::DOUBLE / 800) AS hi, greatest(1, floor(lot_area * resid_far * 0.8::DOUBLE / 1020)) AS lo FROM p),
+  g AS (SELECT doc_id, 'totalUnits' AS field, units AS extracted, greatest(1, floor(lo * 0.25::DOUBLE)) AS low, ceil(hi * 1.5::DOUBLE) AS high,
+      CASE WHEN units > ceil(hi * 1.5::DOUBLE) OR units < greatest(1, floor(lo * 0.25::DOUBLE)) THEN 'NEEDS_OVERRIDE' WHEN units > hi * 1.2::DOUBLE OR units < lo * 0.5::DOUBLE THEN 'WARN' ELSE 'PASS' END AS status FROM q WHERE lot_area > 0 AND resid_far > 0
+    UNION ALL SELECT doc_id, 'far', far, resid_far * (1 - 0.2::DOUBLE), resid_far * 1.5::DOUBLE, CASE WHEN abs(far - resid_far) / resid_far > 0.2::DOUBLE THEN CASE WHEN far <= resid_far * 1.5::DOUBLE THEN 'WARN' ELSE 'NEEDS_OVERRIDE' END ELSE 'PASS' END FROM q WHERE resid_far > 0
+    UNION ALL SELECT doc_id, 'unitCountRedundancy', units, list_min(m), list_max(m), CASE WHEN CASE WHEN units > 0 THEN abs(m[2] - units) / units ELSE 1 END > 0.3::DOUBLE THEN 'CONFLICTING' ELSE 'WARN' END FROM q WHERE abs(m[1] - m[2]) > 2
+    UNION ALL SELECT doc_id, 'lotArea', lot, lot_area * 0.85::DOUBLE, lot_area * 1.15::DOUBLE, CASE WHEN abs(lot - lot_area) / lot_area > 0.15::DOUBLE THEN 'NEEDS_OVERRIDE' WHEN abs(lot - lot_area) / lot_area > 0.08::DOUBLE THEN 'WARN' ELSE 'PASS' END FROM q WHERE lot_area > 0)
+  SELECT doc_id, field, extracted, low::DOUBLE AS low, high::DOUBLE AS high, status, status IN ('NEEDS_OVERRIDE', 'CONFLICTING') AS needs_manual FROM g""")
+def gates_of_plans(spark, sf_dir):
+    lots = screening.parcel_metrics(derived.parcels(spark, sf_dir))
+    plans = lots.selectExpr(
+        "bbl as doc_id", "cast(year_built % 60 as double) as units", "resid_far * 1.3D as far", "lot_area * (0.8D + year_built % 5 * 0.1D) as lot_area", "lot_area as parcel_lot", "resid_far as parcel_far",
+        "cast(null as double) as legal_far", "array(cast(year_built % 60 as double), cast(year_built % 7 * 10 as double)) as mentions",
+    )
+    return extraction.validation_gates(plans)
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS w, CASE WHEN l_linenumber >= 3 THEN 0.3 WHEN l_linenumber >= 2 THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN l_partkey % 2 = 0 AND l_partkey % 3 = 0 THEN 0.25 WHEN l_partkey % 2 = 0 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN l_partkey % 12 >= 10 THEN 0.2 WHEN l_partkey % 12 >= 5 THEN 0.1 WHEN l_partkey % 12 >= 1 THEN 0.05 ELSE 0 END::DOUBLE
+    + CASE WHEN l_suppkey % 2 = 0 THEN 0.15::DOUBLE * ((l_suppkey % 100)::DOUBLE / 100) ELSE 0 END + CASE WHEN l_suppkey % 7 = 0 THEN -0.3 ELSE 0 END::DOUBLE AS s FROM lineitem)
+  SELECT doc_id, least(0.99::DOUBLE, floor(sum(greatest(0, least(0.99::DOUBLE, s)) * w) / sum(w) * 100 + 0.5::DOUBLE) / 100) AS confidence FROM p GROUP BY doc_id""")
+def confidence_of_plans(spark, sf_dir):
+    pages_ = derived.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as doc_id", "l_linenumber as weight", "l_linenumber as mapped_columns", "l_partkey % 2 = 0 as total_found", "l_partkey % 3 = 0 as total_consistent", "l_partkey % 12 as unit_rows",
+        "l_suppkey % 2 = 0 as ocr_used", "cast(l_suppkey % 100 as double) as ocr_confidence", "l_suppkey % 7 = 0 as totals_conflict",
+    )
+    return extraction.plan_confidence(extraction.page_confidence(pages_))

@@ -13,7 +13,7 @@ CLASSES = ["A1", "B2", "C3", "D4", "R1", "R4", "V1"]
 FILING_TYPES = {"signup": "New Building", "purchase": "Demolition", "click": "Alteration", "view": "A2"}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,15 +21,15 @@ def _pick(values: list[str], index: str) -> str:
     return f"array({', '.join(repr(v) for v in values)})[cast({index} as int)]"
 
 
-def _key(part: str) -> str:
+def parcel_key(part: str) -> str:
     return f"concat(cast({part} % 5 + 1 as string), lpad(cast({part} div 7 as string), 5, '0'), lpad(cast({part} % 7 + 1 as string), 4, '0'))"
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels as an extract gives them: every field is text."""
     s = lambda e: f"cast({e} as string)"
-    return _table(spark, sf_dir, "part").selectExpr(
-        f"{_key('p_partkey')} as bbl",
+    return table(spark, sf_dir, "part").selectExpr(
+        f"{parcel_key('p_partkey')} as bbl",
         "concat(cast(p_partkey as string), ' ', upper(p_brand), ' STREET') as address",
         f"{s('p_partkey % 5 + 1')} as borocode",
         f"{_pick(ZONES, 'p_size % 15')} as zonedist1",
@@ -46,13 +46,13 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolling_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").selectExpr(
-        f"{_key('l_partkey')} as bbl", "cast(l_shipdate as date) as sale_date", "l_extendedprice as sale_price", "'rolling_sales' as source", "lpad(cast(l_orderkey as string), 16, '0') as document_id"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{parcel_key('l_partkey')} as bbl", "cast(l_shipdate as date) as sale_date", "l_extendedprice as sale_price", "'rolling_sales' as source", "lpad(cast(l_orderkey as string), 16, '0') as document_id"
     )
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "lpad(cast(o_orderkey as string), 16, '0') as document_id",
         f"{_pick(DOC_TYPES, 'o_orderkey % 14')} as doc_type",
         "cast(cast(o_orderdate as date) as string) as document_date",
@@ -63,15 +63,15 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "lpad(cast(l_orderkey as string), 16, '0') as document_id", "cast(l_partkey % 5 + 1 as string) as borough", "cast(l_partkey div 7 as string) as block", "cast(l_partkey % 7 + 1 as string) as lot"
     )
 
 
 def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sellers from customers, buyers from suppliers, with the order in which they stand."""
-    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
-    items, suppliers = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "supplier")
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    items, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     sellers = orders.join(customers, orders.o_custkey == customers.c_custkey).selectExpr(
         "lpad(cast(o_orderkey as string), 16, '0') as document_id", "'1' as party_type", f"concat(upper(c_name), {_pick(SUFFIXES, 'c_custkey % 6')}) as name", "0 as seq"
     )
@@ -83,6 +83,6 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = " ".join(f"when '{k}' then '{v}'" for k, v in FILING_TYPES.items())
-    return _table(spark, sf_dir, "events").selectExpr(
-        f"{_key('user_id')} as bbl", "cast(event_id as string) as job_number", "cast(ts as date) as filing_date", f"case event_type {job} else 'Foundation' end as job_type", "value"
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{parcel_key('user_id')} as bbl", "cast(event_id as string) as job_number", "cast(ts as date) as filing_date", f"case event_type {job} else 'Foundation' end as job_type", "value"
     )
