@@ -44,12 +44,12 @@ def classify_tables(tables: DataFrame) -> DataFrame:
 
 
 def dedupe_units(units: DataFrame) -> DataFrame:
-    """One record for each (doc_id, unit_id), the one with most fields, of several the first by seq; records without an id
+    """One record for each (doc_id, unit_id), the one with most fields, of several the first by seq, then by its fields; records without an id
     all stay. units: doc_id, unit_id, seq, bedroom_type, bedroom_count, allocation, ami_band, ..."""
     named = F.coalesce(F.col("unit_id") != "", F.lit(False))
     known = lambda c: F.coalesce(F.col(c) != "UNKNOWN", F.lit(True)).cast("int")
     fields = known("bedroom_type") + known("allocation") + F.col("bedroom_count").isNotNull().cast("int") + F.col("ami_band").isNotNull().cast("int")
-    best = units.filter(named).groupBy("doc_id", "unit_id").agg(F.min_by(F.struct(*units.columns), F.struct(-fields, "seq")).alias("u")).select("u.*")
+    best = units.filter(named).groupBy("doc_id", "unit_id").agg(F.min_by(F.struct(*units.columns), F.struct(-fields, "seq", "bedroom_type", "bedroom_count", "allocation", "ami_band")).alias("u")).select("u.*")
     return best.unionByName(units.filter(~named))
 
 

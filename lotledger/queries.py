@@ -879,7 +879,7 @@ def table_classes(spark, sf_dir):
 
 
 @query("""WITH u AS (SELECT l_orderkey % 300 AS doc_id, CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'U' || (l_partkey % 40) END AS unit_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_quantity % 3 = 0 THEN 'UNKNOWN' ELSE '1BR' END AS bedroom_type, CASE WHEN l_quantity % 2 = 0 THEN 1 END AS bedroom_count, CASE WHEN l_returnflag = 'A' THEN 'UNKNOWN' ELSE 'MARKET' END AS allocation, CASE WHEN l_linenumber > 3 THEN 60 END AS ami_band FROM lineitem),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY (bedroom_type <> 'UNKNOWN')::INT + (allocation <> 'UNKNOWN')::INT + (bedroom_count IS NOT NULL)::INT + (ami_band IS NOT NULL)::INT DESC, seq) AS n FROM u)
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY (bedroom_type <> 'UNKNOWN')::INT + (allocation <> 'UNKNOWN')::INT + (bedroom_count IS NOT NULL)::INT + (ami_band IS NOT NULL)::INT DESC, seq, bedroom_type NULLS FIRST, bedroom_count NULLS FIRST, allocation NULLS FIRST, ami_band NULLS FIRST) AS n FROM u)
   SELECT doc_id, unit_id, seq, bedroom_type, bedroom_count, allocation, ami_band FROM r WHERE unit_id = '' OR n = 1""")
 def deduped_units(spark, sf_dir):
     return extraction.dedupe_units(_unit_records(spark, sf_dir))
