@@ -219,6 +219,13 @@ class Level:
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
+    def smoothed(self, p: np.ndarray, at: np.ndarray, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Probabilities of words in contexts of the tree that stand at at; p: those in their suffixes."""
+        spot, paired = _find(self.pairs, _pairs(contexts, words))
+        n = np.where(paired, self.counts[spot] if len(self.pairs) else 0, 0)
+        total, kept = self.totals[at], self.paired[at]
+        return (n + (total - kept + SMOOTHING) * p) / (total + SMOOTHING)
+
 
 class Block:
     """The tokens of a block: hashes, training counts, place in their text, whether they are trained on."""
@@ -249,8 +256,10 @@ class Block:
         inside, keys = np.ones(len(self.hashes), bool), None
         for length, level in enumerate(levels, 1):
             keys = self.contexts(length, keys)
-            at, found = _find(level.contexts, keys)
-            inside = inside & found & (self.place >= length)
+            some = np.flatnonzero(inside & (self.place >= length))
+            where, found = _find(level.contexts, keys[some])
+            at, inside = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            at[some], inside[some] = where, found
             yield length, keys, at, inside
 
 
@@ -301,13 +310,17 @@ def asked(blocks: DataFrame, found: DataFrame | None, depth: int, slices: int, r
     def ask(row: dict, levels: list[Level]) -> pa.Table:
         block = Block(row)
         length, keys, inside = depth + 1, None, np.ones(len(block.hashes), bool)
-        for _, keys, _, inside in block.walk(levels):  # noqa: B007
-            pass
+        walked = list(block.walk(levels))
+        if walked:
+            _, keys, _, inside = walked[-1]
         before = np.zeros(len(inside), np.int64)
         before[length:] = block.counts[:-length]
         some = inside & (before >= MIN_CONTEXT) & (block.place >= length)
         contexts, words = block.contexts(length, keys)[some], block.words[some]
-        logs = np.log(probabilities(block, levels, (block.counts + 1) / root)[some]).astype(np.float16)
+        p = (block.counts[some] + 1) / root
+        for (_, suffix, at, _), level in zip(walked, levels, strict=True):
+            p = level.smoothed(p, at[some], suffix[some], words)
+        logs = np.log(p).astype(np.float16)
         _, first, at = np.unique(_pairs(contexts, words), return_index=True, return_inverse=True)
         n = np.bincount(at, block.trained[some], len(first)).astype(np.uint32)
         # A context occurs no more often than its words do.
@@ -417,15 +430,12 @@ def grow(blocks: DataFrame, slices: int, root: float, scratch: Scratch) -> tuple
 
 def probabilities(block: Block, levels: list[Level], root: np.ndarray) -> np.ndarray:
     """Of each token in the longest kept suffix of the words before it."""
-    p = root
-    for _, keys, at, inside in block.walk(levels):
-        level = levels[_ - 1]
-        if not len(level.contexts):
+    p, words = root.copy(), block.words
+    for (_, keys, at, inside), level in zip(block.walk(levels), levels, strict=True):
+        some = np.flatnonzero(inside)
+        if not len(some):
             break
-        spot, paired = _find(level.pairs, _pairs(keys, block.words))
-        n = np.where(paired, level.counts[spot] if len(level.pairs) else 0, 0)
-        total, kept = level.totals[at], level.paired[at]
-        p = np.where(inside, (n + (total - kept + SMOOTHING) * p) / (total + SMOOTHING), p)
+        p[some] = level.smoothed(p[some], at[some], keys[some], words[some])
     return p
 
 
