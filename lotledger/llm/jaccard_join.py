@@ -314,13 +314,15 @@ def _owner(set_id: Column) -> Column:
     return F.conv(F.hex(F.substring(set_id, 1, 8)), 16, -10).cast("long")
 
 
-def unique_tokens(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
+def unique_tokens(docs: DataFrame, n: int, ids: DataFrame, total: int) -> DataFrame:
     """owner, unique: how many tokens of a set no other set has, among the documents of ids (and a few others).
-    Tokens go by 40 bits: two that are taken for one are counted as shared, so nothing is lost."""
+    Tokens, about total, go by so many bits that one in some hundreds is taken for another; such are counted as
+    shared, so nothing is lost."""
+    shift = np.uint64(max(0, 64 - total.bit_length() - 8))
 
     def give(sets: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
         owners = np.array([int.from_bytes(x[:8], "big", signed=True) for x in names], np.int64)
-        tokens = (np.concatenate(sets) >> np.uint64(24)).view(np.int64)
+        tokens = (np.concatenate(sets) >> shift).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(owners, [len(s) for s in sets]))], ["token", "owner"])
 
     held = _wanted(docs, n, ids, give, "token long, owner long").groupBy("token").agg(F.min("owner").alias("owner"), F.max("owner").alias("other"))
@@ -384,7 +386,8 @@ def links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, scrat
     held = scratch(one.join(rows.select("set_id").distinct(), "set_id").withColumn("owner", _owner(F.col("set_id"))), "candidates")
     if held.isEmpty():
         return None
-    able = scratch(prune(rows, held, unique_tokens(docs, n, held.select("doc_id")), num, den), "able")
+    total = held.agg(F.sum("size")).first()[0]
+    able = scratch(prune(rows, held, unique_tokens(docs, n, held.select("doc_id"), total), num, den), "able")
     scratch.drop(rows)
     chosen = held.join(able.select("set_id").distinct(), "set_id", "left_semi")
     # Rows of one doc_id can hold several texts, and a set several rows.
