@@ -25,15 +25,16 @@ from .common import broadcast_if_small, materialize, words
 
 #: Tests of the base, as documented in the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Fences lie this many interquartile ranges beyond the quartiles, and at least the slack beyond them.
-FENCE = 3
-#: Metric: (numerator, denominator, scale, has a lower fence, slack).
+#: Metric: (numerator, denominator, scale, has a lower fence, lower and upper percentile, reach). The fences lie
+#: reach times the distance of the two percentiles beyond them. Traits of most documents are measured by
+#: quartiles, which junk can hardly move; repetitions, which few documents have but good ones too, by the tail.
 METRICS = {
-    "word_length": ("word_chars", "n_words", 100, True, 150),
-    "symbols": ("n_symbols", "n_words", 1000, False, 150),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, False, 400),
-    "repeats": ("n_repeat_words", "n_words", 1000, False, 250),
+    "word_length": ("word_chars", "n_words", 100, True, (25, 75), 5),
+    "symbols": ("n_symbols", "n_words", 1000, False, (25, 75), 5),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, False, (75, 99), 1),
+    "repeats": ("n_repeat_words", "n_words", 1000, False, (75, 99), 1),
 }
+PERCENTILES = sorted({p for m in METRICS.values() for p in m[4]})
 #: Documents that the language's fences weigh next to a (language, source)'s own, and those of all next to a language's.
 PRIOR = 100
 MAX_BROADCAST_ROWS = 50_000
@@ -110,9 +111,10 @@ def bucket(value: Column) -> Column:
     return (shift * 64 + F.floor(value / F.pow(F.lit(2.0), shift))).cast("int")
 
 
-def edge(bucket_: str) -> Column:
-    """The least value in a bucket."""
-    return F.expr(f"CAST(({bucket_} % 64) * pow(2, {bucket_} div 64) AS BIGINT)")
+def edge(bucket_: str, last: bool = False) -> Column:
+    """The least value in a bucket, or the greatest."""
+    width = f"pow(2, {bucket_} div 64)"
+    return F.expr(f"CAST(({bucket_} % 64 + 1) * {width} - 1 AS BIGINT)" if last else f"CAST(({bucket_} % 64) * {width} AS BIGINT)")
 
 
 def sketches(counted: DataFrame) -> DataFrame:
@@ -130,21 +132,22 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """level, lang, source, n and, for each metric, lo_<metric> and hi_<metric>."""
+    """level, lang, source, n and, for each metric, lo_<metric> and hi_<metric>.
+
+    Both follow from the sketch alone; values of the bucket in which a percentile lies count as not beyond it.
+    """
     group = Window.partitionBy("level", "lang", "source", "metric")
     ranked = sketch.withColumns({"cum": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
-    quartiles = ranked.groupBy("level", "lang", "source", "metric").agg(
-        F.max("total").alias("n"),
-        F.min(F.when(4 * F.col("cum") >= F.col("total"), F.col("bucket"))).alias("b1"),
-        F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("bucket"))).alias("b3"),
-    ).withColumns({"q1": edge("b1"), "q3": edge("b3")})
+    found = ranked.groupBy("level", "lang", "source", "metric").agg(
+        F.max("total").alias("n"), *(F.min(F.when(100 * F.col("cum") >= p * F.col("total"), F.col("bucket"))).alias(f"b{p}") for p in PERCENTILES)
+    )
     columns = []
-    for m, (_, _, _, low, slack) in METRICS.items():
-        reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), F.lit(slack))
+    for m, (_, _, _, low, (p, q), times) in METRICS.items():
+        reach = times * (edge(f"b{q}") - edge(f"b{p}"))
         mine = F.col("metric") == m
-        columns.append((F.max(F.when(mine, F.col("q1") - reach)) if low else F.lit(None).cast("long")).alias(f"lo_{m}"))
-        columns.append(F.max(F.when(mine, F.col("q3") + reach)).alias(f"hi_{m}"))
-    return quartiles.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *columns)
+        columns.append((F.max(F.when(mine, edge(f"b{p}") - reach)) if low else F.lit(None).cast("long")).alias(f"lo_{m}"))
+        columns.append(F.max(F.when(mine, edge(f"b{q}", last=True) + reach)).alias(f"hi_{m}"))
+    return found.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *columns)
 
 
 def thresholds(counted: DataFrame) -> DataFrame:

@@ -45,18 +45,22 @@ sketch AS (
   UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM fine GROUP BY metric, bucket
 ),
 q AS (
-  SELECT level, lang, source, metric, max(total) AS n, min(bucket) FILTER (4 * cum >= total) AS b1, min(bucket) FILTER (4 * cum >= 3 * total) AS b3
+  SELECT level, lang, source, metric, max(total) AS n, min(bucket) FILTER (100 * cum >= 25 * total) AS b25,
+         min(bucket) FILTER (100 * cum >= 75 * total) AS b75, min(bucket) FILTER (100 * cum >= 99 * total) AS b99
   FROM (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS cum,
                sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM sketch) GROUP BY ALL
 ),
-e AS (SELECT level, lang, source, metric, n, (b1 % 64) << (b1 // 64) AS q1, (b3 % 64) << (b3 // 64) AS q3 FROM q),
+e AS (
+  SELECT level, lang, source, metric, n, (b25 % 64) << (b25 // 64) AS p25, (b75 % 64) << (b75 // 64) AS p75, (b99 % 64) << (b99 // 64) AS p99,
+         ((b75 % 64 + 1) << (b75 // 64)) - 1 AS last75, ((b99 % 64 + 1) << (b99 // 64)) - 1 AS last99 FROM q
+),
 f AS (
   SELECT level, lang, source, max(n) AS n,
-    max(q1 - greatest(3 * (q3 - q1), 150)) FILTER (metric = 'word_length') AS lo_word_length,
-    max(q3 + greatest(3 * (q3 - q1), 150)) FILTER (metric = 'word_length') AS hi_word_length,
-    max(q3 + greatest(3 * (q3 - q1), 150)) FILTER (metric = 'symbols') AS hi_symbols,
-    max(q3 + greatest(3 * (q3 - q1), 400)) FILTER (metric = 'dup_lines') AS hi_dup_lines,
-    max(q3 + greatest(3 * (q3 - q1), 250)) FILTER (metric = 'repeats') AS hi_repeats
+    max(p25 - 5 * (p75 - p25)) FILTER (metric = 'word_length') AS lo_word_length,
+    max(last75 + 5 * (p75 - p25)) FILTER (metric = 'word_length') AS hi_word_length,
+    max(last75 + 5 * (p75 - p25)) FILTER (metric = 'symbols') AS hi_symbols,
+    max(last99 + (p99 - p75)) FILTER (metric = 'dup_lines') AS hi_dup_lines,
+    max(last99 + (p99 - p75)) FILTER (metric = 'repeats') AS hi_repeats
   FROM e GROUP BY level, lang, source
 ),
 g AS (
