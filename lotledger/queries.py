@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, text, zoning
 from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, records, sales, screening, spatial, stakeholders, upserts
-from .plans import extraction, pages
-from .sources import derived
+from .plans import extraction, pages, units
+from .sources import derived, pasted
 from .sources.shared import written
 from .streaming import deeds as live
 
@@ -935,3 +935,77 @@ def confidence_of_plans(spark, sf_dir):
         "l_suppkey % 2 = 0 as ocr_used", "cast(l_suppkey % 100 as double) as ocr_confidence", "l_suppkey % 7 = 0 as totals_conflict",
     )
     return extraction.plan_confidence(extraction.page_confidence(pages_))
+
+
+@query("""WITH r AS (SELECT p_partkey % 50 AS doc_id, p_partkey AS page, 0 AS nth, 'U' || (p_partkey % 7) AS unit_id, '1BR' AS bedroom_type, 650::DOUBLE AS area_sf FROM part
+    UNION ALL SELECT p_partkey % 50, p_partkey, 2, 'u' || (p_partkey % 70), '4BR_PLUS', 1200 FROM part UNION ALL SELECT p_partkey % 50, p_partkey, 3, p_brand, CASE WHEN p_size % 2 = 0 THEN 'STUDIO' ELSE 'UNKNOWN' END, NULL FROM part)
+  SELECT doc_id, unit_id, bedroom_type, area_sf, page FROM r WHERE page % 3 > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, upper(unit_id) ORDER BY page, nth) = 1""")
+def units_of_schedules(spark, sf_dir):
+    tables = derived.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey % 50 as doc_id", "p_partkey as page", "0 as table_index", "if(p_partkey % 3 = 0, 'zoning_table', 'unit_schedule') as table_type", "array('Floor', 'Apt No.', 'Bed type', 'Net SF') as headers",
+        "array(array('1', concat(' U', p_partkey % 7), '1 BR', '650'), array('1', 'Total', '', '9'), array('2', concat('u', p_partkey % 70), '4-bdrm', '1,200'), array('3', p_brand, if(p_size % 2 = 0, 'Studio', 'loft'))) as rows",
+    )
+    return units.units_from_tables(tables)
+
+
+@query("""WITH l AS (SELECT o_orderkey AS doc_id, o_custkey % 12 AS n, o_orderkey % 4 AS k FROM orders)
+  SELECT doc_id, 'STUDIO' AS bedroom_type, 0 AS bedroom_count, 'MIH_RESTRICTED' AS allocation, 60 AS ami_band, NULL AS unit_id, n AS units FROM l WHERE k = 0 AND n > 0
+  UNION ALL SELECT doc_id, '2BR', 2, 'MARKET', NULL, NULL, n FROM l WHERE k = 1 AND n > 0
+  UNION ALL SELECT doc_id, '3BR', 3, 'UNKNOWN', NULL, 'A' || n, 1 FROM l WHERE k = 2""")
+def units_of_lines(spark, sf_dir):
+    lines = derived.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as doc_id", "1 as page", "1 as seq",
+        """case o_orderkey % 4 when 0 then concat(o_custkey % 12, ' Studio affordable 60% AMI') when 1 then concat('2 BR: ', o_custkey % 12, ' DU free market') when 2 then concat('Apt A', o_custkey % 12, ' with 3 bed') else 'roof' end as text""",
+    )
+    return units.units_from_lines(lines).groupBy("doc_id", "bedroom_type", "bedroom_count", "allocation", "ami_band", "unit_id").agg(F.count("*").alias("units"))
+
+
+_LABELLED = "concat(text, ' UNIT ', doc_id % 9 + 1, 'A ', 300 + doc_id % 700, ' SF; 90 SF APT B', doc_id, ' ONE-BEDROOM 650 SF, 1 BR APT ', 400 + doc_id % 50, ' sq. ft')"
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 20 AS page, text || ' UNIT ' || (doc_id % 9 + 1) || 'A ' || (300 + doc_id % 700) || ' SF; 90 SF APT B' || doc_id || ' ONE-BEDROOM 650 SF, 1 BR APT ' || (400 + doc_id % 50) || ' sq. ft' AS text FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, '1BR' AS unit_type, 2 AS n, floor((650 + 400 + doc_id % 50) / 2 + 0.5)::DOUBLE AS average_sf FROM t""")
+def unit_sizes_of_plans(spark, sf_dir):
+    docs = derived.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return units.unit_sizes(docs.selectExpr("doc_id", f"{_LABELLED} as text"))
+
+
+def unit_labels_matched(spark, sf_dir):
+    """Labels of one sheet a size: no SQL, as the matching is sequential; tested against a plain loop."""
+    return units.match_unit_labels(_labels_of_sheets(spark, sf_dir))
+
+
+QUERIES["unit_labels_matched"] = unit_labels_matched
+
+
+def _labels_of_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey div 40 as doc_id", "p_size % 2 as page", "p_partkey as seq", "if(p_partkey % 2 = 0, concat('Unit ', p_partkey % 30, 'B'), concat(50 + p_size * 10, ' sq ft')) as str",
+        "cast(p_partkey * 37 % 400 as double) as x", "cast(p_partkey * 91 % 300 as double) as y", "10D as width", "4D as height",
+    )
+
+
+@query("""SELECT o_orderkey AS text_id, 1 AS line, CASE WHEN o_orderkey % 3 > 0 THEN 'C' || o_orderkey END AS crfn, o_orderdate::DATE::VARCHAR AS recorded_date, 'MTGE' AS doc_type, '3' AS borough, o_custkey::VARCHAR AS block, 'John O''Doe Llc' AS party1, '1500000' AS amount,
+    CASE WHEN o_orderkey % 3 > 0 THEN 'crfn_C' || o_orderkey ELSE 'hash_' || sha256(o_orderdate::DATE || '|MTGE|' || o_custkey || '||John O''Doe Llc|') END AS dedupe_key FROM orders""")
+def pasted_rows(spark, sf_dir):
+    line = "concat_ws('{0}', if(o_orderkey % 3 > 0, concat('C', o_orderkey), ''), date_format(o_orderdate, 'MM/dd/yyyy'), 'Mortgage', 'Brooklyn', concat('#', o_custkey), \"JOHN  o'doe LLC\", '$1,500,000')"
+    head = "concat_ws('{0}', 'CRFN', 'Recorded / Filed', 'Doc Type', 'Boro', 'Block', 'Party 1', 'Amount')"
+    form = lambda sign: f"concat_ws('\\n', {head.format(sign)}, {line.format(sign)}, '', {line.format(sign)})"
+    texts = derived.table(spark, sf_dir, "orders").selectExpr("o_orderkey as text_id", f"if(o_orderkey % 2 = 0, {form(chr(9))}, {form(' | ')}) as text")
+    return pasted.parse_pasted_tables(texts).select("text_id", "line", "crfn", "recorded_date", "doc_type", "borough", "block", "party1", "amount", "dedupe_key")
+
+
+@query(f"""WITH {PARCELS}, {DOCS}, {FILINGS}, k AS (SELECT * FROM docs WHERE doc_type IN ('DEED', 'DEEDO', 'ADED', 'EXED', 'RDED', 'TORD', 'MTGE', 'AGMT') QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY recorded_date DESC NULLS LAST, document_id DESC) <= 20),
+  p AS (SELECT bbl, document_id, 'OWNER' AS role, unnest(string_split(party2, ';')) AS name FROM k UNION ALL SELECT bbl, document_id, 'SELLER', unnest(string_split(party1, ';')) FROM k),
+  f AS (SELECT *, job_number::BIGINT AS j FROM filings)
+  SELECT bbl, document_id AS record_key, 'ACRIS_LIVE' AS source, role, trim(name) AS name, NULL AS org_name, NULL AS phone, NULL AS address, NULL::DOUBLE AS confidence FROM p WHERE trim(name) <> ''
+  UNION ALL SELECT bbl, bbl, 'PLUTO', 'OWNER', trim(owner_name), NULL, NULL, NULL, NULL FROM parcels WHERE trim(owner_name) <> ''
+  UNION ALL SELECT bbl, job_number, 'DOB_PERMIT_ISSUANCE', 'GC', CASE WHEN j % 2 = 0 THEN 'Ann' ELSE 'ACME' END, CASE WHEN j % 2 = 0 THEN 'ACME' END, '212' || (j % 100), NULL, NULL FROM f
+  UNION ALL SELECT bbl, job_number, 'DOB_PERMIT_ISSUANCE', 'OWNER', 'Bo', NULL, NULL, '1 ELM', 0.7 FROM f WHERE j % 3 = 0""")
+def stakeholder_entries(spark, sf_dir):
+    permits = derived.filings(spark, sf_dir).withColumn("j", F.col("job_number").cast("long")).selectExpr(
+        "bbl", "job_number", "if(j % 2 = 0, 'Ann', '') as permittee_name", "'ACME' as permittee_business", "'GC' as permittee_license_type", "'77' as permittee_license", "concat('212', j % 100) as permittee_phone",
+        "if(j % 3 = 0, 'Bo', null) as owner_name", "'' as owner_business", "null as owner_phone", "'1 ELM' as owner_address",
+    )
+    found = stakeholders.stakeholder_entries({"ACRIS_LIVE": _docs(spark, sf_dir), "PLUTO": derived.parcels(spark, sf_dir).select("bbl", "ownername"), "DOB_PERMIT_ISSUANCE": permits})
+    return found.select("bbl", "record_key", "source", "role", "name", "org_name", F.get("phones.raw", F.lit(0)).alias("phone"), F.get("addresses.line1", F.lit(0)).alias("address"), F.get("addresses.confidence", F.lit(0)).alias("confidence"))
