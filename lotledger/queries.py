@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, text, zoning
 from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, records, sales, screening, spatial, stakeholders, upserts
-from .plans import extraction, pages, units
+from .plans import extraction, pages, reconcile, units
 from .sources import derived, pasted
 from .sources.shared import written
 from .streaming import deeds as live
@@ -1009,3 +1009,38 @@ def stakeholder_entries(spark, sf_dir):
     )
     found = stakeholders.stakeholder_entries({"ACRIS_LIVE": _docs(spark, sf_dir), "PLUTO": derived.parcels(spark, sf_dir).select("bbl", "ownername"), "DOB_PERMIT_ISSUANCE": permits})
     return found.select("bbl", "record_key", "source", "role", "name", "org_name", F.get("phones.raw", F.lit(0)).alias("phone"), F.get("addresses.line1", F.lit(0)).alias("address"), F.get("addresses.confidence", F.lit(0)).alias("confidence"))
+
+
+_RULES_FOUND = """stack(5, 'totalUnits', cast(p_size as string), 0.8D, 'far', cast(p_size % 7 + 1 as string), 0.95D, 'lotArea', cast(2000 + p_size * 10 as string), 0.9D, 'zone', if(p_size % 5 = 0, null, 'R7A'), 0.9D, 'br1', cast(p_size % 3 as string), 0.5D) as (field, value, confidence)"""
+_SECOND_FOUND = """stack(6, 'totalUnits', cast(p_size + p_partkey % 5 as string), 'far', cast((p_size % 7 + 1) * if(p_partkey % 2 = 0, 1.5D, 1D) as string), 'lotArea', cast((2000 + p_size * 10) * if(p_partkey % 3 = 0, 2, 1) as string), 'zone', if(p_partkey % 4 = 0, ' r7a', 'R8'), 'br1', cast(p_partkey % 2 as string), 'floors', cast(p_partkey % 2 as string)) as (field, value)"""
+
+
+@query("""WITH t AS (SELECT p_partkey AS doc_id, p_size::INT AS s, p_partkey AS k, (p_size % 7 + 1)::DOUBLE AS f, CASE WHEN p_partkey % 2 = 0 THEN 1.5 ELSE 1 END::DOUBLE * (p_size % 7 + 1) AS g, (2000 + p_size * 10)::DOUBLE AS l, (2000 + p_size * 10) * CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END::DOUBLE AS m FROM part)
+  SELECT doc_id, 'totalUnits' AS field, k % 5 <= 2 AS agreement, s::DOUBLE AS final, NULL AS zone, CASE WHEN k % 5 <= 2 THEN 0.8::DOUBLE + 0.1::DOUBLE ELSE 0.8::DOUBLE - 0.1::DOUBLE END AS confidence FROM t
+  UNION ALL SELECT doc_id, 'far', k % 2 = 1, CASE WHEN k % 2 = 0 AND k % 10 < 5 AND abs(f - 9) > abs(g - 9) THEN g ELSE f END, NULL, CASE WHEN k % 2 = 1 THEN 1 ELSE 0.95::DOUBLE END FROM t
+  UNION ALL SELECT doc_id, 'lotArea', k % 3 > 0, CASE WHEN k % 3 = 0 AND k % 10 >= 5 AND abs(l - 4000) > abs(m - 4000) THEN m ELSE l END, NULL, CASE WHEN k % 3 > 0 THEN 0.9 ELSE 0.7 END FROM t
+  UNION ALL SELECT doc_id, 'zone', CASE WHEN s % 5 > 0 THEN k % 4 = 0 END, NULL, CASE WHEN s % 5 > 0 THEN 'R7A' WHEN k % 4 = 0 THEN 'r7a' ELSE 'R8' END, CASE WHEN s % 5 = 0 THEN 0.7 WHEN k % 4 = 0 THEN 0.9 ELSE 0.6 END FROM t
+  UNION ALL SELECT doc_id, 'br1', CASE WHEN s % 3 > 0 THEN s % 3 = k % 2 END, CASE WHEN s % 3 > 0 THEN s % 3 ELSE k % 2 END, NULL, CASE WHEN s % 3 = 0 THEN 0.7 WHEN s % 3 = k % 2 THEN 0.9 ELSE 0.65 END FROM t WHERE s % 3 > 0 OR k % 2 > 0
+  UNION ALL SELECT doc_id, 'floors', NULL, 1, NULL, 0.7 FROM t WHERE k % 2 = 1""")
+def reconciled_fields(spark, sf_dir):
+    part = derived.table(spark, sf_dir, "part")
+    parcels = part.selectExpr("p_partkey as doc_id", "if(p_partkey % 10 < 5, 'far', 'lotArea') as field", "if(p_partkey % 10 < 5, 9D, 4000D) as value")
+    found = reconcile.reconcile_fields(part.selectExpr("p_partkey as doc_id", _RULES_FOUND), part.selectExpr("p_partkey as doc_id", _SECOND_FOUND), parcels)
+    zone = F.col("field") == "zone"
+    return found.select("doc_id", "field", "agreement", F.when(~zone, F.col("final_value").try_cast("double")).alias("final"), F.when(zone, F.col("final_value")).alias("zone"), "confidence")
+
+
+@query("""WITH s AS (SELECT l_orderkey % 500 AS doc_id, l_orderkey * 10 + l_linenumber AS seq, ['COVER_SHEET', 'ZONING_SCHEDULE', 'FLOOR_PLAN_LABEL', 'GENERIC'][l_partkey % 4 + 1] AS section, l_quantity::BIGINT % 4 AS q, l_suppkey AS k, l_partkey AS p, l_tax AS c FROM lineitem),
+  f AS (SELECT doc_id, arg_min(q * 1000.0::DOUBLE, (seq, section, q)) FILTER (q > 0 AND section IN ('COVER_SHEET', 'ZONING_SCHEDULE')) AS lot_area, least(0.6::DOUBLE, max(c)) AS confidence,
+      arg_min(q + k % 9, (seq, section, q + k % 9)) FILTER (k % 3 = 0 AND q + k % 9 > 0 AND section <> 'FLOOR_PLAN_LABEL') AS total FROM s GROUP BY doc_id),
+  m AS (SELECT doc_id, sum(q) FILTER (section = 'ZONING_SCHEDULE') AS z, min((seq, section, q)) AS lead FROM s WHERE q > 0 AND section IN ('ZONING_SCHEDULE', 'GENERIC') GROUP BY doc_id),
+  n AS (SELECT doc_id, coalesce(z, 0) + CASE WHEN lead[2] = 'GENERIC' THEN lead[3] ELSE 0 END AS br1 FROM m),
+  a AS (SELECT doc_id, floor(avg(v) + 0.5) AS sf FROM (SELECT doc_id, unnest([400 + p % 100, 500 + k % 10]) AS v FROM s WHERE section = 'FLOOR_PLAN_LABEL') GROUP BY doc_id)
+  SELECT doc_id, lot_area, coalesce(total, br1)::BIGINT AS total_units, br1::BIGINT AS br1, sf AS studio_sf, confidence FROM f LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id)""")
+def merged_sections(spark, sf_dir):
+    sections = derived.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey % 500 as doc_id", "l_orderkey * 10 + l_linenumber as seq", "element_at(array('COVER_SHEET', 'ZONING_SCHEDULE', 'FLOOR_PLAN_LABEL', 'GENERIC'), cast(l_partkey % 4 + 1 as int)) as section",
+        "cast(l_quantity as bigint) % 4 * 1000D as lot_area", "null as zoning_floor_area", "0D as far", "if(l_suppkey % 3 = 0, cast(l_quantity as bigint) % 4 + l_suppkey % 9, null) as total_units",
+        "map('1BR', cast(l_quantity as bigint) % 4) as unit_mix", "map('Studio', array(400D + l_partkey % 100, 500D + l_suppkey % 10)) as unit_sizes", "l_tax as confidence",
+    )
+    return reconcile.merge_sections(sections).select("doc_id", "lot_area", "total_units", "br1", F.col("average_sf")["Studio"].alias("studio_sf"), "confidence")
