@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, text, zoning
 from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, records, sales, screening, spatial, stakeholders, upserts
-from .plans import extraction, pages, reconcile, units
+from .plans import extraction, facts, pages, reconcile, units
 from .sources import derived, pasted
 from .sources.shared import written
 from .streaming import deeds as live
@@ -1044,3 +1044,23 @@ def merged_sections(spark, sf_dir):
         "map('1BR', cast(l_quantity as bigint) % 4) as unit_mix", "map('Studio', array(400D + l_partkey % 100, 500D + l_suppkey % 10)) as unit_sizes", "l_tax as confidence",
     )
     return reconcile.merge_sections(sections).select("doc_id", "lot_area", "total_units", "br1", F.col("average_sf")["Studio"].alias("studio_sf"), "confidence")
+
+
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents after a sheet of facts."""
+    sheet = """concat('Lot Area: ', 1 + doc_id % 9, ',500 SF; FAR 99; Residential F.A.R.: ', 1 + doc_id % 6, '.25 MAX FAR ', 2 + doc_id % 4, '; Zoning floor area 10,000; proposed GSF: 9,', 100 + doc_id % 800,
+      ' Number of dwelling units: ', doc_id % 300, ' bldg area 7000 sq ft # of floors ', doc_id % 40, ' Zone: R', 1 + doc_id % 9, '-2A BIN: ', 1000000 + doc_id, ' Existing building: 4,000 sf, new construction area ', 1000 + doc_id % 3 * 40,
+      ' SF; total ', if(doc_id % 5 = 0, 'area 5,000 sq.ft', 'residential area: 5,000 SF'), ' ', text) as text"""
+    return derived.table(spark, sf_dir, "documents").filter("text IS NOT NULL").selectExpr("doc_id", sheet)
+
+
+@query("""WITH t AS (SELECT doc_id AS d FROM documents WHERE text IS NOT NULL)
+  SELECT d AS doc_id, unnest(['lotArea', 'zoningFloorArea', 'proposedFloorArea', 'totalUnits', 'buildingArea', 'floors', 'far', 'residFar']) AS field, unnest([(1 + d % 9) * 1000 + 500, 10000, 9100 + d % 800, d % 300, 7000, d % 40, 1.25 + d % 6, 1.25 + d % 6]::DOUBLE[]) AS number, NULL AS code, 0.8::DOUBLE AS confidence FROM t
+  UNION ALL SELECT d, unnest(['zoneDistrict', 'bin']), NULL, unnest(['R' || (1 + d % 9) || '-2A', (1000000 + d)::VARCHAR]), 0.85 FROM t""")
+def facts_of_plans(spark, sf_dir):
+    return facts.plan_facts(_stated(spark, sf_dir))
+
+
+@query("""SELECT doc_id, 4000::DOUBLE AS pre_existing, (1000 + doc_id % 3 * 40)::DOUBLE AS new, 5000::DOUBLE AS total, 0.75::DOUBLE + 0.1::DOUBLE AS sure_pre_existing, 0.75::DOUBLE + 0.1::DOUBLE AS sure_new, 0.75::DOUBLE + 0.1::DOUBLE AS sure_total, true AS reconciled FROM documents WHERE text IS NOT NULL""")
+def areas_of_conversions(spark, sf_dir):
+    return facts.conversion_areas(_stated(spark, sf_dir))

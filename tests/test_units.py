@@ -4,7 +4,7 @@ from math import hypot
 
 from lotledger import queries
 from lotledger.operators import stakeholders
-from lotledger.plans import units
+from lotledger.plans import facts, units
 from lotledger.sources import pasted
 
 
@@ -75,3 +75,36 @@ def test_entries_of_filings_and_contacts(spark):
     cy = next(r for r in rows if r.name == "Cy Roe")
     assert (cy.addresses[0].line1, cy.addresses[0].zip, cy.phones, cy.record_key) == ("12 Oak St", "10001", [], "R1")
     assert next(r for r in rows if r.name == "Agents Inc").record_key == "1"
+
+
+def test_conversion_areas(spark):
+    texts = ["existing area 4,000 SF new area 900 sf total area 6,000 sf", "new retail area 5 SF, total area 70 sq ft", "existing building", None, "Existing floor area: 10 new area 20 sf overall project area 30 sf"]
+    rows = facts.conversion_areas(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert sorted((r.doc_id, r.pre_existing, r.new, r.total, r.sure_pre_existing, r.sure_new, r.reconciled) for r in rows.collect()) == [
+        (0, 4000, 900, 6000, 0.6, 0.75, False), (1, None, None, 70, None, None, None), (4, 10, 20, 30, 0.85, 0.85, True),
+    ]
+
+
+def test_clusters_match_a_plain_loop(spark, sf_dir):
+    """Entries join the first cluster, in the order of seq, whose first entry's tokens are like their own."""
+    from pyspark.sql import functions as F
+
+    from lotledger.functions.names import stakeholder_tokens
+    from lotledger.sources import derived
+
+    names = derived.parties(spark, sf_dir).select(F.substring("document_id", 1, 14).alias("bbl"), F.lit("OWNER").alias("role"), F.xxhash64("document_id", "name", "seq").alias("seq"), "name")
+    wide = names.unionByName(names.select(F.lit("1").alias("bbl"), "role", "seq", F.concat("name", F.lit(" a b c d e f g h"), (F.col("seq") % 3).cast("string")).alias("name")).limit(200))
+    rows = wide.filter("length(trim(name)) > 0").withColumn("t", F.array_sort(stakeholder_tokens(F.col("name")))).collect()
+    entries = spark.createDataFrame([(r.bbl, r.role, r.seq, r.name) for r in rows], "bbl string, role string, seq long, name string")
+    first, heads, want = {}, {}, {}
+    for r in sorted(rows, key=lambda r: r.seq):
+        first.setdefault((r.bbl, frozenset(r.t)), r.seq)
+    for r in sorted(rows, key=lambda r: r.seq):
+        own, group = frozenset(r.t), heads.setdefault(r.bbl, [])
+        found = next((s for s, h in group if (len(own & h) / len(own | h) if own | h else 1.0) >= 0.85), None)
+        if first[r.bbl, own] == r.seq and found is None:
+            group.append((r.seq, own))
+            found = r.seq
+        want[r.bbl, r.seq] = found
+    got = {(r.bbl, r.seq): r.cluster for r in stakeholders.cluster_stakeholders(entries).collect()}
+    assert got == want and len({c for k, c in got.items() if k[0] == "1"}) < sum(k[0] == "1" for k in got)
