@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule, as a Java and a Python regular expression.
@@ -85,3 +85,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a table that is on disk already, if counting shows at most max_rows rows; else the
     join is left to Spark, which shuffles both sides and splits skewed keys at run time."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def running_sum(df: DataFrame, keys: list[str], block: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """Add name, the running sum of value within keys in the order of (block, *order): by block totals."""
+    at = [*keys, block]
+    totals = df.groupBy(*at).agg(F.sum(value).alias("_t"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*(F.col(c).alias(f"_{c}") for c in at), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*at).orderBy(*order)  # rows alike in all of order get the sum that includes them all
+    same = F.lit(True)
+    for c in at:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.withColumn("_in", F.sum(value).over(inside)).join(offsets, same).withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before", *(f"_{c}" for c in at))
+
+
+def place_of(key: Column) -> Column:
+    """A hexadecimal digest as a number from 0 (included) to 1, by its first 8 digits."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, words
+from .common import broadcast_if_small, materialize, place_of, running_sum, words
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, MAX_REPEATS = 150, 2
@@ -54,24 +54,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return s.select("source", "source_size", "n_docs", F.when(stopped, F.col("cap")).otherwise(F.col("common") * F.col("w")).alias("target"))
 
 
-def _running(df: DataFrame, keys: list[str], block: str, order: list[Column], value: str, name: str) -> DataFrame:
-    """Add name, the running sum of value within keys in the order of (block, *order): by block totals."""
-    at = [*keys, block]
-    totals = df.groupBy(*at).agg(F.sum(value).alias("_t"))
-    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*(F.col(c).alias(f"_{c}") for c in at), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*at).orderBy(*order)  # rows alike in all of order get the sum that includes them all
-    same = F.lit(True)
-    for c in at:
-        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.withColumn("_in", F.sum(value).over(inside)).join(offsets, same).withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before", *(f"_{c}" for c in at))
-
-
-def _place(key: Column) -> Column:
-    """A hexadecimal digest as a number from 0 (included) to 1, by its first 8 digits."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def sized(docs: DataFrame) -> DataFrame:
     """docs with size, the words of its text, and key, its place in the shuffle: by id and text, so rows without
     an id, or that share one, are spread as well."""
@@ -90,8 +72,8 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHA
     shares = materialize(targets(rows, weights, percent, repeats), "targets")
     by_source = broadcast_if_small(shares.withColumnRenamed("source", "_source"), MAX_BROADCAST_ROWS)
     queue = rows.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").filter("size > 0 AND target > 0")
-    queue = queue.withColumn("place", _place_in_source()).withColumn("block", F.floor(_place(F.col("key")) * F.ceil(F.sqrt("n_docs"))).cast("long"))
-    queue = _running(queue.select("source", "size", "place", "block", "source_size", "target"), ["source"], "block", [F.col("place")], "size", "cum")
+    queue = queue.withColumn("place", _place_in_source()).withColumn("block", F.floor(place_of(F.col("key")) * F.ceil(F.sqrt("n_docs"))).cast("long"))
+    queue = running_sum(queue.select("source", "size", "place", "block", "source_size", "target"), ["source"], "block", [F.col("place")], "size", "cum")
     queue = materialize(queue, "queue")
     copies = queue.withColumn("pass", F.explode(F.array(*(F.lit(i) for i in range(repeats)))))
     copies = copies.withColumn("finish", (F.col("cum") + F.col("pass") * F.col("source_size")) / F.col("target"))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, neighbours, pieces, quality_classifier, quality_rules, suffix_tree, warc, wordpiece
+from . import (
+    filter_audit, jaccard_join, language_id, mixing, neighbours, pieces, quality_classifier, quality_rules, sharding, suffix_tree, warc, whitening,
+    wordpiece,
+)
 from .common import materialize, read_table
 
 #: The model file that op8 applies.
@@ -81,6 +84,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(read_table(spark, sf_dir, "documents"), law="rows")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_neighbours": op2_neighbours,
@@ -92,4 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_sharding": op13_sharding,
 }

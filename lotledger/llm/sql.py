@@ -161,4 +161,59 @@ SELECT record_id, url, sec AS seconds, CASE WHEN outcome = 'resolved' THEN rid E
 FROM t
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3, "op6_mixing": OP6, "op7_warc_revisits": OP7}
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+      100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+      coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)][i]) AS failed
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+s AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o),
+j AS (
+  SELECT part, good, toxic, failed, filter_order, step, filter_order[step] AS filter,
+    list_min(list_transform(failed, lambda y: instr(filter_order, y))) AS goes_at, list_contains(failed, filter_order[step]) AS fails FROM f, s
+),
+c AS (
+  SELECT part, filter_order, step, filter, count(*) FILTER (coalesce(goes_at > step, true)) AS kept, count(*) FILTER (goes_at = step) AS removed,
+    count(*) FILTER (fails AND goes_at < step) AS redundant, count(*) FILTER (fails AND len(failed) = 1) AS unique_fails,
+    count(*) FILTER (goes_at = step AND good) AS good_lost, count(*) FILTER (goes_at = step AND toxic) AS toxic_lost
+  FROM j GROUP BY ALL
+)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM c
+"""
+
+#: The checksum is folded over bytes with the table of its polynomial.
+OP13 = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS sums FROM (
+    SELECT i, list_reduce(range(0, 8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(0, 256) r(i))
+),
+d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size FROM documents
+),
+k AS (
+  SELECT doc_id, source, size, t,
+    md5('shards:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(t) || ':' || coalesce(length(source) || ':' || source, '')) AS key FROM d
+),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, size, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS place FROM k
+),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY place, source NULLS LAST, key) - 1 AS position, count(*) OVER () AS n FROM r
+)
+SELECT doc_id, size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT),
+    lambda a, b: xor(a >> 8, sums[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32,
+  'rows' AS law, (position * 16 // n)::INTEGER AS shard, position - (((position * 16 // n) * n + 15) // 16) AS slot, NULL::INTEGER AS grown_shard
+FROM p, crc
+"""
+
+ORACLE_SQL = {"op3_quality_rules": OP3, "op6_mixing": OP6, "op7_warc_revisits": OP7, "op12_filter_audit": OP12, "op13_sharding": OP13}
