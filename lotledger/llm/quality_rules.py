@@ -28,9 +28,12 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Metric: (numerator, denominator, scale, has a lower fence, lower and upper percentile, reach). The fences lie
 #: reach times the distance of the two percentiles beyond them. Traits of most documents are measured by
 #: quartiles, which junk can hardly move; repetitions, which few documents have but good ones too, by the tail.
+#: A reach of 3 is the usual one for values far out of the quartiles; that of word length is larger, as the mean of
+#: a short text varies more than those of most.
+FAR_OUT = 3
 METRICS = {
     "word_length": ("word_chars", "n_words", 100, True, (25, 75), 5),
-    "symbols": ("n_symbols", "n_words", 1000, False, (25, 75), 5),
+    "symbols": ("n_symbols", "n_words", 1000, False, (25, 75), FAR_OUT),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, False, (75, 99), 1),
     "repeats": ("n_repeat_words", "n_words", 1000, False, (75, 99), 1),
 }
@@ -135,17 +138,28 @@ def fences(sketch: DataFrame) -> DataFrame:
     """level, lang, source, n and, for each metric, lo_<metric> and hi_<metric>.
 
     Both follow from the sketch alone; values of the bucket in which a percentile lies count as not beyond it.
+    A trait that fewer than a quarter of a group's documents have leaves no distance between its quartiles. Its
+    width is then the lower quartile of those that have it, in proportion to their share: a few documents
+    with very much of it can't widen it to their own level, and it passes into the distance of the quartiles
+    as the share grows.
     """
     group = Window.partitionBy("level", "lang", "source", "metric")
-    ranked = sketch.withColumns({"cum": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
+    ranked = sketch.withColumns({"cum": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group), "none": F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(group)})
+    held = F.col("total") - F.col("none")
     found = ranked.groupBy("level", "lang", "source", "metric").agg(
-        F.max("total").alias("n"), *(F.min(F.when(100 * F.col("cum") >= p * F.col("total"), F.col("bucket"))).alias(f"b{p}") for p in PERCENTILES)
+        F.max("total").alias("n"),
+        F.max(held).alias("held"),
+        F.min(F.when((F.col("bucket") > 0) & (4 * (F.col("cum") - F.col("none")) >= held), F.col("bucket"))).alias("some"),
+        *(F.min(F.when(100 * F.col("cum") >= p * F.col("total"), F.col("bucket"))).alias(f"b{p}") for p in PERCENTILES),
     )
+    few = F.coalesce(F.col("held") * edge("some") / F.col("n"), F.lit(0.0))
     columns = []
     for m, (_, _, _, low, (p, q), times) in METRICS.items():
-        reach = times * (edge(f"b{q}") - edge(f"b{p}"))
+        reach = times * (edge(f"b{q}") - edge(f"b{p}")).cast("double")
+        if m == "symbols":
+            reach = F.greatest(reach, times * few)
         mine = F.col("metric") == m
-        columns.append((F.max(F.when(mine, edge(f"b{p}") - reach)) if low else F.lit(None).cast("long")).alias(f"lo_{m}"))
+        columns.append((F.max(F.when(mine, edge(f"b{p}") - reach)) if low else F.lit(None).cast("double")).alias(f"lo_{m}"))
         columns.append(F.max(F.when(mine, edge(f"b{q}", last=True) + reach)).alias(f"hi_{m}"))
     return found.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *columns)
 
@@ -185,7 +199,10 @@ def judge(counted: DataFrame) -> DataFrame:
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     inside = F.lit(True)
     for m in METRICS:
-        inside &= F.coalesce(metric(m) >= F.col(f"lo_{m}"), F.lit(True)) & F.coalesce(metric(m) <= F.col(f"hi_{m}"), F.lit(True))
+        below = F.coalesce(metric(m) <= F.col(f"hi_{m}"), F.lit(True))
+        if m == "symbols":  # a text measures the rate in steps of one symbol, so a width is one of them at least
+            below |= F.col("n_symbols") <= FAR_OUT
+        inside &= F.coalesce(metric(m) >= F.col(f"lo_{m}"), F.lit(True)) & below
     judged = counted.join(broadcast_if_small(limits, MAX_BROADCAST_ROWS), same, "left")
     return judged.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & inside}).drop("_lang", "_source", *names)
 

@@ -45,20 +45,22 @@ sketch AS (
   UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM fine GROUP BY metric, bucket
 ),
 q AS (
-  SELECT level, lang, source, metric, max(total) AS n, min(bucket) FILTER (100 * cum >= 25 * total) AS b25,
+  SELECT level, lang, source, metric, max(total) AS n, max(total - without) AS held, min(bucket) FILTER (bucket > 0 AND 4 * (cum - without) >= total - without) AS least_held,
+         min(bucket) FILTER (100 * cum >= 25 * total) AS b25,
          min(bucket) FILTER (100 * cum >= 75 * total) AS b75, min(bucket) FILTER (100 * cum >= 99 * total) AS b99
   FROM (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS cum,
-               sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM sketch) GROUP BY ALL
+               sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
+               coalesce(sum(n) FILTER (bucket = 0) OVER (PARTITION BY level, lang, source, metric), 0) AS without FROM sketch) GROUP BY ALL
 ),
 e AS (
-  SELECT level, lang, source, metric, n, (b25 % 64) << (b25 // 64) AS p25, (b75 % 64) << (b75 // 64) AS p75, (b99 % 64) << (b99 // 64) AS p99,
+  SELECT level, lang, source, metric, n, coalesce(held::DOUBLE * ((least_held % 64) << (least_held // 64)) / n, 0) AS few, (b25 % 64) << (b25 // 64) AS p25, (b75 % 64) << (b75 // 64) AS p75, (b99 % 64) << (b99 // 64) AS p99,
          ((b75 % 64 + 1) << (b75 // 64)) - 1 AS last75, ((b99 % 64 + 1) << (b99 // 64)) - 1 AS last99 FROM q
 ),
 f AS (
   SELECT level, lang, source, max(n) AS n,
     max(p25 - 5 * (p75 - p25)) FILTER (metric = 'word_length') AS lo_word_length,
     max(last75 + 5 * (p75 - p25)) FILTER (metric = 'word_length') AS hi_word_length,
-    max(last75 + 5 * (p75 - p25)) FILTER (metric = 'symbols') AS hi_symbols,
+    max(last75 + greatest((3 * (p75 - p25))::DOUBLE, 3 * few)) FILTER (metric = 'symbols') AS hi_symbols,
     max(last99 + (p99 - p75)) FILTER (metric = 'dup_lines') AS hi_dup_lines,
     max(last99 + (p99 - p75)) FILTER (metric = 'repeats') AS hi_repeats
   FROM e GROUP BY level, lang, source
@@ -83,7 +85,7 @@ h AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(word_length >= lo_word_length, true) AND coalesce(word_length <= hi_word_length, true)
-  AND coalesce(symbols <= hi_symbols, true) AND coalesce(dup_lines <= hi_dup_lines, true) AND coalesce(repeats <= hi_repeats, true) AS kept
+  AND (coalesce(symbols <= hi_symbols, true) OR n_symbols <= 3) AND coalesce(dup_lines <= hi_dup_lines, true) AND coalesce(repeats <= hi_repeats, true) AS kept
 FROM m LEFT JOIN h ON h.lang IS NOT DISTINCT FROM m.lang AND h.source IS NOT DISTINCT FROM m.source
 """
 
