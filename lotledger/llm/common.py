@@ -103,3 +103,32 @@ def running_sum(df: DataFrame, keys: list[str], block: str, order: list[Column],
 def place_of(key: Column) -> Column:
     """A hexadecimal digest as a number from 0 (included) to 1, by its first 8 digits."""
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+#: Rows that one row is expanded to in one step.
+AT_ONCE = 10_000
+
+
+def each(counted: DataFrame, count: str, ordinal: str, at_once: int | None = None) -> DataFrame:
+    """A row for each of count, numbered by ordinal from 0. What one row is expanded to comes from many tasks if it
+    is much."""
+    most = at_once or AT_ONCE
+    n = F.col(count)
+    few = counted.filter(n <= most).withColumn(ordinal, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    many = counted.filter(n > most).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {most}"))))
+    start = F.col("_from") * most
+    many = many.repartition("_from").withColumn(ordinal, F.explode(F.sequence(start, F.least(start + most, n) - 1)))
+    return few.unionByName(many.drop("_from"))
+
+
+def number_alike(rows: DataFrame, key: str, repeated: DataFrame, most: int) -> DataFrame:
+    """rows with copy, which numbers those of one key from 0, a file split at a time. repeated: key, those of more
+    than one row, on disk; up to most of them are broadcast."""
+    if repeated.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    marked = rows.join(broadcast_if_small(repeated.select(F.col(key).alias("_shared")), most), F.col(key) == F.col("_shared"), "left")
+    again = marked.filter("_shared IS NOT NULL").drop("_shared").withColumns({"_at": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
+    again = materialize(again.withColumn("_split", F.expr("_at >> 33")), "again")
+    again = running_sum(again, [key], "_split", [F.col("_at")], "_one", "_number").withColumn("copy", F.col("_number") - 1)
+    once = marked.filter("_shared IS NULL").drop("_shared").withColumn("copy", F.lit(0).cast("long"))
+    return once.unionByName(again.drop("_at", "_one", "_split", "_number"))

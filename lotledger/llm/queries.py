@@ -11,7 +11,7 @@ from . import (
     filter_audit, jaccard_join, language_id, mixing, neighbours, pieces, quality_classifier, quality_rules, sharding, suffix_tree, warc, whitening,
     wordpiece,
 )
-from .common import materialize, read_table
+from .common import each, materialize, read_table
 
 #: The model file that op8 applies.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -49,8 +49,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = materialize(mixing.sized(docs).drop("text"), "sized")
-    mixed = mixing.with_copies(rows, mixing.plan(rows))
+    rows = materialize(mixing.alike(mixing.sized(docs).drop("text")), "sized")
+    mixed = mixing.with_copies(each(rows, "same", "copy"), mixing.plan(rows))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -26,12 +26,10 @@ from math import ceil, sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, place_of, running_sum
+from .common import broadcast_if_small, each, materialize, number_alike, place_of, running_sum
 
 SHARDS, SEED = 16, "shards"
 MAX_BROADCAST_ROWS = 50_000
-#: Equal rows that one row is expanded to in one step.
-AT_ONCE = 10_000
 
 
 def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -42,14 +40,6 @@ def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text), "key": key})
 
 
-def _each(counted: DataFrame) -> DataFrame:
-    """A row for each of copies, with copy from 0. One row's copies come from many tasks if they are many."""
-    few = counted.filter(F.col("copies") <= AT_ONCE).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    many = counted.filter(F.col("copies") > AT_ONCE).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {AT_ONCE}"))))
-    many = many.repartition("_from").withColumn("copy", F.explode(F.sequence(F.col("_from") * AT_ONCE, F.least((F.col("_from") + 1) * AT_ONCE, F.col("copies")) - 1)))
-    return few.unionByName(many.drop("_from"))
-
-
 def assign(docs: DataFrame, shards: int = SHARDS, law: str = "rows", seed: str = SEED) -> DataFrame:
     """doc_id, source, size, text_crc32, key, copy, copies, shard, slot: a row for each of docs. Rows alike in
     id, source and text, copies of them, are numbered by copy."""
@@ -62,7 +52,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, law: str = "rows", seed: str =
     ranked = rows.join(broadcast_if_small(sources.drop("bytes"), MAX_BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ranked = ranked.withColumn("block", F.floor(place_of(F.col("key")) * F.ceil(F.sqrt("n"))).cast("long"))
     ranked = running_sum(ranked, ["source"], "block", [F.col("key"), F.col("size"), F.col("doc_id")], "copies", "upto").drop("block")
-    ranked = _each(materialize(ranked, "ranked")).withColumn("rank", F.col("upto") - F.col("copies") + F.col("copy"))
+    ranked = each(materialize(ranked, "ranked"), "copies", "copy").withColumn("rank", F.col("upto") - F.col("copies") + F.col("copy"))
     ranked = ranked.withColumn("place", (F.col("rank") + 0.5) / F.col("n")).drop("n", "upto")
     spans = max(1, ceil(sqrt(total["n"] or 0)))
     ranked = ranked.withColumns({"span": F.floor(F.col("place") * spans).cast("long"), "one": F.lit(1).cast("long")})
@@ -87,13 +77,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, law: str = "rows", seed: str
     to meet their place."""
     places = materialize(assign(docs, shards, law, seed), "places").select(*(F.col(c).alias(f"_{c}") for c in ("key", "copy", "copies", "shard", "slot")))
     rows = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"), seed).select("row", "key")
-    # A key is one row, but for rows alike in id, source and text; these are numbered, a file split at a time.
-    shared = materialize(places.filter("_copies > 1 AND _copy = 0").select(F.col("_key").alias("_shared")), "shared")
-    rows = rows.join(broadcast_if_small(shared, MAX_BROADCAST_ROWS), F.col("key") == F.col("_shared"), "left")
-    again = rows.filter("_shared IS NOT NULL").withColumns({"at": F.monotonically_increasing_id(), "one": F.lit(1).cast("long")})
-    again = materialize(again.drop("_shared").withColumn("split", F.expr("at >> 33")), "again")
-    again = running_sum(again, ["key"], "split", [F.col("at")], "one", "number").withColumn("copy", F.col("number") - 1)
-    same = F.col("key") == F.col("_key")
-    single = rows.filter("_shared IS NULL").join(places.filter("_copies = 1"), same)
-    repeated = again.join(places.filter("_copies > 1"), same & (F.col("copy") == F.col("_copy")))
-    return single.select("_shard", "_slot", "row").union(repeated.select("_shard", "_slot", "row")).toDF("shard", "slot", "row")
+    # A key is one row, but for rows alike in id, source and text.
+    repeated = materialize(places.filter("_copies > 1 AND _copy = 0").select(F.col("_key").alias("key")), "repeated")
+    rows = number_alike(rows, "key", repeated, MAX_BROADCAST_ROWS)
+    joined = rows.join(places, (F.col("key") == F.col("_key")) & (F.col("copy") == F.col("_copy")))
+    return joined.select("_shard", "_slot", "row").toDF("shard", "slot", "row")

@@ -94,6 +94,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
 ),
+e AS (SELECT *, row_number() OVER (PARTITION BY source, key, size, doc_id) AS copy FROM d),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source
@@ -112,18 +113,18 @@ t AS (
 ),
 q AS (
   SELECT d.*, source_size, target, budget,
-         sum(size) OVER (PARTITION BY d.source ORDER BY key, size, coalesce(doc_id, -1)) AS cum
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, size, coalesce(doc_id, -1), copy) AS cum
+  FROM e d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ),
 i AS (
   SELECT *, (cum::BIGINT + pass * source_size) / target AS finish FROM q, (SELECT unnest([0, 1]) AS pass) WHERE size > 0 AND target > 0
 ),
 g AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, key, size, coalesce(doc_id, -1)) AS upto FROM i
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, key, size, coalesce(doc_id, -1), copy) AS upto FROM i
 ),
-n AS (SELECT source, key, size, coalesce(doc_id, -1) AS id, count(DISTINCT pass) AS copies FROM g WHERE upto <= budget GROUP BY ALL)
+n AS (SELECT source, key, size, coalesce(doc_id, -1) AS id, copy, count(DISTINCT pass) AS copies FROM g WHERE upto <= budget GROUP BY ALL)
 SELECT doc_id, q.size, source_size, target, (q.size * coalesce(copies, 0))::BIGINT AS taken
-FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.key = n.key AND q.size = n.size AND coalesce(doc_id, -1) = id
+FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.key = n.key AND q.size = n.size AND coalesce(doc_id, -1) = id AND q.copy = n.copy
 """
 
 OP7 = r"""

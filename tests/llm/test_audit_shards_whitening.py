@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotledger.llm import filter_audit, queries, sharding, whitening
+from lotledger.llm import common, filter_audit, queries, sharding, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -194,7 +194,7 @@ def test_shards_of_edge_cases(spark, edge, monkeypatch, law):
     docs = edge.withColumns({c: F.lit(None).cast("string") for c in ("key", "size", "copies", "rank", "place", "n")})
     got = sharding.assign(docs, 5, law).collect()
     plain_checks(EDGE, got, 5)
-    monkeypatch.setattr(sharding, "AT_ONCE", 1)
+    monkeypatch.setattr(common, "AT_ONCE", 1)
     monkeypatch.setattr(sharding, "MAX_BROADCAST_ROWS", 0)
     assert Counter(got) == Counter(sharding.assign(docs.repartition(3), 5, law).collect())
     assert sharding.assign(docs.limit(0), 5, law).count() == 0

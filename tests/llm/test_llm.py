@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lotledger.llm import jaccard_join, language_id, mixing, neighbours, pieces, quality_classifier, quality_rules, queries, sql, suffix_tree, warc, wordpiece
+from lotledger.llm import common, jaccard_join, language_id, mixing, neighbours, pieces, quality_classifier, quality_rules, queries, sql, suffix_tree, warc, wordpiece
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string"
 EDGE = [
@@ -457,7 +457,8 @@ def test_edge_cases(request, spark, which):
     assert pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="n_chars").count() == n
     counted = wordpiece.token_counts(docs, ["w", "word"], ["o", "r", "d"]).collect()
     assert len(counted) == n
-    mixed = mixing.with_copies(mixing.sized(docs), mixing.plan(mixing.sized(docs)))
+    rows = mixing.alike(mixing.sized(docs))
+    mixed = mixing.with_copies(common.each(rows, "same", "copy"), mixing.plan(rows))
     assert mixed.count() == n and mixed.filter("copies > 2").count() == 0
 
 
@@ -538,3 +539,15 @@ def test_mix_takes_rows_without_ids_one_by_one(spark):
     words_a = 4 * next(r.n for r in mixed if r.source == "a")
     target = next(r.target for r in mixing.targets(mixing.sized(docs)).collect() if r.source == "a")
     assert abs(words_a - target) <= 8
+
+
+@pytest.mark.parametrize("at_once", [3, 10_000])
+def test_mix_takes_equal_rows_one_by_one(spark, monkeypatch, at_once):
+    monkeypatch.setattr(common, "AT_ONCE", at_once)
+    docs = spark.createDataFrame([(None, "ten words of a text that is always the same", "a")] * 500 + [(i, f"w{i} " * 30, "b") for i in range(200)], "doc_id long, text string, source string")
+    words = Counter()
+    for r in mixing.mix(docs).collect():
+        words[r.source] += len(r.text.split())
+    wanted = {r.source: r.target for r in mixing.targets(mixing.sized(docs)).collect()}
+    assert all(abs(words[s] - wanted[s]) <= 30 for s in wanted)
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixing.mix(docs.repartition(6)).collect()))
