@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_TEXT = 25_000
 # Hosts that contacts aren't looked for on.
 BLOCKED = ["linkedin.com", "facebook.com", "instagram.com", "twitter.com", "x.com", "tiktok.com", "pinterest.com", "reddit.com", "login.", "signin.", "auth.", "accounts.google.com", "appleid.apple.com"]
 
 
-def html_to_text(c: Column, most: int = MAX_TEXT) -> Column:
-    """The visible text of a page, its first characters."""
+def html_to_text(c: Column, most: int | None = None) -> Column:
+    """The visible text of a page; with most, only so many of its first characters."""
     t = F.regexp_replace(c, r"(?is)<(script|style|nav|footer|header|noscript).*?</\1>", " ")
     t = F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), "(?i)&nbsp;", " ")
     for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
         t = F.regexp_replace(t, f"(?i)&{name};", char)
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"&#?\w+;", " "), r"\s+", " "))
-    return F.left(t, F.lit(most))
+    return t if most is None else F.left(t, F.lit(most))
 
 
 def clean_ocr(c: Column) -> Column:

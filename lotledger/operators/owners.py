@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import contact_key, entity_type, norm_name, owner_match_key, trigrams
+from ..sources.shared import small, written
 from .upserts import insert_ignore
 
 MENTION = "name string, seq long, bbl string, relationship string, confidence double, event_type string, occurred_at date, kind string, value string, contact_confidence double, source string"
@@ -57,12 +58,21 @@ def mentions_from_filings(contacts: DataFrame) -> DataFrame:
     )
 
 
-def mentions_from_stakeholders(entries: DataFrame) -> DataFrame:
-    """Owners and managing agents; the organisation's name if there is one."""
-    rows = entries.filter(F.col("role").isin("OWNER", "MANAGING_AGENT")).withColumn("_name", F.trim(F.coalesce(F.nullif("orgName", F.lit("")), "name"))).filter(F.length("_name") > 2)
+def mentions_from_stakeholders(merged: DataFrame) -> DataFrame:
+    """Owners and managing agents of merged stakeholders, by the organisation's name if it is over two characters, with
+    their contacts."""
+    address = lambda a: F.concat_ws(", ", *(F.nullif(a[f], F.lit("")) for f in ("line1", "city", "state", "zip")))
+    contact = lambda kind, value, sure: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(sure).alias("confidence"))
+    held = F.concat(
+        F.transform("emails", lambda e: contact("email", e["value"], 0.75)), F.transform("phones", lambda p: contact("phone", p["value"], 0.75)),
+        F.transform(F.filter("addresses", lambda a: F.length(a["line1"]) > 0), lambda a: contact("address", address(a), 0.7)),
+    )
+    named = F.when(F.length("org_name") > 2, F.col("org_name")).otherwise(F.col("name"))
+    rows = merged.filter(F.col("role").isin("OWNER", "MANAGING_AGENT")).withColumn("_name", named).filter(F.length("_name") > 2)
+    rows = rows.withColumn("_c", F.explode_outer(F.filter(held, lambda c: F.length(c["value"]) > 0)))
     return _mention(
-        rows, name=F.col("_name"), seq=F.col("seq"), bbl=F.col("bbl"), relationship=F.when(F.col("role") == "OWNER", "owner").otherwise("agent"),
-        confidence=F.coalesce("confidence", F.lit(0.7)), source=F.lit("stakeholder"),
+        rows, name=F.col("_name"), seq=F.col("cluster"), bbl=F.col("bbl"), relationship=F.when(F.col("role") == "OWNER", "owner").otherwise("other"),
+        confidence=F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.7)), kind=F.col("_c.kind"), value=F.col("_c.value"), contact_confidence=F.col("_c.confidence"), source=F.lit("stakeholder"),
     )
 
 
@@ -71,14 +81,28 @@ def mentions_from_parcels(parcels: DataFrame) -> DataFrame:
     return _mention(rows, name=F.trim("owner_name"), seq=F.col("bbl").cast("long"), bbl=F.col("bbl"), relationship=F.lit("owner"), confidence=F.lit(0.6), source=F.lit("pluto"))
 
 
+def name_keys(mentions: DataFrame) -> DataFrame:
+    """name, key, entity_type: the match key and type of each distinct name; keys under three characters go."""
+    names = mentions.select("name").distinct().withColumns({"key": owner_match_key(F.col("name")), "entity_type": entity_type(F.col("name"))})
+    return names.filter(F.length("key") >= 3)
+
+
 def owner_mentions(*sources: DataFrame) -> DataFrame:
-    """All mentions with their match key and entity type; keys under three characters go. Both are found once
-    for each distinct name."""
+    """All mentions with their match key and entity type, both found once for each distinct name.
+
+    The mentions are written once, as the names and every later step read them; so are the keys of the names, far
+    fewer, which are broadcast to the mentions up to a bound that is checked, and else meet them in a join."""
     out = sources[0]
     for s in sources[1:]:
         out = out.unionByName(s)
-    names = out.select("name").distinct().withColumns({"key": owner_match_key(F.col("name")), "entity_type": entity_type(F.col("name"))})
-    return out.join(names.filter(F.length("key") >= 3), "name")
+    out = written(out, "mentions")
+    return out.join(small(written(name_keys(out), "names")), "name")
+
+
+def entity_ids(mentions: DataFrame) -> DataFrame:
+    """key, id: what build_entities calls the entity of a key."""
+    spellings = mentions.groupBy("key").agg(F.min(F.struct("seq", "name", "entity_type")).alias("f"), F.max("bbl").alias("bbl"))
+    return spellings.filter("bbl IS NOT NULL").select("key", entity_id(F.col("key"), F.col("f.entity_type")).alias("id"))
 
 
 def build_entities(mentions: DataFrame) -> DataFrame:

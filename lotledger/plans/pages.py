@@ -83,9 +83,13 @@ def extract_signals(pages: DataFrame) -> DataFrame:
 
 
 def redundancy(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
-    """doc_id, redundancy: by how many pages declare the resolved number of units, give or take 2."""
-    agree = mentions.join(resolved.select("doc_id", "units"), "doc_id").groupBy("doc_id").agg(F.countDistinct(F.when(F.abs(F.col("value") - F.col("units")) <= 2, F.col("page"))).alias("n"))
-    return agree.select("doc_id", F.when(F.col("n") >= 3, 0.95).when(F.col("n") == 2, 0.85).when(F.col("n") == 1, 0.6).otherwise(0.3).alias("redundancy"))
+    """doc_id, redundancy of every resolved document: by how many pages of sources (source, page) declare its number of
+    units, give or take 2; 0 if nothing declares any."""
+    told = mentions.select(F.col("doc_id").alias("_doc"), "source", "page", "value")
+    joined = resolved.select("doc_id", "units").join(told, F.col("doc_id") == F.col("_doc"), "left")
+    near = F.abs(F.col("value") - F.col("units")) <= 2
+    n = joined.groupBy("doc_id").agg(F.countDistinct(F.when(near, F.struct("source", "page"))).alias("n"), F.count("_doc").alias("told"))
+    return n.select("doc_id", F.when(F.col("told") == 0, 0.0).when(F.col("n") >= 3, 0.95).when(F.col("n") == 2, 0.85).when(F.col("n") == 1, 0.6).otherwise(0.3).alias("redundancy"))
 
 
 def cross_check(plans: DataFrame, parcels: DataFrame) -> DataFrame:

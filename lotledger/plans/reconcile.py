@@ -64,15 +64,15 @@ def merge_sections(sections: DataFrame) -> DataFrame:
 
     sections: doc_id, section (COVER_SHEET, ZONING_SCHEDULE, FLOOR_PLAN_LABEL or GENERIC), seq, lot_area, zoning_floor_area, far,
     total_units, unit_mix map<string,long>, unit_sizes map<string,array<double>>, confidence. The first number that isn't
-    0 holds; mixes of zoning schedules add up, and a generic one counts where it comes first; sizes are pooled. Sections alike in
+    0 holds; mixes of zoning schedules add up, and a generic one counts where it comes first; a type that is only stated as 0 has 0; sizes are pooled. Sections alike in
     seq are in the order of their names.
     """
     turn = F.struct("seq", "section")
     told = {"lot_area": ["COVER_SHEET", "ZONING_SCHEDULE"], "zoning_floor_area": ["ZONING_SCHEDULE"], "far": ["COVER_SHEET", "ZONING_SCHEDULE"], "total_units": ["COVER_SHEET", "ZONING_SCHEDULE", "GENERIC"]}
     first = [F.min(F.when(F.col("section").isin(by) & (F.col(c) != 0), F.struct(turn.alias("turn"), F.col(c).alias("v"))))["v"].alias(c) for c, by in told.items()]
     heads = sections.groupBy("doc_id").agg(*first, F.least(F.lit(MOST_SURE), F.greatest(F.lit(0.0), F.max("confidence"))).alias("confidence"))
-    mixed = sections.filter(F.col("section").isin("ZONING_SCHEDULE", "GENERIC")).select("doc_id", turn.alias("turn"), F.explode("unit_mix").alias("type", "n")).filter("n <> 0")
-    lead = F.min(F.struct("turn", "n"))
+    mixed = sections.filter(F.col("section").isin("ZONING_SCHEDULE", "GENERIC")).select("doc_id", turn.alias("turn"), F.explode("unit_mix").alias("type", "n")).filter("n IS NOT NULL")
+    lead = F.min(F.when(F.col("n") != 0, F.struct("turn", "n")))
     zoned = F.coalesce(F.sum(F.when(F.col("turn.section") == "ZONING_SCHEDULE", F.col("n"))), F.lit(0))
     counts = mixed.groupBy("doc_id", "type").agg((zoned + F.when(lead["turn"]["section"] == "GENERIC", lead["n"]).otherwise(0)).alias("n"))
     mix = counts.groupBy("doc_id").agg(F.sum("n").alias("_all"), *(F.max(F.when(F.col("type") == k, F.col("n"))).alias(v) for k, v in MIX.items()))

@@ -266,13 +266,12 @@ links AS (SELECT id AS owner_entity_id, bbl, relationship AS relationship_type,
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parcels = derived.parcels(spark, sf_dir).select("bbl", F.col("ownername").alias("owner_name"))
-    raw = owners.mentions_from_documents(_docs(spark, sf_dir)).unionByName(owners.mentions_from_parcels(parcels))
-    return owners.owner_mentions(written(raw, "mentions"))
+    return owners.owner_mentions(owners.mentions_from_documents(_docs(spark, sf_dir)), owners.mentions_from_parcels(parcels))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = _mentions(spark, sf_dir)
-    return written(owners.entity_links(mentions, owners.build_entities(mentions)), "links")
+    return owners.entity_links(mentions, owners.entity_ids(mentions))
 
 
 @query(f"WITH {MENTIONS} SELECT id, key, canonical_name, entity_type, n_aliases, n_parcels FROM entities")
@@ -297,7 +296,7 @@ def co_owners(spark, sf_dir):
 @query(f"""WITH {MENTIONS} SELECT id AS owner_entity_id, event_type, bbl, coalesce(occurred_at, DATE '1900-01-01') AS occurred_at, count(*) AS n FROM mentions JOIN entities USING (key) WHERE event_type IS NOT NULL GROUP BY ALL""")
 def owner_events(spark, sf_dir):
     mentions = _mentions(spark, sf_dir)
-    return owners.dedupe_events(mentions, owners.build_entities(mentions))
+    return owners.dedupe_events(mentions, owners.entity_ids(mentions))
 
 
 @query(f"""WITH {MENTIONS}, b AS (SELECT id AS owner_entity_id, bbl, max(occurred_at) AS occurred_at FROM mentions JOIN entities USING (key) WHERE event_type = 'purchase' GROUP BY ALL),
@@ -308,7 +307,7 @@ def owner_events(spark, sf_dir):
   SELECT owner_entity_id, bbl, occurred_at, via_bbl FROM u QUALIFY row_number() OVER (PARTITION BY owner_entity_id ORDER BY occurred_at DESC, bbl) <= 30""")
 def recent_purchases_of_owners(spark, sf_dir):
     mentions = _mentions(spark, sf_dir)
-    entities = owners.build_entities(mentions)
+    entities = owners.entity_ids(mentions)
     return portfolio.recent_purchases(owners.dedupe_events(mentions, entities), owners.entity_links(mentions, entities))
 
 
@@ -491,20 +490,109 @@ def contacts_of_documents(spark, sf_dir):
     return contacts.extract_contacts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-@query(r"""SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<nav.*?</nav>', ' ', 'g'), '(?is)<footer.*?</footer>', ' ', 'g'),
-    '(?is)<header.*?</header>', ' ', 'g'), '(?is)<noscript.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&quot;', '"', 'g'), '&#?\w+;', ' ', 'g'), '\s+', ' ', 'g')), 25000) AS text FROM pages""")
+    '(?is)<header.*?</header>', ' ', 'g'), '(?is)<noscript.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&quot;', '"', 'g'), '&#?\w+;', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def text_of_pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query(f"""WITH {PARTIES}, e AS (SELECT substr(document_id, 1, 14) AS bbl, CASE party_type WHEN '1' THEN 'SELLER' ELSE 'OWNER' END AS role, name FROM parties)
-  SELECT bbl, role, count(*) AS n FROM e GROUP BY ALL""")
+_TOKENS = lambda c: rf"list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(trim(regexp_replace(upper({c}), '[^A-Z0-9_\s,.-]', '', 'g')), '(\s*,?\s*\b(LLC|INC|CORP|LP)\b\.?)+$', '')), '\s+'), lambda t: t <> '')))"
+_WIDE = ["", " EAST", " EAST WING", " EAST WING SOUTH", " SOUTH"]
+
+
+@query(f"""WITH {PARTIES}, e AS (SELECT substr(document_id, 1, 15) AS bbl, CASE party_type WHEN '1' THEN 'SELLER' ELSE 'OWNER' END AS role, document_id::BIGINT * 10000000 + seq * 1000000 + regexp_extract(name, '([0-9]+)', 1)::BIGINT % 1000000 AS seq,
+    regexp_replace(name, '[#0-9]+', '') || ' OF THE OLD TOWN AND RIVER' || {_list(_WIDE)}[(document_id::BIGINT * 3 + seq * 7) % 5 + 1] AS name FROM parties),
+  t AS (SELECT bbl, role, min(seq) AS seq, any_value(name) AS name, {_TOKENS('name')} AS tokens, count(*) AS n FROM e GROUP BY bbl, role, {_TOKENS('name')}),
+  g AS (SELECT bbl, role, list([{{'seq': seq, 'tokens': tokens, 'head': 0::BIGINT, 'n': n}}] ORDER BY seq) AS l FROM t GROUP BY ALL),
+  f AS (SELECT bbl, role, unnest(list_reduce(l, lambda done, x: done || [{{'seq': x[1].seq, 'tokens': x[1].tokens, 'n': x[1].n,
+      'head': coalesce(list_filter(done, lambda h: h.seq = h.head AND len(list_intersect(h.tokens, x[1].tokens)) / len(list_distinct(h.tokens || x[1].tokens)) >= 0.85)[1].head, x[1].seq)}}],
+      [{{'seq': -1::BIGINT, 'tokens': ['-'], 'head': -2::BIGINT, 'n': 0::BIGINT}}])) AS c FROM g)
+  SELECT bbl, role, c.head AS cluster, sum(c.n)::BIGINT AS n_entries, count(*) AS n_sets FROM f WHERE c.seq >= 0 GROUP BY ALL""")
 def stakeholder_clusters(spark, sf_dir):
+    wide = F.element_at(F.array(*map(F.lit, _WIDE)), ((F.col("document_id").cast("long") * 3 + F.col("seq") * 7) % 5 + 1).cast("int"))
     rows = derived.parties(spark, sf_dir).select(
-        F.substring("document_id", 1, 14).alias("bbl"), keys.map_role_party(F.col("party_type")).alias("role"), F.xxhash64("document_id", "name", "seq").alias("seq"), "name", F.lit("acris").alias("source"), F.lit(0.7).alias("confidence")
-    )
-    return stakeholders.merge_stakeholders(stakeholders.cluster_stakeholders(rows)).groupBy("bbl", "role").agg(F.sum("n_entries").alias("n"))
+        F.substring("document_id", 1, 15).alias("bbl"), keys.map_role_party(F.col("party_type")).alias("role"), F.expr("cast(document_id as long) * 10000000 + seq * 1000000 + cast(regexp_extract(name, '([0-9]+)', 1) as long) % 1000000 as seq"),
+        F.concat(F.regexp_replace("name", "[#0-9]+", ""), F.lit(" OF THE OLD TOWN AND RIVER"), wide).alias("name"),
+    )
+    found = stakeholders.cluster_stakeholders(rows)
+    return found.groupBy("bbl", "role", "cluster").agg(F.count("*").alias("n_entries"), F.countDistinct(names.stakeholder_tokens(F.col("name"))).alias("n_sets"))
+
+
+# The entries of eight sources in SQL: source order, source, record, role, name, organisation, licence, telephone, e-mail, address and what they are worth.
+ENTRIES = f"""f AS (SELECT bbl, event_id AS j, event_id::VARCHAR AS k FROM (SELECT {_bbl('user_id')} AS bbl, event_id FROM events)),
+live AS (SELECT * FROM docs WHERE doc_type IN ('DEED', 'DEEDO', 'ADED', 'EXED', 'RDED', 'TORD', 'MTGE', 'AGMT') QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY recorded_date DESC NULLS LAST, document_id DESC) <= 20),
+e(o, source, bbl, record_key, role, name, org, licence, phone, phone_worth, email, email_worth, line1, place, address_worth) AS (
+  SELECT 0, 'ACRIS_LIVE', bbl, document_id, 'OWNER', trim(unnest(string_split(party2, ';'))), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM live
+  UNION ALL SELECT 0, 'ACRIS_LIVE', bbl, document_id, 'SELLER', trim(unnest(string_split(party1, ';'))), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM live
+  UNION ALL SELECT 1, 'ACRIS_GRANTEE', bbl, k, CASE WHEN j % 2 = 0 THEN 'OWNER' ELSE 'SELLER' END, 'Bo N' || j % 3, NULL, NULL, NULL, NULL, NULL, NULL, '9 OAK', 'NYC|NY|10001', 0.5 FROM f WHERE j % 5 = 0
+  UNION ALL SELECT 2, 'HPD_CONTACTS', bbl, k, CASE WHEN j % 8 = 0 THEN 'MANAGING_AGENT' ELSE 'OWNER' END, 'Bo N' || j % 3, NULL, NULL, NULL, NULL, NULL, NULL, '1 ELM ' || j % 2, 'NYC|NY|10002', 0.9 FROM f WHERE j % 4 = 0
+  UNION ALL SELECT 3, 'DOF_VALUATION', bbl, bbl, 'OWNER', 'CITY OF N' || substr(bbl, 10, 1), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM parcels
+  UNION ALL SELECT 4, 'PLUTO', bbl, bbl, 'OWNER', trim(owner_name), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM parcels WHERE trim(owner_name) <> ''
+  UNION ALL SELECT 5, 'DOB_FILING', bbl, k, 'ARCHITECT', 'Ann Lee', 'ARCH', 'L' || substr(bbl, 10, 1)::INT % 4, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f WHERE j % 2 = 0
+  UNION ALL SELECT 5, 'DOB_FILING', bbl, k, 'OWNER', 'BO N' || j % 3 || ' LLC', CASE WHEN j % 6 = 0 THEN 'BO HOLDINGS' END, NULL, '212555000' || j % 4, 0.75, 'b' || j % 2 || '@x.org', 0.8, '1 ELM', '', 0.7 FROM f WHERE j % 2 = 0
+  UNION ALL SELECT 5, 'DOB_FILING', bbl, k, 'FILING_REP', 'Rep', 'REPS', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f WHERE j % 2 = 0
+  UNION ALL SELECT 6, 'DOB_PERMIT_ISSUANCE', bbl, k, 'OWNER', 'Bo N' || j % 3, NULL, NULL, '(212) 555-000' || j % 4, 0.8, NULL, NULL, '1 ELM 1', '', 0.7 FROM f WHERE j % 3 = 0
+  UNION ALL SELECT 7, 'BIS_WEB', bbl, k, 'ENGINEER', 'Ed', NULL, 'L' || substr(bbl, 10, 1)::INT % 4, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f WHERE j % 7 = 0),
+t AS (SELECT *, {_TOKENS('name')} AS tokens FROM e WHERE name <> '')"""
+MERGED = f"""{PARCELS}, {DOCS}, {ENTRIES}, people AS (
+  SELECT bbl, role, tokens, arg_min(name, o) AS name, arg_min(org, o) AS org_name, min(licence) AS licence, count(*) AS n_entries, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources,
+    count(DISTINCT source || record_key) AS n_provenance, max({_map(stakeholders.BASE_CONFIDENCE)}[source]) AS base, count(DISTINCT source) AS n FROM t GROUP BY ALL),
+p AS (SELECT bbl, role, tokens, string_agg(v, '|' ORDER BY v) AS phones FROM (SELECT bbl, role, tokens, arg_min(phone || ':' || phone_worth::DOUBLE, (-phone_worth, o)) AS v FROM t WHERE phone IS NOT NULL GROUP BY bbl, role, tokens, regexp_replace(phone, '[^0-9]', '', 'g')) GROUP BY ALL),
+m AS (SELECT bbl, role, tokens, string_agg(DISTINCT email, '|' ORDER BY email) AS emails FROM t WHERE email IS NOT NULL GROUP BY ALL),
+a AS (SELECT bbl, role, tokens, string_agg(v, '; ' ORDER BY v) AS addresses FROM (SELECT bbl, role, tokens, arg_min(line1 || ':' || place || ':' || source || ':' || address_worth::DOUBLE, (-address_worth, o)) AS v FROM t WHERE line1 IS NOT NULL GROUP BY bbl, role, tokens, line1, place) GROUP BY ALL),
+merged AS (SELECT bbl, role, name, org_name, licence, n_entries, sources, n_provenance, phones, emails, addresses, floor(least(base + 0.05::DOUBLE * (n - 1), 0.99::DOUBLE) * 100 + 0.5::DOUBLE) / 100 AS confidence
+  FROM people LEFT JOIN p USING (bbl, role, tokens) LEFT JOIN m USING (bbl, role, tokens) LEFT JOIN a USING (bbl, role, tokens))"""
+
+
+def _merged_stakeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stakeholders of eight sources, merged."""
+    f = derived.filings(spark, sf_dir).selectExpr("bbl", "job_number", "cast(job_number as long) as j")
+    parcels = derived.parcels(spark, sf_dir)
+    blank = lambda *columns: [f"cast(null as string) as {c}" for c in columns]
+    sources = {
+        "ACRIS_LIVE": _docs(spark, sf_dir),
+        "ACRIS_GRANTEE": f.filter("j % 5 = 0").selectExpr("bbl", "job_number as document_id", "if(j % 2 = 0, '2', '1') as party_type", "concat(' Bo N', j % 3) as name", "'9 OAK' as address1", "'NYC' as city", "'NY' as state", "'10001' as zip", *blank("address2")),
+        "HPD_CONTACTS": f.filter("j % 4 = 0").selectExpr("bbl", "job_number as registrationcontactid", "if(j % 8 = 0, 'Site Manager', 'JointOwner') as type", "'Bo' as firstname", "concat('N', j % 3) as lastname", "'1' as businesshousenumber", "concat('ELM ', j % 2) as businessstreetname", "'NYC' as businesscity", "'NY' as businessstate", "'10002' as businesszip", *blank("corporationname", "businessapartment")),
+        "DOF_VALUATION": parcels.selectExpr("bbl", "concat('CITY OF N', substr(bbl, 10, 1)) as owner"),
+        "PLUTO": parcels.select("bbl", "ownername"),
+        "DOB_FILING": f.filter("j % 2 = 0").selectExpr(
+            "bbl", "job_number", "'RA' as applicant_title", "'Ann Lee' as applicant_name", "'ARCH' as applicant_business", "concat('L', cast(substr(bbl, 10, 1) as int) % 4) as license", "concat('BO N', j % 3, ' LLC') as owner_name", "if(j % 6 = 0, 'BO HOLDINGS', '') as owner_business",
+            "concat('212555000', j % 4) as owner_phone", "concat('b', j % 2, '@x.org') as owner_email", "'1 ELM' as owner_address", "'Rep' as rep_name", "'REPS' as rep_business", *blank("permittee_business", "permittee_license", "rep_address"),
+        ),
+        "DOB_PERMIT_ISSUANCE": f.filter("j % 3 = 0").selectExpr("bbl", "job_number", "concat('Bo N', j % 3) as owner_name", "concat('(212) 555-000', j % 4) as owner_phone", "'1 ELM 1' as owner_address", *blank("owner_business", "permittee_name", "permittee_business", "permittee_license_type", "permittee_license", "permittee_phone")),
+        "BIS_WEB": f.filter("j % 7 = 0").selectExpr("bbl", "job_number", "'PE' as applicant_license_type", "'Ed' as applicant_name", "concat('L', cast(substr(bbl, 10, 1) as int) % 4) as applicant_license", *blank("rep_name", "rep_business", "owner_name", "owner_business")),
+    }
+    return stakeholders.merge_stakeholders(stakeholders.cluster_stakeholders(written(stakeholders.stakeholder_entries(sources), "entries")))
+
+
+@query(f"""WITH {MERGED}, l AS (SELECT unnest(['L0', 'L1', 'L2']) AS licence, unnest(['2125550009', '(212) 555-0001', '']) AS bp, unnest(['ACTIVE', '', 'EXPIRED']) AS status)
+  SELECT bbl, role, name, org_name, n_entries, sources, n_provenance, addresses, CASE WHEN l.bp <> '' THEN coalesce(phones || '|', '') || l.bp || ':0.95' ELSE coalesce(phones, '') END AS phones, coalesce(emails, '') AS emails,
+    CASE WHEN status IS NULL THEN confidence ELSE least(confidence + 0.15::DOUBLE, 0.95::DOUBLE) END AS confidence, nullif(status, '') AS license_status FROM merged LEFT JOIN l USING (licence)""")
+def merged_stakeholders(spark, sf_dir):
+    merged = _merged_stakeholders(spark, sf_dir)
+    merged = merged.withColumn("license_status", F.lit(None).cast("string"))
+    licences = spark.sql("SELECT * FROM VALUES ('L0', 1, '2125550009', '', 'ACTIVE'), ('L1', 1, '(212) 555-0001', NULL, ''), ('L2', 1, '', '', 'EXPIRED') AS t(license, issued, business_phone, business_email, status)")
+    found = records.attach_licenses(merged, licences)
+    pair = lambda x: F.concat_ws(":", x["value"], x["confidence"].cast("string"))
+    sorted_ = lambda c, f, by: F.array_join(F.array_sort(F.transform(c, f)), by)
+    place = lambda a: F.concat_ws("|", a["city"], a["state"], a["zip"])
+    return found.select(
+        "bbl", "role", "name", "org_name", "n_entries", F.array_join("sources", ",").alias("sources"), F.size("provenance").cast("long").alias("n_provenance"),
+        F.when(F.size("addresses") > 0, sorted_("addresses", lambda a: F.concat_ws(":", a["line1"], place(a), a["source"], a["confidence"].cast("string")), "; ")).alias("addresses"),
+        sorted_("phones", pair, "|").alias("phones"), sorted_("emails", lambda e: e["value"], "|").alias("emails"), "confidence", "license_status",
+    )
+
+
+@query(f"""WITH {MERGED}, o AS (SELECT *, CASE WHEN length(org_name) > 2 THEN org_name ELSE name END AS n FROM merged WHERE role IN ('OWNER', 'MANAGING_AGENT'))
+  SELECT {_KEY('n')} AS key, count(DISTINCT bbl) AS n_parcels, array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN phones IS NULL THEN [] ELSE list_transform(string_split(phones, '|'), lambda p: regexp_replace(string_split(p, ':')[1], '[^0-9]', '', 'g')) END)))), ',') AS phones,
+    array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN emails IS NULL THEN [] ELSE string_split(emails, '|') END)))), ',') AS emails, bool_or(role = 'MANAGING_AGENT') AS manages FROM o WHERE length({_KEY('n')}) >= 3 GROUP BY ALL""")
+def owners_of_stakeholders(spark, sf_dir):
+    mentions = owners.owner_mentions(owners.mentions_from_stakeholders(_merged_stakeholders(spark, sf_dir)))
+    entities = owners.build_entities(mentions)
+    kinds = owners.entity_links(mentions, owners.entity_ids(mentions)).groupBy("owner_entity_id").agg(F.bool_or(F.col("relationship_type") == "other").alias("manages"))
+    of = lambda kind, f: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("contacts", F.array().cast("array<struct<kind:string,value:string,confidence:double>>")), lambda c: c["kind"] == kind), lambda c: f(c["value"])))), ",")
+    return entities.join(kinds, F.col("id") == F.col("owner_entity_id")).select("key", "n_parcels", of("phone", names.norm_phone).alias("phones"), of("email", F.lower).alias("emails"), "manages")
 
 
 @query(rf"""WITH {PARCELS}, o AS (SELECT DISTINCT trim(upper({_STRIP(_NORM('owner_name'))})) AS owner FROM parcels), c AS (SELECT DISTINCT upper(trim(owner_name)) AS entity_name FROM parcels),
@@ -995,6 +1083,15 @@ def pasted_rows(spark, sf_dir):
     return pasted.parse_pasted_tables(texts).select("text_id", "line", "crfn", "recorded_date", "doc_type", "borough", "block", "party1", "amount", "dedupe_key")
 
 
+@query("""WITH m AS (SELECT l_orderkey % 900 AS doc_id, ['cover_sheet', 'zoning', 'table'][l_linenumber % 3 + 1] AS source, l_suppkey % 5 AS page, 10 + l_partkey % 7 AS value FROM lineitem WHERE l_orderkey % 900 > 40),
+  r AS (SELECT p_partkey % 1000 AS doc_id, max(8 + p_size % 9) AS units FROM part GROUP BY ALL), n AS (SELECT r.doc_id, count(DISTINCT (source, page)) FILTER (abs(value - units) <= 2) AS n, count(source) AS told FROM r LEFT JOIN m USING (doc_id) GROUP BY ALL)
+  SELECT doc_id, CASE WHEN told = 0 THEN 0 WHEN n >= 3 THEN 0.95 WHEN n = 2 THEN 0.85 WHEN n = 1 THEN 0.6 ELSE 0.3 END::DOUBLE AS redundancy FROM n""")
+def unit_redundancy(spark, sf_dir):
+    mentions = derived.table(spark, sf_dir, "lineitem").filter("l_orderkey % 900 > 40").selectExpr("l_orderkey % 900 as doc_id", "array('cover_sheet', 'zoning', 'table')[l_linenumber % 3] as source", "l_suppkey % 5 as page", "10 + l_partkey % 7 as value")
+    resolved = derived.table(spark, sf_dir, "part").selectExpr("p_partkey % 1000 as doc_id", "8 + p_size % 9 as u").groupBy("doc_id").agg(F.max("u").alias("units"))
+    return pages.redundancy(mentions, resolved)
+
+
 @query(f"""WITH {PARCELS}, {DOCS}, {FILINGS}, k AS (SELECT * FROM docs WHERE doc_type IN ('DEED', 'DEEDO', 'ADED', 'EXED', 'RDED', 'TORD', 'MTGE', 'AGMT') QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY recorded_date DESC NULLS LAST, document_id DESC) <= 20),
   p AS (SELECT bbl, document_id, 'OWNER' AS role, unnest(string_split(party2, ';')) AS name FROM k UNION ALL SELECT bbl, document_id, 'SELLER', unnest(string_split(party1, ';')) FROM k),
   f AS (SELECT *, job_number::BIGINT AS j FROM filings)
@@ -1033,10 +1130,10 @@ def reconciled_fields(spark, sf_dir):
 @query("""WITH s AS (SELECT l_orderkey % 500 AS doc_id, l_orderkey * 10 + l_linenumber AS seq, ['COVER_SHEET', 'ZONING_SCHEDULE', 'FLOOR_PLAN_LABEL', 'GENERIC'][l_partkey % 4 + 1] AS section, l_quantity::BIGINT % 4 AS q, l_suppkey AS k, l_partkey AS p, l_tax AS c FROM lineitem),
   f AS (SELECT doc_id, arg_min(q * 1000.0::DOUBLE, (seq, section, q)) FILTER (q > 0 AND section IN ('COVER_SHEET', 'ZONING_SCHEDULE')) AS lot_area, least(0.6::DOUBLE, max(c)) AS confidence,
       arg_min(q + k % 9, (seq, section, q + k % 9)) FILTER (k % 3 = 0 AND q + k % 9 > 0 AND section <> 'FLOOR_PLAN_LABEL') AS total FROM s GROUP BY doc_id),
-  m AS (SELECT doc_id, sum(q) FILTER (section = 'ZONING_SCHEDULE') AS z, min((seq, section, q)) AS lead FROM s WHERE q > 0 AND section IN ('ZONING_SCHEDULE', 'GENERIC') GROUP BY doc_id),
+  m AS (SELECT doc_id, sum(q) FILTER (section = 'ZONING_SCHEDULE') AS z, min((seq, section, q)) FILTER (q > 0) AS lead FROM s WHERE section IN ('ZONING_SCHEDULE', 'GENERIC') GROUP BY doc_id),
   n AS (SELECT doc_id, coalesce(z, 0) + CASE WHEN lead[2] = 'GENERIC' THEN lead[3] ELSE 0 END AS br1 FROM m),
   a AS (SELECT doc_id, floor(avg(v) + 0.5) AS sf FROM (SELECT doc_id, unnest([400 + p % 100, 500 + k % 10]) AS v FROM s WHERE section = 'FLOOR_PLAN_LABEL') GROUP BY doc_id)
-  SELECT doc_id, lot_area, coalesce(total, br1)::BIGINT AS total_units, br1::BIGINT AS br1, sf AS studio_sf, confidence FROM f LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id)""")
+  SELECT doc_id, lot_area, coalesce(total, nullif(br1, 0))::BIGINT AS total_units, br1::BIGINT AS br1, sf AS studio_sf, confidence FROM f LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id)""")
 def merged_sections(spark, sf_dir):
     sections = derived.table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey % 500 as doc_id", "l_orderkey * 10 + l_linenumber as seq", "element_at(array('COVER_SHEET', 'ZONING_SCHEDULE', 'FLOOR_PLAN_LABEL', 'GENERIC'), cast(l_partkey % 4 + 1 as int)) as section",

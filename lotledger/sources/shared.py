@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -21,3 +22,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast a written table, if it has at most so many rows; else the join is left to Spark."""
+    return F.broadcast(df) if df.count() <= most else df
