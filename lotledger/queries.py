@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, text, zoning
 from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, records, sales, screening, spatial, stakeholders, upserts
-from .plans import extraction, facts, pages, reconcile, units
+from .plans import extraction, facts, layout, pages, reconcile, units
 from .sources import derived, pasted
 from .sources.shared import written
 from .streaming import deeds as live
@@ -1161,3 +1161,37 @@ def facts_of_plans(spark, sf_dir):
 @query("""SELECT doc_id, 4000::DOUBLE AS pre_existing, (1000 + doc_id % 3 * 40)::DOUBLE AS new, 5000::DOUBLE AS total, 0.75::DOUBLE + 0.1::DOUBLE AS sure_pre_existing, 0.75::DOUBLE + 0.1::DOUBLE AS sure_new, 0.75::DOUBLE + 0.1::DOUBLE AS sure_total, true AS reconciled FROM documents WHERE text IS NOT NULL""")
 def areas_of_conversions(spark, sf_dir):
     return facts.conversion_areas(_stated(spark, sf_dir))
+
+
+def _sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned rows of a unit schedule for each order: headers (but for every fourth), a row an item, a sum and a note far below."""
+    rows = derived.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("slot")).agg(F.min("l_partkey").alias("p"))
+    item = lambda x, text, down="0": f"named_struct('x', {x}D, 'str', {text}, 'down', {down})"
+    cells = [item(50, "concat(slot, 'A')"), item(150, "array('STUDIO', '1BR', '2BR', '3BR')[p % 4]", "p % 3 * 0.5"), item(250, "cast(300 + p % 900 as string)", "p % 2 * 0.7"), item(350, "if(p % 5 = 0, null, if(p % 2 = 0, 'INCLUSIONARY', 'MARKET'))", "p % 4 * 0.2"), item(450, "if(p % 2 = 0, '60% AMI', null)", "0.9")]
+    heads = [item(50, "'UNIT'"), item(150, "'TYPE'", "0.5"), item(250, "'NET'"), item(272, "'SF'", "1"), item(350, "'ALLOCATION'"), item(450, "'AMI'")]
+    of = lambda df, *items: df.select("doc_id", "slot", F.expr(f"inline(array({', '.join(items)}))")).filter("str IS NOT NULL")
+    docs = rows.select("doc_id").distinct()
+    head = of(docs.filter("doc_id % 4 <> 3").withColumn("slot", F.lit(0)), *heads)
+    total = of(docs.withColumn("slot", F.lit(8)), item(50, "concat('TOTAL: ', doc_id % 30, ' UNITS')"))
+    note = of(docs.withColumn("slot", F.lit(20)), item(50, "'UNIT 99Z 2BR 900 SF'"))
+    every = of(rows, *cells).unionByName(head).unionByName(total).unionByName(note)
+    items = every.select("doc_id", F.lit(1).alias("page"), F.xxhash64("slot", "x").alias("seq"), "str", "x", F.expr("700D - 20 * slot - down").alias("y"), (F.length("str") * 6.0).alias("width"), F.lit(10.0).alias("height"))
+    return layout.table_rows(layout.page_lines(items))
+
+
+SHEETS = """r AS (SELECT l_orderkey AS o, l_linenumber AS s, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+a AS (SELECT o, s, p, 0 AS kind FROM r UNION ALL SELECT DISTINCT o, 8, 0, 1 FROM r UNION ALL SELECT DISTINCT o, 20, 0, 2 FROM r),
+g AS (SELECT *, 20 * (s - lag(s) OVER (PARTITION BY o ORDER BY s)) AS gap, 20 * min(s) OVER (PARTITION BY o) AS base FROM a),
+k AS (SELECT *, max(CASE WHEN gap > greatest(2.5 * base, 24) THEN 1 ELSE 0 END) OVER (PARTITION BY o ORDER BY s) AS cut FROM g)"""
+
+
+@query(f"""WITH {SHEETS} SELECT o AS doc_id, CASE kind WHEN 2 THEN '99Z' ELSE s || 'A' END AS unit_id, CASE kind WHEN 2 THEN '2BR' ELSE ['STUDIO', '1BR', '2BR', '3BR'][p % 4 + 1] END AS bedroom_type, CASE kind WHEN 2 THEN 2 ELSE p % 4 END::INT AS bedroom_count,
+    CASE WHEN kind = 2 OR p % 5 = 0 THEN 'UNKNOWN' WHEN p % 2 = 0 THEN 'MIH_RESTRICTED' ELSE 'MARKET' END AS allocation, CASE WHEN kind = 0 AND p % 2 = 0 THEN 60 END AS ami_band, CASE kind WHEN 2 THEN 900 ELSE 300 + p % 900 END::INT AS area_sf
+  FROM k WHERE kind <> 1 AND (o % 4 = 3 OR cut = 0)""")
+def units_of_positioned_text(spark, sf_dir):
+    return layout.units_of_pages(_sheet_rows(spark, sf_dir)).select("doc_id", "unit_id", "bedroom_type", "bedroom_count", "allocation", "ami_band", "area_sf")
+
+
+@query(f"""WITH {SHEETS} SELECT o AS doc_id, (o % 30)::INT AS total_units FROM k WHERE kind = 1 AND cut = 0 AND o % 4 <> 3 AND o % 30 > 0""")
+def totals_of_sheets(spark, sf_dir):
+    return layout.declared_totals(layout.tables_of_pages(_sheet_rows(spark, sf_dir))).select("doc_id", "total_units")
