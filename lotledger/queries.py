@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import coerce, keys, names, text, zoning
 from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, records, sales, screening, spatial, stakeholders, upserts
 from .plans import extraction, facts, layout, pages, reconcile, units
-from .sources import derived, pasted
+from .sources import derived, pasted, result_pages
 from .sources.shared import written
 from .streaming import deeds as live
 
@@ -1195,3 +1195,34 @@ def units_of_positioned_text(spark, sf_dir):
 @query(f"""WITH {SHEETS} SELECT o AS doc_id, (o % 30)::INT AS total_units FROM k WHERE kind = 1 AND cut = 0 AND o % 4 <> 3 AND o % 30 > 0""")
 def totals_of_sheets(spark, sf_dir):
     return layout.declared_totals(layout.tables_of_pages(_sheet_rows(spark, sf_dir))).select("doc_id", "total_units")
+
+
+@query(f"""WITH {DOCS}, r AS (SELECT *, document_id::BIGINT AS d, row_number() OVER (PARTITION BY document_id ORDER BY bbl) AS n FROM docs),
+  k AS (SELECT *, CASE WHEN d % 3 = 0 THEN NULL ELSE 'C' || d END AS c, CASE WHEN d % 5 = 0 THEN NULL ELSE document_id END AS i FROM r WHERE d % 7 > 0 OR n % 2 = 1)
+  SELECT document_id AS page_id, i AS document_id, borough, block, lot, bbl, c AS crfn, strftime(recorded_date, '%Y-%m-%d') AS recorded_date, 'Smith & Co' AS party1, 'Roe N' || n AS party2, CASE WHEN d % 4 = 0 THEN NULL ELSE amount END AS amount, d % 2 = 0 AS corrected,
+    CASE WHEN d % 6 = 0 THEN 'MTGE' WHEN d % 6 = 1 THEN 'ASST' ELSE 'DEED' END AS doc_type FROM k WHERE c IS NOT NULL OR i IS NULL OR n = (SELECT min(n) FROM k k2 WHERE k2.document_id = k.document_id)""")
+def saved_result_pages(spark, sf_dir):
+    """Every document's parcels as the page that a search shows: rows of two colours, tables inside cells, other rows between."""
+    d, row = "cast(document_id as long)", "row_number() OVER (PARTITION BY document_id ORDER BY bbl)"
+    cells = [
+        f"if({d} % 5 = 0, '<font>det</font>', concat('<a href=# onclick=\"go_detail(&quot;', document_id, '&quot;)\">DET</a> <input type=button onclick=\"go_image(1)\">'))", "array('?', 'Manhattan', 'BRONX', '3', 'queens', 'Staten Island')[cast(borough as int)]", "block", "'1/2'", f"if({d} % 3 = 0, '&nbsp;', concat('C', {d}))",
+        "concat(' ', lot, '&nbsp;')", "'ENTIRE LOT'", "''", "date_format(recorded_date, 'M/d/yyyy')", "'9'", "'SMITH &amp; <i>CO</i>'", "concat('roe  n', n)", "'&nbsp;'", "''", f"if({d} % 2 = 0, '<IMG src=\"/img/CHECK.gif\">', '<img src=none.gif>')", f"if({d} % 4 = 0, 'n/a', concat('$', format_number(amount, 2)))",
+    ]
+    made = _docs(spark, sf_dir).withColumn("n", F.expr(row)).filter(f"{d} % 7 > 0 OR n % 2 = 1")
+    line = "concat('<tr bgcolor=', if(n % 2 = 1, '\"#FFFFFF\"', '#c6e2ff'), '>', " + ", ".join(f"'<td>', {c}, '</td>'" for c in cells) + ", '</tr><TR bgcolor=\"#EEEEEE\"><td>note', repeat('<td>x', 16), '</tr>')"
+    made = made.select("document_id", F.struct("n", F.expr(line).alias("line")).alias("l")).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("rows"))
+    kind = f"""case {d} % 6 when 0 then '<INPUT value="mtge" type=hidden name="hid_doctype"><b>Deed</b>' when 1 then '<b>Search Results</b><strong class=x> assignment </strong>' else '<input name="hid_doctype" value=""><input name="hid_doctypeselection" value=" deed ">' end"""
+    html = made.select(F.col("document_id").alias("page_id"), F.expr(f"concat('<html>', {kind}, '<table><tr><td><table><tr><td>menu</td></tr></table></td></tr><table border=1><tr><th>x</th></tr>', rows, '</table></table></html>')").alias("html"))
+    found = result_pages.parse_result_pages(html)
+    return found.select("page_id", "document_id", "borough", "block", "lot", "bbl", "crfn", "recorded_date", "party1", "party2", "amount", "corrected", "doc_type")
+
+
+@query(f"""WITH {DOCS} SELECT document_id AS page_id, document_id, 'C' || document_id AS crfn, doc_type, strftime(recorded_date, '%Y-%m-%d') AS recorded_date, party1, 'B' AS party2, amount, borough, block, lot FROM docs WHERE document_id::BIGINT % 2 = 0
+  UNION ALL SELECT document_id, 'L' || document_id, 'X-' || bbl, doc_type, strftime(recorded_date, '%Y-%m-%d'), 'A', '', NULL, '', '', '' FROM docs WHERE document_id::BIGINT % 2 = 1 AND document_id::BIGINT % 3 > 0""")
+def saved_grid_pages(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("d", F.col("document_id").cast("long"))
+    full = """concat('<tr><td><b>', document_id, '</b></td><td>C', document_id, '</td><td>', lower(doc_type), '</td><td></td><td>on ', date_format(recorded_date, 'M/d/yyyy'), '</td><td> ', party1, ' </td><td>B</td><td>$', format_number(amount, 2), '<a href="?borough=', borough, '&amp;block=', block, '&lot=', lot, '"></a></td></tr>')"""
+    short = """concat('<tr class="GridAltRow"><td>', if(d % 3 = 0, 'short', ''), '</td><td>', doc_type, '</td><td>', recorded_date, '</td><td>A</td><td>free<i> CRFN: X-', bbl, '</i>', if(d % 3 = 0, '', concat('<a href="/DocumentDetail/L', document_id, '">')), '</td></tr>')"""
+    rows = docs.select("document_id", "d", F.expr(f"if(d % 2 = 0, {full}, {short})").alias("r")).groupBy("document_id", "d").agg(F.array_join(F.collect_list("r"), " ").alias("r"))
+    html = rows.selectExpr("document_id as page_id", "if(d % 2 = 0, concat('<table id=\"ContentPlaceHolder1_GridViewResults\"><tr><th>h</th></tr>', r, '</table><tr class=\"Row\"><td>1<td>2'), concat('<table>', r, '</table>')) as html")
+    return result_pages.parse_grid_pages(html).drop("row")
