@@ -1,51 +1,87 @@
-"""Parcels in polygons."""
+"""Parcels in polygons: ray parity as a join of points with edges."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OFFSET = 0.0003
-#: Side of a grid cell in degrees.
-CELL = 0.01
+#: Height and width in degrees of the finest band; each level's bands are STEP times those of the one below.
+BAND, STEP, LEVELS = 0.01, 4, 8
+
+
+def _edges(ring: Column) -> Column:
+    """The edges of a ring: each point (a) with the next (b), the last with the first."""
+    turned = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.zip_with(ring, turned, lambda a, b: F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")))
+
 
+def _crosses(x: Column, y: Column, e: Column) -> Column:
+    """Whether a ray from the point to the right crosses the edge."""
+    at = e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
+    return ((e["ay"] > y) != (e["by"] > y)) & F.coalesce(x < at, F.lit(False))
 
-def point_in_rings(x: float, y: float, rings: list[np.ndarray]) -> bool:
-    """Whether a ray from the point crosses the rings an odd number of times."""
-    inside = False
-    for ring in rings:
-        a, b = ring, np.roll(ring, -1, axis=0)
-        over = (a[:, 1] > y) != (b[:, 1] > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-        inside ^= bool((over & (x < at)).sum() % 2)
-    return inside
+
+def _on(x: Column, y: Column, e: Column) -> Column:
+    """Whether the point lies on the edge."""
+    between = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+    straight = (e["bx"] - e["ax"]) * (y - e["ay"]) == (e["by"] - e["ay"]) * (x - e["ax"])
+    return straight & between(x, e["ax"], e["bx"]) & between(y, e["ay"], e["by"])
 
 
 def pip(x: Column, y: Column, rings: Column) -> Column:
-    """Whether points lie in polygons (array of rings, each an array of [x, y])."""
+    """Whether points lie in a polygon (array of rings, each an array of [x, y]) or on its border."""
+    edges = F.flatten(F.transform(rings, _edges))
+    return F.exists(edges, lambda e: _on(x, y, e)) | (F.size(F.filter(edges, lambda e: _crosses(x, y, e))) % 2 == 1)
 
-    @F.pandas_udf("boolean")
-    def test(x: pd.Series, y: pd.Series, rings: pd.Series) -> pd.Series:
-        return pd.Series([point_in_rings(a, b, [np.stack([np.asarray(p, float) for p in r]) for r in polygon]) for a, b, polygon in zip(x, y, rings, strict=True)])
 
-    return test(x, y, rings)
+def _level(extent: Column) -> Column:
+    """The finest level whose bands are as wide as the extent, so that it touches two of them at most."""
+    return reduce(lambda acc, i: acc.when(extent <= BAND * STEP**i, i), range(1, LEVELS), F.when(extent <= BAND, 0)).otherwise(LEVELS)
 
 
-def overlay(parcels: DataFrame, polygons: DataFrame, offset: float = OFFSET) -> DataFrame:
-    """parcels (bbl, lng, lat) with area (name of the first polygon by seq) and via_buffer, whether only a
-    point offset to a side lies in it. polygons: seq, area, rings.
+def _band(c: Column, level: Column) -> Column:
+    return F.floor(c / (F.pow(F.lit(float(STEP)), level) * BAND)).cast("long")
+
 
-    Points and boxes of polygons meet in grid cells, so a parcel is tested against polygons near it only.
+def _bands(low: Column, high: Column, level: Column) -> Column:
+    """The bands that an extent touches; one that reaches beyond all levels touches them all."""
+    return F.explode(F.sequence(_band(low, level), _band(high, level)))
+
+
+def _inside(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """key, seq, area of every point (key, x, y) and polygon that it lies in or on.
+
+    An edge stands in the bands of latitude that it spans and in the bands of longitude that its polygon spans, of
+    the level of either extent: four rows at most, however large it is. A point stands once in each pair of levels
+    that occurs. They meet in an equi-join, and crossings are summed for each point and polygon.
     """
-    probes = F.array(*(F.struct(F.lit(i).alias("probe"), (F.col("lng") + dx).alias("x"), (F.col("lat") + dy).alias("y")) for i, (dx, dy) in enumerate([(0, 0), (0, offset), (0, -offset), (offset, 0), (-offset, 0)])))
-    cell = lambda c: F.floor(c / CELL)
-    points = parcels.select("bbl", F.explode(probes).alias("p")).select("bbl", "p.*").withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-    axis = lambda i: F.transform(F.flatten("rings"), lambda p: p[i])
-    boxes = polygons.withColumns({"x0": F.array_min(axis(0)), "x1": F.array_max(axis(0)), "y0": F.array_min(axis(1)), "y1": F.array_max(axis(1))})
-    boxes = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
-    near = points.join(boxes, ["cx", "cy"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    hits = near.filter(pip(F.col("x"), F.col("y"), F.col("rings"))).groupBy("bbl").agg(F.min(F.struct("probe", "seq", "area")).alias("h"))
-    return parcels.join(hits, "bbl", "left").withColumns({"area": F.col("h.area"), "via_buffer": F.col("h.probe") > 0}).drop("h")
+    parts = polygons.select("seq", "area", F.monotonically_increasing_id().alias("part"), F.flatten(F.transform("rings", _edges)).alias("edges"))
+    width = lambda f, g: f(F.transform("edges", lambda e: g(e["ax"], e["bx"])))
+    edges = parts.withColumns({"x0": width(F.array_min, F.least), "x1": width(F.array_max, F.greatest)})
+    edges = edges.select("seq", "area", "part", "x0", "x1", F.explode("edges").alias("e")).withColumns({"y0": F.least("e.ay", "e.by"), "y1": F.greatest("e.ay", "e.by")})
+    edges = edges.withColumns({"lx": _level(F.col("x1") - F.col("x0")), "ly": _level(F.col("y1") - F.col("y0"))})
+    edges = edges.withColumn("bx", _bands(F.col("x0"), F.col("x1"), F.col("lx"))).withColumn("by", _bands(F.col("y0"), F.col("y1"), F.col("ly")))
+    levels = edges.agg(F.collect_set(F.struct("lx", "ly")).alias("levels"))  # (LEVELS + 1) squared at most, one row
+    placed = points.join(F.broadcast(levels), F.lit(True)).withColumn("l", F.explode("levels")).select("key", "x", "y", "l.lx", "l.ly")
+    placed = placed.withColumns({"bx": _band(F.col("x"), F.col("lx")), "by": _band(F.col("y"), F.col("ly"))})
+    met = placed.join(edges, ["lx", "ly", "bx", "by"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    x, y, e = F.col("x"), F.col("y"), F.col("e")
+    counted = met.groupBy("key", "seq", "area", "part").agg(F.sum(_crosses(x, y, e).cast("int")).alias("n"), F.max(_on(x, y, e)).alias("on"))
+    return counted.filter("on OR n % 2 = 1").select("key", "seq", "area")
+
+
+def overlay(parcels: DataFrame, polygons: DataFrame, offset: float = OFFSET) -> DataFrame:
+    """parcels (bbl, lng, lat, and zone_dist if there is one) with area (name of the first polygon by seq), via_buffer (whether only a
+    point offset to a side lies in it) and status: eligible in an area; else needs_verification for a zone whose number ends
+    in D or X; else not_eligible. polygons: seq, area, rings; the parts of a multipolygon are rows of one seq."""
+    offsets = [(0.0, 0.0), (0.0, offset), (0.0, -offset), (offset, 0.0), (-offset, 0.0)]
+    probes = F.array(*(F.struct(F.lit(i).alias("probe"), (F.col("lng") + dx).alias("x"), (F.col("lat") + dy).alias("y")) for i, (dx, dy) in enumerate(offsets)))
+    points = parcels.select("bbl", F.explode(probes).alias("p")).select(F.struct("bbl", "p.probe").alias("key"), "p.x", "p.y")
+    hits = _inside(points, polygons).groupBy(F.col("key.bbl").alias("_bbl")).agg(F.min(F.struct("key.probe", "seq", "area")).alias("h"))
+    joined = parcels.join(hits, F.col("bbl") == F.col("_bbl"), "left").withColumns({"area": F.col("h.area"), "via_buffer": F.col("h.probe") > 0})
+    verify = F.trim("zone_dist").rlike(r"(?i)\d[DX]$") if "zone_dist" in parcels.columns else F.lit(False)
+    status = F.when(F.col("h").isNotNull(), "eligible").when(F.coalesce(verify, F.lit(False)), "needs_verification").otherwise("not_eligible")
+    return joined.withColumn("status", status).drop("h", "_bbl")

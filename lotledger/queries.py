@@ -621,16 +621,20 @@ def search_owner_entities(spark, sf_dir):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""WITH p AS (SELECT p_partkey::VARCHAR AS bbl, -74.0::DOUBLE + (p_partkey % 500) * 0.0005::DOUBLE AS lng, 40.7::DOUBLE + (p_partkey % 331) * 0.0004::DOUBLE AS lat FROM part),
-  z AS (SELECT n_nationkey AS seq, n_name AS area, -74.0::DOUBLE + (n_nationkey % 5) * 0.05::DOUBLE + 0.00012::DOUBLE AS x0, 40.7::DOUBLE + (n_nationkey // 5) * 0.03::DOUBLE + 0.00012::DOUBLE AS y0 FROM nation),
+@query(f"""WITH p AS (SELECT p_partkey::VARCHAR AS bbl, -74.0::DOUBLE + (p_partkey % 500) * 0.0005::DOUBLE AS lng, 40.7::DOUBLE + (p_partkey % 331) * 0.0004::DOUBLE AS lat, {_list(['R7D', 'C4-4D', 'R6A', ' r5x ', 'M1', 'D'])}[p_partkey % 6 + 1] AS zone FROM part),
+  n AS (SELECT n_nationkey AS k, n_name AS area, -74.0::DOUBLE + (n_nationkey % 5) * 0.05::DOUBLE + 0.00012::DOUBLE AS x, 40.7::DOUBLE + (n_nationkey // 5) * 0.03::DOUBLE + 0.00012::DOUBLE AS y FROM nation),
+  z AS (SELECT k AS seq, area, x AS x0, x + 0.02::DOUBLE AS x1, y AS y0, y + 0.02::DOUBLE AS y1, x + 0.005::DOUBLE AS h0, x + 0.01::DOUBLE AS h1, y + 0.005::DOUBLE AS g0, y + 0.01::DOUBLE AS g1 FROM n
+    UNION ALL SELECT k, area, x + 0.025::DOUBLE, x + 0.03::DOUBLE, y, y + 0.004::DOUBLE, 0, 0, 0, 0 FROM n UNION ALL SELECT 99, 'ALL', -73.99, -73.8, 40.78, 40.81, 0, 0, 0, 0),
   o AS (SELECT unnest([0, 1, 2, 3, 4]) AS probe, unnest([0, 0, 0, 0.0003, -0.0003])::DOUBLE AS dx, unnest([0, 0.0003, -0.0003, 0, 0])::DOUBLE AS dy),
-  h AS (SELECT bbl, arg_min(area, (probe, seq)) AS area, min(probe) > 0 AS via_buffer FROM p, o, z WHERE lng + dx > x0 AND lng + dx < x0 + 0.02::DOUBLE AND lat + dy > y0 AND lat + dy < y0 + 0.02::DOUBLE GROUP BY bbl)
-  SELECT bbl, area, via_buffer FROM p LEFT JOIN h USING (bbl)""")
+  h AS (SELECT bbl, arg_min(area, (probe, seq)) AS area, min(probe) > 0 AS via_buffer FROM p, o, z WHERE lng + dx > x0 AND lng + dx < x1 AND lat + dy > y0 AND lat + dy < y1 AND NOT (lng + dx > h0 AND lng + dx < h1 AND lat + dy > g0 AND lat + dy < g1) GROUP BY bbl)
+  SELECT bbl, area, via_buffer, CASE WHEN area IS NOT NULL THEN 'eligible' WHEN zone IN ('R7D', ' r5x ') OR zone = 'C4-4D' THEN 'needs_verification' ELSE 'not_eligible' END AS status FROM p LEFT JOIN h USING (bbl)""")
 def parcels_in_polygons(spark, sf_dir):
-    points = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(p_partkey as string) as bbl", "-74.0D + (p_partkey % 500) * 0.0005D as lng", "40.7D + (p_partkey % 331) * 0.0004D as lat")
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(p_partkey as string) as bbl", "-74.0D + (p_partkey % 500) * 0.0005D as lng", "40.7D + (p_partkey % 331) * 0.0004D as lat", "array('R7D', 'C4-4D', 'R6A', ' r5x ', 'M1', 'D')[p_partkey % 6] as zone_dist")
     corner = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey as seq", "n_name as area", "-74.0D + (n_nationkey % 5) * 0.05D + 0.00012D as x", "40.7D + (n_nationkey div 5) * 0.03D + 0.00012D as y")
-    square = corner.selectExpr("seq", "area", "array(array(array(x, y), array(x + 0.02D, y), array(x + 0.02D, y + 0.02D), array(x, y + 0.02D))) as rings")
-    return spatial.overlay(points, square).select("bbl", "area", "via_buffer")
+    box = lambda x0, x1, y0, y1: f"array(array({x0}, {y0}), array({x1}, {y0}), array({x1}, {y1}), array({x0}, {y1}))"
+    parts = [corner.selectExpr("cast(seq as int) as seq", "area", f"array({box('x', 'x + 0.02D', 'y', 'y + 0.02D')}, {box('x + 0.005D', 'x + 0.01D', 'y + 0.005D', 'y + 0.01D')}) as rings"), corner.selectExpr("cast(seq as int) as seq", "area", f"array({box('x + 0.025D', 'x + 0.03D', 'y', 'y + 0.004D')}) as rings")]
+    city = spark.range(1).selectExpr("99 as seq", "'ALL' as area", f"array({box('-73.99D', '-73.8D', '40.78D', '40.81D')}) as rings")
+    return spatial.overlay(points, parts[0].unionByName(parts[1]).unionByName(city)).select("bbl", "area", "via_buffer", "status")
 
 
 PLANS = """pages AS (
