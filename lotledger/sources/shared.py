@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """Broadcast a written table, if it has at most so many rows; else the join is left to Spark."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def _path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, path = _path(spark, path)
+    return system.exists(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, path = _path(spark, path)
+    system.delete(path, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    system, path = _path(spark, path)
+    system.create(path, True).close()

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.deeds import coverage
-from ..operators.sales import latest_sales, sales_from_documents
-from ..operators.upserts import insert_ignore, upsert
+from ..operators.sales import sales_from_documents
+from ..operators.upserts import insert_ignore, merge_partitions, upsert
+from ..sources.shared import delete, exists, mark, written
 
 REREAD_DAYS, MAX_REREAD_DAYS = 45, 90
 
@@ -43,28 +45,44 @@ def stream_latest_sale(stream: DataFrame) -> DataFrame:
     return sold.groupBy("bbl").agg(last).select("bbl", "s.*")
 
 
-def batch_upsert(spark: SparkSession, folder: str, as_of: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that puts documents and their sales into tables below folder.
+# How the tables are partitioned: documents and sales by borough and month, what is covered by borough.
+DOCUMENT_PARTS = {"part_borough": "left(bbl, 1)", "part_month": "date_format(recorded_date, 'yyyy-MM')"}
+SALE_PARTS = {"part_borough": "left(bbl, 1)", "part_month": "date_format(sale_date, 'yyyy-MM')"}
+DOCUMENT_KEYS, SALE_KEYS = ["document_id", "bbl"], ["bbl", "sale_date", "source"]
+
+
+def stored_table(spark: SparkSession, folder: str, name: str, schema: StructType | str) -> DataFrame:
+    """A table below folder as the batches have left it."""
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
-    Each batch writes whole new versions named after its number and reads the version of the batch before,
-    so a batch that is run again writes the same thing (exactly once by number).
-    """
 
-    def version(name: str, number: int) -> str:
-        return f"{folder}/{name}/v={number}"
+def batch_upsert(spark: SparkSession, folder: str, as_of: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that puts documents and their sales into tables below folder, and what is covered.
 
-    def stored(name: str, number: int, empty: DataFrame) -> DataFrame:
-        path = spark._jvm.org.apache.hadoop.fs.Path(version(name, number))
-        there = number >= 0 and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        return spark.read.parquet(version(name, number)) if there else empty.limit(0)
+    A batch writes the partitions that it changes and no others; what is covered is counted anew in the
+    boroughs that it touches. A ledger names the batches that are done: those are not run again. A batch that broke
+    off is run again from what it had staged, or from the start; both upserts give the same rows the second time.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates(["document_id", "bbl"])
-        docs = upsert(stored("documents", number - 1, batch), batch, ["document_id", "bbl"], ["recorded_date", "amount"])
-        docs.write.mode("overwrite").parquet(version("documents", number))
-        sold = sales_from_documents(batch)
-        insert_ignore(stored("sales", number - 1, sold), sold, ["bbl", "sale_date", "source"]).write.mode("overwrite").parquet(version("sales", number))
-        coverage(spark.read.parquet(version("documents", number)), as_of).write.mode("overwrite").parquet(version("coverage", number))
+        done = f"{folder}/ledger/batch={number}"
+        if exists(spark, done):
+            return
+        staging = f"{folder}/staging/batch={number}"
+        batch = written(batch.dropDuplicates(DOCUMENT_KEYS), "batch")
+        if not batch.isEmpty():
+            put = lambda stored, new: upsert(stored, new, DOCUMENT_KEYS, ["recorded_date", "amount"])
+            merge_partitions(f"{folder}/documents", batch, DOCUMENT_KEYS, DOCUMENT_PARTS, put, f"{staging}/documents")
+            sold = sales_from_documents(batch)
+            if not sold.isEmpty():
+                merge_partitions(f"{folder}/sales", sold, [], SALE_PARTS, lambda stored, new: insert_ignore(stored, new, SALE_KEYS), f"{staging}/sales")
+            boroughs = [r[0] for r in batch.select(F.coalesce(F.expr(DOCUMENT_PARTS["part_borough"]), F.lit("none"))).distinct().collect()]  # six at most
+            parts = StructType([*batch.schema.fields, *(StructField(n, StringType()) for n in DOCUMENT_PARTS)])
+            docs = stored_table(spark, folder, "documents", parts).filter(F.col("part_borough").isin(boroughs))
+            covered = coverage(docs, as_of).withColumn("part_borough", F.coalesce(F.substring("borough", 1, 1), F.lit("none")))
+            covered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_borough").parquet(f"{folder}/coverage")
+        mark(spark, done)
+        delete(spark, staging)
 
     return run
 
@@ -79,8 +97,3 @@ def coverage_gap(covered: DataFrame, bulk: str, as_of: str) -> DataFrame:
     """borough, gap_from, gap_days: what the bulk source lacks until as_of, for the live source to fill."""
     ends = covered.filter(F.col("source") == bulk).groupBy("borough").agg(F.max("date_to").alias("end"))
     return ends.select("borough", F.date_add("end", 1).alias("gap_from"), F.greatest(F.datediff(F.lit(as_of).cast("date"), "end"), F.lit(0)).alias("gap_days"))
-
-
-def check_against_batch(docs: DataFrame) -> DataFrame:
-    """What stream_latest_sale must end with."""
-    return latest_sales(sales_from_documents(docs))

@@ -37,14 +37,13 @@ def test_stream_ends_as_batch(spark, sf_dir, tmp_path):
     docs.orderBy(F.desc("recorded_date")).limit(50).write.mode("append").parquet(str(tmp_path / "in"))  # rows that come again
     arriving = stream.read_documents(spark, str(tmp_path / "in"), docs.schema, 1)
     stream.ingest(arriving, str(tmp_path / "out"), AS_OF).awaitTermination()
-    versions = sorted(int(p.name[2:]) for p in (tmp_path / "out/documents").glob("v=*"))
-    got = spark.read.parquet(str(tmp_path / f"out/documents/v={versions[-1]}"))
+    got = stream.stored_table(spark, str(tmp_path / "out"), "documents", docs.schema)
     keys = ["document_id", "bbl"]
     assert rows(got.select(*keys)) == rows(docs.select(*keys).distinct())
     query = stream.stream_latest_sale(stream.read_documents(spark, str(tmp_path / "in"), docs.schema)).writeStream.outputMode("complete").format("memory").queryName("latest").start()
     query.processAllAvailable()
     query.stop()
-    assert rows(spark.table("latest").select("bbl", "sale_date", "sale_price")) == rows(stream.check_against_batch(docs).select("bbl", "sale_date", "sale_price"))
+    assert rows(spark.table("latest").select("bbl", "sale_date", "sale_price")) == rows(sales.latest_sales(sales.sales_from_documents(docs)).select("bbl", "sale_date", "sale_price"))
 
 
 def test_newer_sale_only(spark):
@@ -137,3 +136,38 @@ def test_signals_far_on_in_a_text(spark, tmp_path):
     # Negative ids write no number of units and no FAR at the head of a plan, so the query must find the text's own.
     spark.createDataFrame([(-5, far_on + "proposed 31 units, FAR: 3.5")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.units, r.lot_area, r.far) for r in queries.plan_signals(spark, str(tmp_path)).collect()] == [(31.0, 1000.0, 3.5)]
+
+
+def test_batches_write_the_partitions_they_touch(spark, sf_dir, tmp_path):
+    folder, docs = tmp_path / "out", _docs(spark, sf_dir).cache()
+    run = stream.batch_upsert(spark, str(folder), AS_OF)
+    run(docs, 0)
+    files = lambda name: {p: p.stat().st_mtime_ns for p in (folder / name).rglob("*.parquet")}
+    before, sold = files("documents"), files("sales")
+    first = docs.filter("bbl LIKE '3%' AND doc_type = 'DEED' AND amount > 0").orderBy("document_id", "bbl").limit(1)
+    moved = first.withColumn("recorded_date", F.lit("1971-05-06").cast("date")).withColumn("amount", F.lit(5.0))
+    run(moved, 1)
+    after = files("documents")
+    gone = {p.parent.name for p in before.keys() - after.keys()}
+    assert len(gone) == 1 and {p.parent.name for p in after.keys() - before.keys()} <= gone | {"part_month=1971-05"}
+    assert {p.parent.name for p in files("sales").keys() - sold.keys()} == {"part_month=1971-05"}
+    got = stream.stored_table(spark, str(folder), "documents", docs.schema)
+    keys = ["document_id", "bbl"]
+    want = docs.join(first.select(*keys), keys, "left_anti").unionByName(moved)
+    assert rows(got.select(*keys, "recorded_date", "amount")) == rows(want.dropDuplicates(keys).select(*keys, "recorded_date", "amount"))
+    held = rows(spark.read.parquet(str(folder / "coverage")))
+    run(moved.withColumn("amount", F.lit(7.0)), 1)  # a batch of that number is done
+    assert files("documents") == after and rows(spark.read.parquet(str(folder / "coverage"))) == held
+    assert not list((folder / "staging").glob("*"))
+
+
+def test_the_last_row_of_a_partition_moves(spark, tmp_path):
+    put = lambda stored, new: upserts.upsert(stored, new, ["k"])
+    path, parts = str(tmp_path / "t"), {"p": "v"}
+    for n, row in enumerate([(1, "a"), (1, "b"), (2, None)]):
+        folders = upserts.merge_partitions(path, spark.createDataFrame([row], "k int, v string"), ["k"], parts, put, f"{tmp_path}/s{n}")
+    assert folders == ["p=none"] and not os.path.exists(f"{path}/p=a")
+    assert rows(spark.read.schema("k int, v string").parquet(path).select("k", "v")) == [(1, "b"), (2, None)]
+    # A run that broke off after it had staged its rows goes on from them.
+    upserts.merge_partitions(path, spark.createDataFrame([(9, "z")], "k int, v string"), ["k"], parts, put, f"{tmp_path}/s1")
+    assert rows(spark.read.schema("k int, v string").parquet(path).select("k", "v")) == [(1, "b"), (2, None)]
