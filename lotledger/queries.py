@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, keys, names, text, zoning
 from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, records, sales, screening, spatial, stakeholders, upserts
-from .plans import extraction, facts, layout, pages, reconcile, units
+from .plans import extraction, facts, layout, pages, reconcile, signals, units
 from .sources import derived, pasted, result_pages
 from .sources.shared import written
 from .streaming import deeds as live
@@ -1230,3 +1230,27 @@ def saved_grid_pages(spark, sf_dir):
     rows = docs.select("document_id", "d", F.expr(f"if(d % 2 = 0, {full}, {short})").alias("r")).groupBy("document_id", "d").agg(F.array_join(F.collect_list("r"), " ").alias("r"))
     html = rows.selectExpr("document_id as page_id", "if(d % 2 = 0, concat('<table id=\"ContentPlaceHolder1_GridViewResults\"><tr><th>h</th></tr>', r, '</table><tr class=\"Row\"><td>1<td>2'), concat('<table>', r, '</table>')) as html")
     return result_pages.parse_grid_pages(html).drop("row")
+
+
+def _declared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages a document: a sheet before its whole text (a cover for two thirds), a zoning analysis, and one that says otherwise."""
+    docs = derived.table(spark, sf_dir, "documents").filter("text IS NOT NULL").selectExpr("doc_id", "text", "posexplode(array(0, 1, 2)) as (page, one)")
+    return docs.selectExpr("doc_id", "page", """case page
+      when 0 then concat(if(doc_id % 3 = 0, '', 'Cover sheet '), if(doc_id % 5 = 0, '', concat('TOTAL UNITS: ', doc_id % 90 + 1, ' ')), doc_id % 30 + 2, '-STORY; Zoning district R', doc_id % 9 + 1, '-2 / lot area 1,', 100 + doc_id % 800, ' SF. ', translate(text, '0123456789', ''))
+      when 1 then concat('ZONING ANALYSIS permitted FAR: ', doc_id % 20, '.5 DWELLING UNITS: ', doc_id % 700, ' ZFA 9,', 100 + doc_id % 800, ' Zone: C', doc_id % 6 + 1, '-4/R8')
+      else concat('proposed ', doc_id % 70 + 1, ' dwelling units, 99 stories above grade') end as text""")
+
+
+@query("""WITH d AS (SELECT doc_id AS k FROM documents WHERE text IS NOT NULL), c AS (SELECT *, k % 3 > 0 AS cover FROM d)
+  SELECT k AS doc_id, 'cover_sheet' AS source, 'units' AS signal, (CASE WHEN cover THEN k % 90 + 1 ELSE k % 70 + 1 END)::DOUBLE AS number, NULL AS zone, CASE WHEN cover THEN 0 ELSE 2 END AS page, CASE WHEN cover THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM c WHERE NOT cover OR k % 5 > 0
+  UNION ALL SELECT k, 'cover_sheet', 'floors', CASE WHEN cover THEN k % 30 + 2 ELSE 99 END, NULL, CASE WHEN cover THEN 0 ELSE 2 END, CASE WHEN cover THEN 0.9 ELSE 0.7 END FROM c
+  UNION ALL SELECT k, 'cover_sheet', 'zone', NULL, 'R' || (k % 9 + 1) || '-2', 0, CASE WHEN cover THEN 0.9 ELSE 0.7 END FROM c
+  UNION ALL SELECT k, 'cover_sheet', 'lot_area', 1100 + k % 800, NULL, 0, CASE WHEN cover THEN 0.9 ELSE 0.7 END FROM c
+  UNION ALL SELECT k, 'cover_sheet', 'far', k % 20 + 0.5, NULL, 1, 0.7 FROM c WHERE NOT cover AND k % 20 < 15
+  UNION ALL SELECT k, 'zoning_text', 'units', CASE WHEN k % 700 = 0 THEN k % 70 + 1 ELSE k % 700 END, NULL, CASE WHEN k % 700 = 0 THEN 2 ELSE 1 END, 0.85 FROM c WHERE k % 700 BETWEEN 1 AND 500
+  UNION ALL SELECT k, 'zoning_text', 'lot_area', 1100 + k % 800, NULL, 0, 0.85 FROM c UNION ALL SELECT k, 'zoning_text', 'far', k % 20 + 0.5, NULL, 1, 0.85 FROM c WHERE k % 20 < 15
+  UNION ALL SELECT k, 'zoning_text', 'zoning_floor_area', 9100 + k % 800, NULL, 1, 0.85 FROM c UNION ALL SELECT k, 'zoning_text', 'zone', NULL, 'R' || (k % 9 + 1) || '-2', 0, 0.85 FROM c""")
+def signals_of_plans(spark, sf_dir):
+    pages = _declared_pages(spark, sf_dir)
+    found = signals.cover_signals(pages).unionByName(signals.zoning_signals(pages))
+    return found.select("doc_id", "source", "signal", "number", F.when(F.col("signal") == "zone", F.col("value")).alias("zone"), "page", "confidence")
