@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.coerce import js_float, js_int, js_round, round34
 from ..functions.keys import sanitize_bbl
 from ..functions.zoning import DEFAULT_DU_FACTOR, uap_zone, zone_allows_res, zone_params
+from ..sources.shared import written
 from .sales import latest_sales
 
 # Condominium classes, columns that results can be sorted by.
@@ -176,5 +177,12 @@ def page_of(df: DataFrame, sort: str = "score", descending: bool = True, page: i
     return df.orderBy(first, F.col("score").desc_nulls_first(), "bbl").offset(page * size).limit(size)
 
 
+def page_with_total(df: DataFrame, sort: str = "score", descending: bool = True, page: int = 0, size: int = 50) -> DataFrame:
+    """The same with total, the number of all rows, which are counted as they pass on their way to the page: one scan."""
+    seen = Observation("rows")
+    rows = written(page_of(df.observe(seen, F.count(F.lit(1)).alias("total")), sort, descending, page, size), "page")
+    return rows.withColumn("total", F.lit(seen.get["total"]))
+
+
 def latest_sale_date(sales: DataFrame, borough: str) -> DataFrame:
     return sales.filter(F.col("bbl").startswith(borough)).agg(F.max("sale_date").alias("latest_sale_date"))

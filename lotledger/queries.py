@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import coerce, keys, names, text, zoning
 from .operators import activity, contacts, deeds, filings, finance, owners, portfolio, programs, records, sales, screening, spatial, stakeholders, upserts
 from .plans import extraction, facts, layout, pages, reconcile, signals, units
-from .sources import derived, pasted, result_pages
+from .sources import derived, extracts, pasted, result_pages
 from .sources.shared import written
 from .streaming import deeds as live
 
@@ -1254,3 +1254,14 @@ def signals_of_plans(spark, sf_dir):
     pages = _declared_pages(spark, sf_dir)
     found = signals.cover_signals(pages).unionByName(signals.zoning_signals(pages))
     return found.select("doc_id", "source", "signal", "number", F.when(F.col("signal") == "zone", F.col("value")).alias("zone"), "page", "confidence")
+
+
+@query(f"WITH {SCORED}, chosen AS (SELECT * FROM scored WHERE starts_with(bldg_class, 'A') OR starts_with(bldg_class, 'D4')) SELECT bbl, score, ppbsf, (SELECT count(*) FROM chosen) AS total FROM chosen ORDER BY ppbsf DESC NULLS FIRST, score DESC NULLS FIRST, bbl OFFSET 20 LIMIT 20")
+def page_with_total_of_screened(spark, sf_dir):
+    return screening.page_with_total(screening.search_parcels(_scored(spark, sf_dir), classes=["A", "D4"]), "ppbsf", page=1, size=20).select("bbl", "score", "ppbsf", "total")
+
+
+@query(f"""WITH {SCORED} SELECT bbl AS "BBL", printf('%.1f', score::DOUBLE) AS "Score", programs AS "Programs", strftime(last_sale_date, '%Y-%m-%d') AS "Last Sale Date", nullif(last_sale_price, 0) AS "Last Sale Price", owner_name AS "Owner", 22 AS n_columns FROM scored""")
+def exported_parcels(spark, sf_dir):
+    rows = extracts.export_rows(_scored(spark, sf_dir))
+    return rows.select("BBL", "Score", "Programs", F.col("Last Sale Date").cast("string").alias("Last Sale Date"), "Last Sale Price", "Owner", F.lit(len(rows.columns)).alias("n_columns"))

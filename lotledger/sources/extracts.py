@@ -19,11 +19,29 @@ def parse_filing_snippet(c: Column) -> Column:
     return F.from_json(c, "filing_date string, job_type string, work_type string")
 
 
-def export_csv(scored: DataFrame, path: str) -> None:
-    """Scored parcels as CSV: nested columns as text, eligible programmes joined with ", "."""
+# The columns of an export and the columns of scored parcels that they show.
+EXPORTED = {
+    "BBL": "bbl", "Address": "address", "Borough": "borough", "Zone": "zone_dist", "Lot SF": "lot_area", "Bldg SF": "bldg_area", "Slack SF": "slack_sf", "UB Ratio %": "underbuilt_ratio", "Resid FAR": "resid_far",
+    "Built FAR": "built_far", "Score": "score", "Potential Units": "potential_units", "Programs": "program_flags", "Data Score": "data_completeness", "Last Sale Date": "last_sale_date", "Last Sale Price": "last_sale_price",
+    "PPBSF": "ppbsf", "Sale Source": "last_sale_source", "Owner": "owner_name", "Bldg Class": "bldg_class", "Year Built": "year_built", "Units Res": "units_res",
+}
+#: Exported with one decimal place; as nothing where they are 0.
+ONE_PLACE, OR_NOTHING = ["UB Ratio %", "Score"], ["Last Sale Price", "Year Built"]
+
+
+def export_rows(scored: DataFrame) -> DataFrame:
+    """Scored parcels with the 22 columns of an export: eligible programmes joined with ", ", the rest as it is shown."""
     programs = F.array_join(F.transform(F.filter("program_flags", lambda f: f["eligible"]), lambda f: f["program"]), ", ")
-    flat = scored.withColumn("eligible_programs", programs).drop("program_flags")
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"').csv(path)
+    shown = []
+    for name, c in EXPORTED.items():
+        value = programs if name == "Programs" else F.format_string("%.1f", F.col(c).cast("double")) if name in ONE_PLACE else F.nullif(F.col(c), F.lit(0)) if name in OR_NOTHING else F.col(c)
+        shown.append(value.alias(name))
+    return scored.select(*shown)
+
+
+def export_csv(scored: DataFrame, path: str) -> None:
+    """Scored parcels as CSV with a header; quotes in texts are doubled."""
+    export_rows(scored).write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"').csv(path)
 
 
 def read_geojson_polygons(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
