@@ -65,7 +65,7 @@ def project_tax(df: DataFrame) -> DataFrame:
     """A row for each parcel, schedule of its programs (array) and year: exemption, gross and net tax, and the
     taxes without exemption, flat and growing. The schedules are some 250 rows and broadcast."""
     table = F.broadcast(schedules(df.sparkSession))
-    rows = df.join(table, F.array_contains(F.col("programs"), F.col("program")))
+    rows = df.withColumn("_program", F.explode(F.array_distinct("programs"))).join(table, F.col("_program") == F.col("program")).drop("_program")
     exempt = js_round(F.col("assessed_value") * (F.col("exemption_pct") / 100), 2)
     rows = rows.withColumn("exemption", exempt)
     net = js_round(F.greatest(F.col("assessed_value") - F.col("exemption"), F.lit(0.0)) * F.col("tax_rate"), 2)
