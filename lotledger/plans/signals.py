@@ -81,14 +81,23 @@ def match_places(text: Column, pattern: str) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc["found"])
 
 
-def _first(name: str, patterns: list[str]) -> Column:
-    """(i, page, value, snippet) of the first pattern that the page matches with a value."""
-    text, hits = F.col("text"), []
-    for i, p in enumerate(map(_cased, patterns)):
-        value = F.trim(F.regexp_extract(text, p, 1))
-        good = value != "" if name == "zone" else js_float(F.regexp_replace(value, ",", ""), None) > 0
-        hits.append(F.when(good, F.struct(F.lit(i).alias("i"), "page", value.alias("value"), snippet(text, F.regexp_instr(text, F.lit(p)), F.regexp_extract(text, p, 0)).alias("snippet"))))
-    return F.coalesce(*hits)
+def _firsts(pages: DataFrame, table: dict[str, list[str]]) -> DataFrame:
+    """pages (doc_id, page, text, _cover) with, for each signal, (i, page, value, snippet) of the first pattern that the page matches
+    with a value, in place of the text. Every pattern is looked for once; one that counts is looked for again, for its place."""
+    text = F.col("text")
+    values = {f"_{n}": F.array(*(F.trim(F.regexp_extract(text, _cased(p), 1)) for p in patterns)) for n, patterns in table.items()}
+    number = lambda v: F.coalesce(js_float(F.regexp_replace(v, ",", ""), None) > 0, F.lit(False))
+    some = lambda v: v != ""
+    at = {f"_{n}_at": F.array_position(F.transform(f"_{n}", some if n == "zone" else number), True).cast("int") - 1 for n in table}
+
+    def shown(n: str) -> Column:
+        hit = F.lit(None)
+        for i, p in enumerate(map(_cased, table[n])):
+            place = snippet(text, F.regexp_instr(text, F.lit(p)), F.regexp_extract(text, p, 0))
+            hit = F.when(F.col(f"_{n}_at") == i, place) if i == 0 else hit.when(F.col(f"_{n}_at") == i, place)
+        return F.when(F.col(f"_{n}_at") >= 0, F.struct(F.col(f"_{n}_at").alias("i"), "page", F.get(f"_{n}", F.col(f"_{n}_at")).alias("value"), hit.alias("snippet")))
+
+    return pages.withColumns(values).withColumns(at).select("doc_id", "page", "_cover", *(shown(n).alias(n) for n in table))
 
 
 def _is_cover() -> Column:
@@ -117,7 +126,7 @@ def cover_signals(pages: DataFrame) -> DataFrame:
     The first pattern counts, and for it the first page; only cover pages are read where a document has any. A
     first value out of its range is none. Null texts say nothing.
     """
-    pages = pages.filter("text IS NOT NULL").select("doc_id", "page", _is_cover().alias("_cover"), *(_first(n, p).alias(n) for n, p in COVER_PATTERNS.items()))
+    pages = _firsts(pages.filter("text IS NOT NULL").select("doc_id", "page", "text", _is_cover().alias("_cover")), COVER_PATTERNS)
     ends = [F.min(F.when(test, F.col(n))).alias(f"{n}_{k}") for n in COVER_PATTERNS for k, test in (("c", F.col("_cover")), ("a", F.lit(True)))]
     found = pages.groupBy("doc_id").agg(F.max("_cover").alias("_cover"), *ends)
     found = found.select("doc_id", "_cover", *(F.when(F.col("_cover"), F.col(f"{n}_c")).otherwise(F.col(f"{n}_a")).alias(n) for n in COVER_PATTERNS))
@@ -126,7 +135,7 @@ def cover_signals(pages: DataFrame) -> DataFrame:
 
 def zoning_signals(pages: DataFrame) -> DataFrame:
     """The same of the pages with two words of a zoning analysis."""
-    pages = pages.filter("text IS NOT NULL").filter(_is_zoning()).select("doc_id", "page", *(_first(n, p).alias(n) for n, p in ZONING_PATTERNS.items()))
+    pages = _firsts(pages.filter("text IS NOT NULL").filter(_is_zoning()).select("doc_id", "page", "text", F.lit(False).alias("_cover")), ZONING_PATTERNS)
     found = pages.groupBy("doc_id").agg(*(F.min(n).alias(n) for n in ZONING_PATTERNS))
     return _long(found, "zoning_text", list(ZONING_PATTERNS), F.lit(ON_ZONING))
 
