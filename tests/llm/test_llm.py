@@ -520,6 +520,26 @@ def test_neighbours_query_has_recall(spark):
     assert hits >= 0.9 * wanted
 
 
+def test_neighbours_recall_on_other_rows(spark, monkeypatch):
+    """Tight clusters, a few long vectors that the sample hardly knows, and queries unlike the rows: few answers are missed, and not those of one query."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 1000)
+    rng = np.random.default_rng(5)
+    n, d = 4000, 32
+    clusters = rng.normal(size=(50, d))[rng.integers(0, 50, n)] * 3 + rng.normal(size=(n, d)) * 0.05
+    rare, queries_apart = rng.normal(size=(n, d)), rng.normal(size=(n, d)) * 0.1
+    rare[rng.choice(n, 60, replace=False)] *= 50
+    queries_apart[::20] *= rng.choice([10.0, 300.0], size=(n // 20, 1))
+    for x in (clusters, rare, queries_apart):
+        df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got = neighbours.nearest(df, 20, F.col("id") % 20 == 0).toPandas()
+        hits = []
+        for q, part in got.groupby("query_id"):
+            order = [i for i in np.lexsort((np.arange(n), -(x * x[q]).sum(axis=1)))[:21] if i != q][:20]
+            hits.append(len(set(order) & set(part.vec_id)))
+        assert len(hits) == n // 20 and len(got) == n
+        assert sum(hits) >= 0.985 * n and min(hits) >= 10
+
+
 def test_pages_without_url_keep_their_records(spark):
     pages = spark.createDataFrame([(0, None, "<p>a</p>"), (2, "http://a.com/", "<p>b</p>")], "page_id long, url string, html string")
     got = {r.record_id: r for r in warc.resolve_revisits(warc.parse_records(warc.records_of_pages(pages))).collect()}
