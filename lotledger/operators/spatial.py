@@ -51,14 +51,15 @@ def _bands(low: Column, high: Column, level: Column) -> Column:
     return F.explode(F.sequence(_band(low, level), _band(high, level)))
 
 
-def _inside(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """key, seq, area of every point (key, x, y) and polygon that it lies in or on.
+def _inside(points: DataFrame, polygons: DataFrame, outline: bool) -> DataFrame:
+    """key, seq, area of every point (key, x, y) and polygon that it lies in or on; without outline not on its first ring.
 
     An edge stands in the bands of latitude that it spans and in the bands of longitude that its polygon spans, of
     the level of either extent: four rows at most, however large it is. A point stands once in each pair of levels
     that occurs. They meet in an equi-join, and crossings are summed for each point and polygon.
     """
-    parts = polygons.select("seq", "area", F.monotonically_increasing_id().alias("part"), F.flatten(F.transform("rings", _edges)).alias("edges"))
+    ringed = lambda ring, i: F.transform(_edges(ring), lambda e: F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by"].alias("by"), (i == 0).alias("outer")))
+    parts = polygons.select("seq", "area", F.monotonically_increasing_id().alias("part"), F.flatten(F.transform("rings", ringed)).alias("edges"))
     width = lambda f, g: f(F.transform("edges", lambda e: g(e["ax"], e["bx"])))
     edges = parts.withColumns({"x0": width(F.array_min, F.least), "x1": width(F.array_max, F.greatest)})
     edges = edges.select("seq", "area", "part", "x0", "x1", F.explode("edges").alias("e")).withColumns({"y0": F.least("e.ay", "e.by"), "y1": F.greatest("e.ay", "e.by")})
@@ -69,18 +70,22 @@ def _inside(points: DataFrame, polygons: DataFrame) -> DataFrame:
     placed = placed.withColumns({"bx": _band(F.col("x"), F.col("lx")), "by": _band(F.col("y"), F.col("ly"))})
     met = placed.join(edges, ["lx", "ly", "bx", "by"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     x, y, e = F.col("x"), F.col("y"), F.col("e")
-    counted = met.groupBy("key", "seq", "area", "part").agg(F.sum(_crosses(x, y, e).cast("int")).alias("n"), F.max(_on(x, y, e)).alias("on"))
-    return counted.filter("on OR n % 2 = 1").select("key", "seq", "area")
+    crosses, on, outer = _crosses(x, y, e).cast("int"), _on(x, y, e), e["outer"]
+    sums = [F.sum(crosses).alias("n"), F.sum(F.when(outer, crosses).otherwise(0)).alias("n_outer"), F.max(on & outer).alias("on_outer"), F.max(on & ~outer).alias("on_hole")]
+    counted = met.groupBy("key", "seq", "area", "part").agg(*sums)
+    inside = "on_outer OR on_hole OR n % 2 = 1" if outline else "NOT on_outer AND IF(on_hole, n_outer, n) % 2 = 1"
+    return counted.filter(inside).select("key", "seq", "area")
 
 
-def overlay(parcels: DataFrame, polygons: DataFrame, offset: float = OFFSET) -> DataFrame:
+def overlay(parcels: DataFrame, polygons: DataFrame, offset: float = OFFSET, outline: bool = True) -> DataFrame:
     """parcels (bbl, lng, lat, and zone_dist if there is one) with area (name of the first polygon by seq), via_buffer (whether only a
     point offset to a side lies in it) and status: eligible in an area; else needs_verification for a zone whose number ends
-    in D or X; else not_eligible. polygons: seq, area, rings; the parts of a multipolygon are rows of one seq."""
+    in D or X; else not_eligible. polygons: seq, area, rings; the parts of a multipolygon are rows of one seq. outline: whether
+    points on a first ring lie in the polygon; those on a hole's border do in either case."""
     offsets = [(0.0, 0.0), (0.0, offset), (0.0, -offset), (offset, 0.0), (-offset, 0.0)]
     probes = F.array(*(F.struct(F.lit(i).alias("probe"), (F.col("lng") + dx).alias("x"), (F.col("lat") + dy).alias("y")) for i, (dx, dy) in enumerate(offsets)))
     points = parcels.select("bbl", F.explode(probes).alias("p")).select(F.struct("bbl", "p.probe").alias("key"), "p.x", "p.y")
-    hits = _inside(points, polygons).groupBy(F.col("key.bbl").alias("_bbl")).agg(F.min(F.struct("key.probe", "seq", "area")).alias("h"))
+    hits = _inside(points, polygons, outline).groupBy(F.col("key.bbl").alias("_bbl")).agg(F.min(F.struct("key.probe", "seq", "area")).alias("h"))
     joined = parcels.join(hits, F.col("bbl") == F.col("_bbl"), "left").withColumns({"area": F.col("h.area"), "via_buffer": F.col("h.probe") > 0})
     verify = F.trim("zone_dist").rlike(r"(?i)\d[DX]$") if "zone_dist" in parcels.columns else F.lit(False)
     status = F.when(F.col("h").isNotNull(), "eligible").when(F.coalesce(verify, F.lit(False)), "needs_verification").otherwise("not_eligible")

@@ -59,3 +59,27 @@ def test_pip(spark):
     rings = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[1.0, 1.0], [3.0, 1.0], [3.0, 3.0], [1.0, 3.0]]]
     df = spark.createDataFrame([(x / 2, y / 2, rings) for x in range(-1, 10) for y in range(-1, 10)], "x double, y double, rings array<array<array<double>>>")
     assert all(r.i == inside(r.x, r.y, rings) for r in df.withColumn("i", spatial.pip(F.col("x"), F.col("y"), F.col("rings"))).collect())
+
+
+def test_outline_can_be_left_out(spark):
+    """On the first ring: out, if asked; on a hole's border: in; in the hole: out."""
+    rings = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[1.0, 1.0], [3.0, 1.0], [3.0, 3.0], [1.0, 3.0]]]
+    points = spark.createDataFrame([(f"{x},{y}", float(x), float(y)) for x in range(-1, 6) for y in range(-1, 6)], "bbl string, lng double, lat double")
+    polygons = spark.createDataFrame([(1, "a", rings)], SCHEMA)
+    for outline, low, high in ((True, 0, 4), (False, 1, 3)):
+        got = {r.bbl for r in spatial.overlay(points, polygons, 0.0, outline).collect() if r.area}
+        assert got == {f"{x},{y}" for x in range(low, high + 1) for y in range(low, high + 1)} - {"2,2"}
+
+
+def test_query_matches_sql_on_points_of_borders(spark):
+    """The points of sf0.01 that lie on the outline of the city are told as the SQL tells them."""
+    import duckdb
+
+    from lotledger import queries
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for name in ("part", "nation"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = con.sql(f"SELECT bbl, area, via_buffer, status FROM ({queries.SQL['parcels_in_polygons']})").fetchall()
+    got = [tuple(r) for r in queries.QUERIES["parcels_in_polygons"](spark, sf).select("bbl", "area", "via_buffer", "status").collect()]
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
