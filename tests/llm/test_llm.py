@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -540,6 +541,22 @@ def test_neighbours_recall_on_other_rows(spark, monkeypatch):
         assert sum(hits) >= 0.985 * n and min(hits) >= 10
 
 
+def test_suffix_tree_leaves_no_shuffle_files_of_its_steps(spark, sf_dir):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before, setting = set(shuffled()), spark.conf.get(common.CLEANUP)
+    out = suffix_tree.lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for _ in range(50):  # Spark deletes them in the background
+        left = sum(n for name, n in shuffled().items() if name not in before)
+        if left < 20_000:
+            break
+        time.sleep(0.2)
+    assert left < 20_000, left
+    assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and spark.conf.get(common.CLEANUP) == setting
+
+
 def test_pages_without_url_keep_their_records(spark):
     pages = spark.createDataFrame([(0, None, "<p>a</p>"), (2, "http://a.com/", "<p>b</p>")], "page_id long, url string, html string")
     got = {r.record_id: r for r in warc.resolve_revisits(warc.parse_records(warc.records_of_pages(pages))).collect()}
