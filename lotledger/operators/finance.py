@@ -85,9 +85,9 @@ def best_scenario(savings: DataFrame) -> DataFrame:
 
 
 def tax_baseline(df: DataFrame, years: int = YEARS) -> DataFrame:
-    """bbl, year, growth_tax and its running total."""
+    """bbl, year, growth_tax and its running total, which lots under one key share."""
     rows = df.select("bbl", "assessed_value", "tax_rate", F.explode(F.sequence(F.lit(1), F.lit(years))).alias("year")).withColumn("growth_tax", _growth_tax(F.col("year")))
-    running = Window.partitionBy("bbl").orderBy("year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("bbl").orderBy("year").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select("bbl", "year", "growth_tax", F.sum("growth_tax").over(running).alias("total_tax"))
 
 
