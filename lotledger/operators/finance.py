@@ -228,15 +228,15 @@ def apportion(df: DataFrame, group: list[str], total: str, share: str, name: str
     return rows.withColumns({"_missing": missing, "_turn": turn}).withColumn(name, (F.col("_floor") + F.when(F.col("_turn") <= F.col("_missing"), 1).otherwise(0)).cast("int")).drop("_floor", "_rest", "_missing", "_turn")
 
 
-def assemble(lots: DataFrame, mode: str = "most_restrictive") -> DataFrame:
+def assemble(lots: DataFrame, mode: str = "most_restrictive", order: list[str] | None = None) -> DataFrame:
     """group_id with summed areas, the least (or greatest) positive ratios, the primary lot's zone, and whether
-    the lots lie in several zones."""
+    the lots lie in several zones. order: what tells the first of several primary lots, the key if nothing is given."""
     pick = F.max if mode == "least_restrictive" else F.min
     far = lambda c: F.coalesce(pick(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0)).alias(c)
-    zone = F.nullif("zone_dist", F.lit(""))
+    zone, turn = F.nullif("zone_dist", F.lit("")), F.struct(*(order or ["bbl"]))
     return lots.groupBy("group_id").agg(
         F.sum("lot_area").alias("lot_area"), F.sum("bldg_area").alias("bldg_area"), *(far(c) for c in ("resid_far", "comm_far", "facil_far")),
-        F.coalesce(F.min_by("zone_dist", F.when(F.col("is_primary"), F.col("bbl"))), F.min_by(zone, F.when(zone.isNotNull(), F.col("bbl"))), F.lit("")).alias("zone_dist"),
+        F.coalesce(F.min_by("zone_dist", F.when(F.col("is_primary"), turn)), F.min_by(zone, F.when(zone.isNotNull(), turn)), F.lit("")).alias("zone_dist"),
         (F.countDistinct(zone) > 1).alias("multi_zone"), F.count("*").alias("n_lots"),
     )
 
