@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from lotledger import queries
+from lotledger.operators import records
 
 SHIFT = {"p_partkey": 700_000, "l_partkey": 700_000, "c_custkey": 700_000, "o_custkey": 700_000, "user_id": 700_000}
 
@@ -35,3 +36,10 @@ def test_query_matches_sql_under_cut_keys(name, spark, large):
     df, found = queries.QUERIES[name](spark, folder), con.execute(queries.SQL[name])
     columns = [c[0] for c in found.description]
     assert Counter(tuple(map(plain, r)) for r in df.select(*columns).collect()) == Counter(tuple(map(plain, r)) for r in found.fetchall())
+
+
+def test_equal_contacts_of_a_registration_are_one(spark):
+    held = spark.createDataFrame([("1", "7"), ("1", "7"), ("2", "7"), ("3", " ")], "bbl string, registration_id string")
+    people = spark.createDataFrame([("7", "Ann", "1"), ("7", "Ann", "1"), ("7", "Bo", None), ("7", "Bo", None)], "registration_id string, name string, phone string")
+    got = records.registration_contacts(held, people).select("bbl", "name", "phone").collect()
+    assert sorted(map(tuple, got), key=str) == [("1", "Ann", "1"), ("1", "Bo", None), ("2", "Ann", "1"), ("2", "Bo", None)]
