@@ -29,6 +29,7 @@ def large(sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "normalize_deed_documents", "recent_deeds_of_borough", "latest_deed_of_parcels", "backfill_sales_from_documents", "documents_of_mortgaged_parcels", "enrich_recording_numbers",
     "resolve_and_diff_documents", "resolve_sale_of_parcels", "saved_grid_pages", "stakeholder_entries", "upsert_documents", "growing_tax", "lot_assemblages", "overlay_status_of_parcels",
+    "portfolio_addresses",
 ])
 def test_query_matches_sql_under_cut_keys(name, spark, large):
     folder, con = large

@@ -3,7 +3,9 @@
 import random
 from collections import Counter, defaultdict
 
-from lotledger.operators import owners, portfolio, stakeholders
+from pyspark.sql import functions as F
+
+from lotledger.operators import deeds, owners, portfolio, stakeholders
 from lotledger.plans import pages, reconcile
 
 ENTRY = (
@@ -102,3 +104,28 @@ def test_types_stated_as_none_are_none(spark):
     key = {k.upper(): v for k, v in reconcile.MIX.items()}
     got = {r.doc_id: r for r in reconcile.merge_sections(df).collect()}
     assert (got[1][key["1BR"]], got[1][key["2BR"]], got[1].total_units, got[2][key["1BR"]], got[2].total_units) == (2, 4, 6, 0, None)
+
+
+def test_packed_mentions_are_those_of_rows(spark):
+    """Names with ;, short and blank ones, other parties, documents without lots, lots without parties, lots that come twice."""
+    lots = spark.createDataFrame(
+        [("d1", "1000010001", "DEED", "2001-01-01"), ("d1", "1000010001", "DEED", "2001-01-01"), ("d1", "2000010001", "DEED", "2001-01-01"), ("d2", "1000010001", "MTGE", "2001-01-01"), ("d3", "3000010001", "RPTT", "1960-01-01"), ("d5", "3000010001", "DEED", "2000-01-01")],
+        "document_id string, bbl string, doc_type string, day string",
+    ).selectExpr("document_id", "bbl", "doc_type", "cast(day as date) as recorded_date")
+    parties = [("d1", "1", "ACME LLC; Bo Lee"), ("d1", "2", "ACME, INC"), ("d1", "2", " Bo Lee "), ("d1", "3", "NOBODY INC"), ("d2", "1", "ACME"), ("d2", "2", "The Acme"), ("d2", "2", "XY"), ("d3", "1", ""), ("d3", "2", "Q LLC"), ("d3", "2", "BO LEE"), ("d4", "1", "ACME"), ("d5", "1", None)]
+    parties = spark.createDataFrame([(*p, i) for i, p in enumerate(parties)], "document_id string, party_type string, name string, seq int")
+    parcels = spark.createDataFrame([("1000010001", " ACME LLC "), ("3000010001", ""), ("3000010001", None)], "bbl string, owner_name string")
+    docs = lots.join(deeds.party_lists(parties), "document_id", "left")
+    plain = owners.owner_mentions(owners.mentions_from_documents(docs), owners.mentions_from_parcels(parcels))
+    ids = owners.entity_ids(plain)
+    packed = owners.packed_mentions(lots, parties, parcels)
+    first, mentions = owners.named(*packed), owners.unpacked(*packed)
+    numbered = owners.entity_ids(first)
+    of = lambda df: Counter(map(tuple, df.select(*sorted(df.columns)).collect()))
+    assert of(owners.identified(owners.entity_links(mentions, None), numbered)) == of(owners.entity_links(plain, ids))
+    assert of(owners.identified(owners.dedupe_events(mentions, None), numbered)) == of(owners.dedupe_events(plain, ids))
+    built = lambda df: df.select("id", "key", "canonical_name", "entity_type", F.array_join("aliases", "|").alias("aliases"), "n_parcels")
+    assert of(built(owners.build_entities(first, mentions))) == of(built(owners.build_entities(plain)))
+    links = owners.entity_links(mentions, None)
+    named = lambda df: df.withColumn("relationship_types", F.array_join("relationship_types", ","))
+    assert of(named(portfolio.portfolio(links, ["owner", "borrower", "lender"]))) == of(named(portfolio.portfolio(links)))
