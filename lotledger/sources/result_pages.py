@@ -79,7 +79,7 @@ def parse_result_pages(pages: DataFrame) -> DataFrame:
     outer = F.filter(F.transform("_parts", lambda p, i: F.when(p.rlike(r"(?i)^<td\b"), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("_outer", outer)
     end = lambda i: F.coalesce(F.array_min(F.filter("_outer", lambda o: o > i)), F.size("_parts"))
-    whole = lambda p, i: F.when(p.rlike(r"(?i)^<td\b"), F.array_join(F.slice("_parts", i + 1, end(i) - i), "")).otherwise(p)
+    whole = lambda p, i: F.when(F.array_contains("_outer", i), F.array_join(F.slice("_parts", i + 1, end(i) - i), "")).otherwise(p)
     rows = rows.withColumn("_cells", F.transform("_parts", whole))
     cell = lambda i: F.coalesce(F.get("_cells", F.lit(i)), F.lit(""))
     shown = {n: _text(cell(i)) for n, i in CELLS.items()}
